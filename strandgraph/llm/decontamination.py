@@ -21,6 +21,7 @@ from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -183,18 +184,16 @@ def contamination(
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", slice_tokens: int = SLICE_TOKENS) -> DataFrame:
     """The rows of ``docs`` that overlap no item, unchanged."""
-    left = docs
-    for items in _slices(benchmark, item_col, item_text_col, slice_tokens):
+    def leaks_in(items: list[tuple[int, str]]):
         sent = docs.sparkSession.sparkContext.broadcast(SeedIndex.of(items, MASKS, MIN_TOKENS, SIMILARITY))
 
-        def leaks(texts, sent=sent):
-            import pandas as pd
-
+        def leaks(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for batch in texts:
                 yield pd.Series([bool(sent.value.hits(t)) for t in batch], dtype=bool)
 
-        leaks.__annotations__ = {}
-        flag = fresh("__leaks", docs.columns)
-        udf = F.pandas_udf(leaks, "boolean", F.PandasUDFType.SCALAR_ITER).asNondeterministic()
-        left = left.withColumn(flag, udf(col(text_col))).filter(~F.col(flag)).drop(flag)
+        return F.pandas_udf(leaks, "boolean").asNondeterministic()
+
+    left, flag = docs, fresh("__leaks", docs.columns)
+    for items in _slices(benchmark, item_col, item_text_col, slice_tokens):
+        left = left.withColumn(flag, leaks_in(items)(col(text_col))).filter(~F.col(flag)).drop(flag)
     return left

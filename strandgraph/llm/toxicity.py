@@ -2,8 +2,10 @@
 
 Features come from the text alone: densities of fixed and learnt lexicons, lexicon words
 near second-person words, capitals, punctuation and obfuscation. The trees are grown in
-numpy on a bounded sample of labelled rows (``SAMPLE`` by hash order of the id); learnt
-words and calibration use out-of-fold values only.
+numpy on a bounded sample of labelled rows (``SAMPLE`` by hash order of the id). Learnt
+terms are words and word stems (beginnings, marked by a star) that stand mostly in toxic
+texts; texts with the same least word hashes count once, so copies lend no weight. Trees
+see learnt terms and calibration sees margins from the other folds only.
 """
 
 from __future__ import annotations
@@ -13,25 +15,28 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandgraph.llm.common import col, crc_remainder, fresh, stored
 
-SAMPLE, FOLDS, LEARNT_WORDS, LEARNT_DOCS = 20_000, 3, 200, 4
+SAMPLE, FOLDS, LEARNT_TERMS, STEMS = 20_000, 3, 400, (4, 5, 6, 7)
+#: A learnt term stands in so many toxic texts at least, in this share of them, and mostly in toxic ones.
+LEARNT_DOCS, LEARNT_SHARE, PURITY = 6, 0.004, 0.6
 #: Common words of abuse by kind, and second-person words.
 INSULTS = """idiot moron clown loser trash scum worthless pathetic disgusting stupid dumb dumbass imbecile
- cretin fool foolish jerk scumbag garbage filth filthy vermin pig swine rat worm coward creep freak weirdo
+ cretin fool foolish jerk scumbag garbage filth filthy vermin swine coward creep freak weirdo
  lunatic psycho retard retarded brainless clueless useless hopeless ugly fat hideous repulsive vile nasty
  despicable contemptible shameful laughable ridiculous twit halfwit nitwit dimwit dunce buffoon degenerate
  parasite leech maggot idiotic moronic asinine ignorant liar fraud crook thug brat snob sucker
  idiota imbécil estúpido estúpida tonto basura asqueroso patético idiot dumm dummkopf trottel arschloch
  abschaum widerlich erbärmlich wertlos imbécile crétin stupide abruti minable ordure dégoûtant""".split()
-PROFANITY = """damn hell crap shit shitty bullshit fuck fucking fucker motherfucker bitch bastard ass asshole
+PROFANITY = """damn crap shit shitty bullshit fuck fucking fucker motherfucker bitch bastard ass asshole
  arse dick prick cunt whore slut piss bollocks wanker puta mierda joder scheisse scheiße merde putain connard
  salope""".split()
-THREATS = """kill die murder destroy hurt beat stab shoot burn hang hate despise loathe exterminate crush
+THREATS = """kill murder destroy hurt beat stab shoot burn hang hate despise loathe exterminate crush
  strangle choke punch smash""".split()
 SECOND = frozenset("you your yours yourself u ur youre du dich dir dein deine ihr euch tu te toi ton ta tes vous usted ustedes tú".split())
 _GROUPS = (frozenset(INSULTS), frozenset(PROFANITY), frozenset(THREATS))
@@ -41,7 +46,7 @@ _OUTER = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~¡¿«»…“”
 _WORD, _TRIPLE = re.compile(r"[^\W\d_]+"), re.compile(r"([a-z])\1\1")
 _STRETCHED, _SPACED = re.compile(r"[^\W\d_]*([a-z])\1\1[^\W\d_]*"), re.compile(r"(?<![^\W\d_])(?:[a-z][ .*-]){3,}[a-z](?![^\W\d_])")
 _BANGS, _SHOUT = re.compile(r"[!?]{2,}"), re.compile(r"\b[A-Z]{3,}\b")
-NAMES = ["words", "insults", "profanity", "threats", "lexicon_count", "learnt", "learnt_count", "near_you", "second", "capitals", "shouting", "bangs", "bang_runs", "punctuation", "digits", "odd_tokens", "masked_hits"]
+NAMES = ["words", "insults", "profanity", "threats", "lexicon_count", "learnt", "learnt_count", "learnt_best", "learnt_sum", "near_you", "second", "capitals", "shouting", "bangs", "bang_runs", "punctuation", "digits", "odd_tokens", "masked_hits"]
 
 
 def _in_lexicon(word: str, lexicon: frozenset[str]) -> bool:
@@ -57,17 +62,27 @@ def _unmasked(token: str) -> bool:
     return any(len(w) == len(token) and all(a in ("*", b) for a, b in zip(token, w, strict=True)) for w in _ALL if w[0] == token[0])
 
 
-def features(text: str | None, learnt: frozenset[str]) -> list[float]:
+def term_weight(word: str, learnt: dict[str, float]) -> float:
+    """The greatest weight of the learnt words and stems that match; 0 if none does."""
+    found = learnt.get(word, 0.0)
+    if len(word) > STEMS[0]:
+        found = max(found, *(learnt.get(word[:k] + "*", 0.0) for k in STEMS if len(word) > k))
+    return found
+
+
+def features(text: str | None, learnt: dict[str, float]) -> list[float]:
     text = text or ""
     lower = text.lower()
     words = _WORD.findall(lower)
     n = max(1, len(words))
-    held = _ALL.union(learnt)
-    hits = [(i, w) for i, w in enumerate(words) if w in held or (w[-1:] == "s" and w[:-1] in _ALL)]
+    kinds = set(words)
+    known = {w for w in kinds if w in _ALL or (w[-1:] == "s" and w[:-1] in _ALL)}
+    hits = [(i, w) for i, w in enumerate(words) if w in known] if known else []
     groups = [sum(1 for _, w in hits if _in_lexicon(w, g)) for g in _GROUPS]
-    learnt_hits = sum(1 for _, w in hits if w in learnt)
+    weights = {w: x for w in kinds if (x := term_weight(w, learnt))} if learnt else {}
+    learnt_hits = sum(1 for w in words if w in weights) if weights else 0
     second = [i for i, w in enumerate(words) if w in SECOND]
-    abuse = np.array([i for i, w in hits if _in_lexicon(w, _ALL)])
+    abuse = np.array([i for i, _ in hits])
     near = 0
     if len(abuse) and second:
         s = np.array(second)
@@ -93,6 +108,7 @@ def features(text: str | None, learnt: frozenset[str]) -> list[float]:
     bangs = int(raw[33] + raw[63])
     return [
         float(np.log1p(len(words))), *(100 * g / n for g in groups), float(np.log1p(sum(groups))), 100 * learnt_hits / n, float(np.log1p(learnt_hits)),
+        max(weights.values(), default=0.0), float(np.log1p(sum(weights.values()))),
         100 * near / n, 100 * len(second) / n, raw[65:91].sum() / letters, 100 * len(_SHOUT.findall(text)) / n, 100 * bangs / n,
         100 * len(_BANGS.findall(text)) / n if bangs > 1 else 0.0, (raw[33:48].sum() + raw[58:65].sum() + raw[91:97].sum() + raw[123:127].sum()) / size,
         raw[48:58].sum() / size, 100 * odd / n, float(np.log1p(masked)),
@@ -175,7 +191,7 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class ToxicityModel:
-    learnt: frozenset[str] = frozenset()
+    learnt: dict[str, float] = field(default_factory=dict)
     trees: BoostedTrees | None = None
     knots: tuple[np.ndarray, np.ndarray] = (np.zeros(1), np.zeros(1))
 
@@ -202,18 +218,25 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
     rows = stored(rows.select(_fold(F.col("doc_id")).alias("fold"), F.col("y").cast("int").alias("y"), "text"))
 
-    words = rows.select("fold", "y", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(\p{L}{3,})"), F.lit(1)))).alias("word"))
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(\p{L}{3,})"), F.lit(1)))
+    hashes = F.array_sort(F.transform("words", lambda w: F.xxhash64(w)))
+    stems = [F.when(F.length("word") > k, F.concat(F.substring("word", 1, k), F.lit("*"))) for k in STEMS]
+    held = rows.select("fold", "y", words.alias("words")).select("fold", "y", F.xxhash64(F.slice(hashes, 1, 3)).alias("sketch"), F.explode("words").alias("word"))
+    held = held.select("fold", "y", "sketch", F.explode(F.array_compact(F.array("word", *stems))).alias("term"))
+    held = held.groupBy("term", "y", "sketch").agg(F.min("fold").alias("fold"))
     per_fold = [f(F.when(F.col("fold") == k, v)).alias(f"{name}{k}") for k in range(FOLDS) for name, v, f in (("n", 1, F.count), ("t", F.col("y"), F.sum))]
-    ever = words.groupBy("word").agg(*per_fold, F.sum("y").alias("t"), F.count("*").alias("n")).filter((F.col("t") >= LEARNT_DOCS) & (F.col("t") >= 0.6 * F.col("n")))
-    top = ever.orderBy(F.desc(F.col("t") * F.col("t") / F.col("n")), "word").limit(LEARNT_WORDS).collect()
+    least = max(LEARNT_DOCS, LEARNT_SHARE * rows.filter("y = 1").count())
+    ever = held.groupBy("term").agg(*per_fold, F.sum("y").alias("t"), F.count("*").alias("n"))
+    ever = ever.filter((F.col("t") >= least) & (F.col("t") >= PURITY * F.col("n")))
+    top = ever.orderBy(F.desc(F.col("t") * F.pow(F.col("t") / F.col("n"), 2)), "term").limit(LEARNT_TERMS).collect()
 
-    def learnt(without: int | None) -> frozenset[str]:
-        out = []
+    def learnt(without: int | None) -> dict[str, float]:
+        out = {}
         for r in top:
             n, t = (sum((r[f"{x}{k}"] or 0) for k in range(FOLDS) if k != without) for x in "nt")
-            if t >= LEARNT_DOCS - 1 and t >= 0.6 * n:
-                out.append(r.word)
-        return frozenset(out)
+            if t >= least / 2 and t >= PURITY * n:
+                out[r.term] = float(np.log((t + 0.5) / (n - t + 0.5)))
+        return out
 
     lexicons = [learnt(k) for k in range(FOLDS)]
 
@@ -240,15 +263,13 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
 def with_score(docs: DataFrame, model: ToxicityModel, name: str, text_col: str = "text") -> DataFrame:
     """``docs`` with the column ``name``: the calibrated score of each whole text, null texts as empty."""
-    import pandas as pd
-
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def score(batches):
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series(sent.value.scores(batch.tolist()), dtype=float)
 
-    return docs.withColumn(name, F.pandas_udf(score, "double", F.PandasUDFType.SCALAR_ITER).asNondeterministic()(col(text_col)))
+    return docs.withColumn(name, F.pandas_udf(score, "double").asNondeterministic()(col(text_col)))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:

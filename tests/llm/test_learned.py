@@ -154,8 +154,13 @@ def test_toxicity_on_held_out_rows(spark):
 def test_obfuscated_words_are_seen():
     at = toxicity.NAMES.index("masked_hits")
     for text in ("you id1ot", "a m0r0n", "such $tupid", "w*rthless thing", "stuuuupid", "i d i o t here", "l.o.s.e.r"):
-        assert toxicity.features(text, frozenset())[at] > 0, text
-    assert toxicity.features("version 1.2 of the file-name at 10:30, e.g. a b c", frozenset())[at] == 0
+        assert toxicity.features(text, {})[at] > 0, text
+    assert toxicity.features("version 1.2 of the file-name at 10:30, e.g. a b c", {})[at] == 0
+
+
+def test_terms_match_words_and_stems():
+    learnt = {"bad": 1.0, "evil*": 2.0, "evildo*": 3.0}
+    assert [toxicity.term_weight(w, learnt) for w in ("bad", "badly", "evil", "evils", "evildoer", "goodness")] == [1, 0, 0, 2, 3, 0]
 
 
 def test_trees_and_calibration():
