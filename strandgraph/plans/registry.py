@@ -1,10 +1,280 @@
-"""All registered queries of the graph-retrieval operators, with their oracle SQL."""
+"""Registered queries of the graph-retrieval operators over the driver tables, with oracle SQL.
+
+Roles: an order is a commit and a part a file, so parts ordered together co-change; brands
+contain parts; conversations are searched with benchmark items as queries; labels judge.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from strandgraph.functions import predicates, text
+from strandgraph.operators import evaluation, graph, relations, search
+
+MAX_FILES, MIN_SUPPORT, HOPS, DECAY, SEEDS, RANKS = 8, 2, 2, 0.85, 6, 8
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _r(column, digits: int = 6):
+    return F.round(column, digits)
+
+
+# --- relations ---
+
+
+def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("commit_id"), F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("path"))
+
+
+def cochange_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = relations.cochange_pairs(changes(spark, sf_dir), minimum_support=MIN_SUPPORT, maximum_files=MAX_FILES)
+    return pairs.select("left_path", "right_path", "n", F.array_join("commits", ",").alias("commits"))
+
+
+def commit_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.commit_totals(changes(spark, sf_dir))
+
+
+def _cochange(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.cochange_relations(changes(spark, sf_dir), minimum_support=MIN_SUPPORT, maximum_files=MAX_FILES)
+
+
+def cochange_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cochange(spark, sf_dir).select("source_id", "target_id", "count", _r("confidence").alias("confidence"))
+
+
+def _relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part, nation, supplier = (_table(spark, sf_dir, t) for t in ("part", "nation", "supplier"))
+    line = _table(spark, sf_dir, "lineitem")
+    none = F.array().cast("array<string>")
+
+    def relation(frame: DataFrame, source: F.Column, target: F.Column, kind: str, confidence: float) -> DataFrame:
+        return frame.select(source.alias("source_id"), target.alias("target_id"), F.lit(kind).alias("kind"), F.lit(1).cast("long").alias("count"), F.lit(confidence).alias("confidence"), none.alias("evidence"))
+
+    name = lambda kind, column: F.concat(F.lit(f"{kind}:"), F.col(column).cast("string"))
+    return (
+        _cochange(spark, sf_dir)
+        .unionByName(relation(part, name("brand", "p_brand"), name("part", "p_partkey"), "CONTAINS", 1.0))
+        .unionByName(relation(nation, name("region", "n_regionkey"), name("nation", "n_nationkey"), "CONTAINS", 1.0))
+        .unionByName(relation(supplier, name("supplier", "s_suppkey"), name("nation", "s_nationkey"), "IMPORTS", 0.9))
+        .unionByName(relation(line, name("supplier", "l_suppkey"), name("part", "l_partkey"), "SHIPS", 0.95))
+    )
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = relations.aggregate_relations(_relations(spark, sf_dir))
+    return edges.withColumn("strength", _r("strength", 9))
+
+
+def typed_edge_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edges(spark, sf_dir).select("source_id", "target_id", "kind", "count", _r("confidence").alias("confidence"), _r("strength").alias("strength"))
+
+
+def edge_kind_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.edge_summary(_edges(spark, sf_dir)).select("kind", "edges", _r("mean_strength", 3).alias("mean_strength"))
+
+
+# --- graph: co-change and containment edges ---
+
+
+def _graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edges(spark, sf_dir).filter(F.col("kind").isin("CO_CHANGES", "CONTAINS", "IMPORTS"))
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.projection(_graph_edges(spark, sf_dir))
+
+
+def projection_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = graph.projection(_edges(spark, sf_dir))
+    return every.select("u", "v", _r("weight").alias("weight"), F.array_join("kinds", ",").alias("kinds"))
+
+
+def overview_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _table(spark, sf_dir, "part").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_brand").alias("group"))
+    rolled = graph.overview(_edges(spark, sf_dir).filter("kind = 'CO_CHANGES'"), part)
+    return rolled.select("source_group", "target_group", "kind", _r("strength").alias("strength"), "n")
+
+
+def node_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.degrees(_graph_edges(spark, sf_dir)).select("node_id", "degree", _r("total_strength").alias("total_strength"))
+
+
+def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of most commits, scored by their commits."""
+    totals = relations.commit_totals(changes(spark, sf_dir)).orderBy(F.desc("commits"), "path").limit(SEEDS)
+    rank = F.row_number().over(Window.orderBy(F.desc("commits"), "path"))
+    return totals.select(F.col("path").alias("node_id"), F.col("commits").cast("double").alias("seed_score"), rank.alias("seed_rank"))
+
+
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.strongest_paths(_pairs(spark, sf_dir), _seeds(spark, sf_dir), hops=HOPS, hop_decay=DECAY)
+
+
+def strongest_paths_2hop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _paths(spark, sf_dir).select("node_id", _r("score").alias("score"), "depth", F.array_join("path", ">").alias("path"))
+
+
+def related_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without seeds, by the pruned frontier that retrieval uses."""
+    seeds = _seeds(spark, sf_dir)
+    paths = graph.strongest_paths(_pairs(spark, sf_dir), seeds, hops=HOPS, hop_decay=DECAY, exhaustive=False)
+    return paths.join(seeds.select("node_id"), "node_id", "left_anti").select("node_id", _r("score").alias("score"), "depth", F.array_join("path", ">").alias("path"))
+
+
+def path_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = graph.path_steps(_paths(spark, sf_dir), _pairs(spark, sf_dir), ["node_id"])
+    return steps.select("node_id", "step", "from_id", "to_id", _r("combined_strength").alias("combined_strength"))
+
+
+def step_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = graph.path_steps(_paths(spark, sf_dir), _pairs(spark, sf_dir), ["node_id"])
+    rows = graph.step_contributions(steps, _graph_edges(spark, sf_dir), ["node_id"])
+    return rows.select("node_id", "step", text.edge_id(F.col("source_id"), F.col("target_id"), F.col("kind")).alias("edge_id"), "traversal_direction", _r("strength").alias("strength"))
+
+
+def neighborhood_top8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    relevance = _table(spark, sf_dir, "part").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("node_id"), F.col("p_retailprice").alias("relevance"))
+    near = graph.neighbourhood(_graph_edges(spark, sf_dir), relevance, 8)
+    return near.select("node_id", "place", "neighbour_id", "kind", _r("strength").alias("strength"))
+
+
+def induced_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = _paths(spark, sf_dir).select(F.explode("path").alias("node_id"))
+    return graph.induced_subgraph(_graph_edges(spark, sf_dir), chosen).select("source_id", "target_id", "kind", _r("strength").alias("strength"))
+
+
+def strongest_pair_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.strongest_edges(_edges(spark, sf_dir)).select("source_id", "target_id", "kind", _r("strength").alias("strength"))
+
+
+def pagerank_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = _graph_edges(spark, sf_dir)
+    nodes = edges.select(F.col("source_id").alias("node_id")).union(edges.select("target_id")).union(_table(spark, sf_dir, "customer").filter("c_custkey <= 3").select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")))).distinct()
+    personal = _seeds(spark, sf_dir).select("node_id", F.col("seed_score").alias("weight"))
+    ranks = graph.pagerank(graph.projection(edges), nodes, personal, iterations=RANKS, tolerance=None)
+    return ranks.select("node_id", _r("rank", 9).alias("rank"))
+
+
+# --- text ---
+
+
+def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "conversations").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("node_id"), F.coalesce("text", F.lit("")).alias("document"))
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def word_ngram_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = _table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(text.word_ngrams(F.col("text")))).alias("term"))
+    return terms.groupBy("term").agg(F.count("*").alias("df"))
+
+
+def char_wb_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = _asked(spark, sf_dir).select(F.explode(F.array_distinct(text.char_wb_ngrams(F.col("query")))).alias("term"))
+    return terms.groupBy("term").agg(F.count("*").alias("df"))
+
+
+def _lexical(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    index = search.build_search_index(_conversations(spark, sf_dir))
+    scores = search.query_scores(index, _asked(spark, sf_dir)).withColumn("score", _r("score", 9))
+    return search.top_ranked(scores, k)
+
+
+def tfidf_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lexical(spark, sf_dir, 10).select("query_id", "rank", "node_id", _r("score", 5).alias("score"))
+
+
+def graph_ranking_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Longest turns, then turns of the shortest ids, then the best matching ones; 20 distinct per query."""
+    base = _table(spark, sf_dir, "conversations").select(F.col("role").alias("query_id"), F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("node_id"), F.length("text").alias("n"))
+    base = base.groupBy("query_id", "node_id").agg(F.max("n").alias("n"))
+    parts = [search.top_ranked(base, k, *order) for k, order in ((6, (F.desc("n"),)), (10, (F.asc("n"),)), (20, (F.desc(F.length("node_id")),)))]
+    return search.fill_ranking(parts, 20)
+
+
+# --- evaluation ---
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    docs = _table(spark, sf_dir, "documents").select(F.col("lang").alias("query_id"), F.col("doc_id").alias("node_id"), "n_chars")
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("node_id"), "quality", "toxic")
+    role = F.when(F.col("toxic") == 1, "supporting").when(F.col("quality") == 1, "answer")
+    judgments = docs.join(labels, "node_id").select("query_id", "node_id", role.alias("role"), F.lit(1).alias("relevance")).filter("role is not null")
+    rank = lambda *order: docs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order, "node_id"))).filter("rank <= 20")
+    return judgments, rank(F.desc("n_chars")), rank(F.asc("n_chars"))
+
+
+def rank_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judgments, lexical, _ = _judged(spark, sf_dir)
+    return evaluation.evaluate_queries(judgments, lexical).select("query_id", F.col("answer_rank").cast("long").alias("answer_rank"), *[_r(m).alias(m) for m in evaluation.METRICS])
+
+
+def rank_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = evaluation.compare_queries(*_judged(spark, sf_dir))
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return rows.select("query_id", F.col("answer_rank_change").cast("long").alias("answer_rank_change"), joined("newly_retrieved"), joined("newly_missed"), "regression")
+
+
+def metric_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row = evaluation.compare_rankings(*_judged(spark, sf_dir))
+    return row.select(*[_r(f"delta_{m}").alias(f"delta_{m}") for m in evaluation.METRICS])
+
+
+# --- strings ---
+
+
+def credential_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").filter(predicates.contains_credential(F.col("text"))).select("doc_id")
+
+
+def _literals(spark: SparkSession, values: list[str]) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(values)), "k long, v string")
+
+
+IDENTIFIERS = ["buildSearchIndex", "HTTPServer2Go", "snake_case-name", "plain words", "aB_cD-eF9G", ""]
+LOCAL_PATHS = ["/home/user/x.py", "see /tmp/out for it", "C:/Users/a/b", "src/app.py", "https://example.test/home", "file:/etc/x::y", "a/b", "/", "'/opt/x'", "route /api/items"]
+
+
+def expand_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _literals(spark, IDENTIFIERS).select("k", text.expand_identifiers(F.col("v")).alias("expanded"))
+
+
+def local_path_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _literals(spark, LOCAL_PATHS).select("k", predicates.looks_like_local_path(F.col("v")).alias("is_local"))
+
+
+def sanitized_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = text.sanitize_remote_url(F.col("url"))
+    return _table(spark, sf_dir, "pages").select("page_id", clean.alias("clean"), text.repository_name(clean, F.lit("none")).alias("name"))
+
+
+def snippet_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", text.truncate_source(F.col("text"), 80).alias("snippet"))
+
+
+def python_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols and relations of two literal sources, resolved."""
+    from strandgraph.plans.build import graph_tables
+
+    files = [("src/app/core.py", b"class Base:\n    pass\n\n\nclass Work(Base):\n    def run(self):\n        return helper()\n\n\ndef helper():\n    return Work().run()\n"), ("tests/test_core.py", b"from app.core import helper\n\n\ndef test_helper():\n    assert helper()\n")]
+    nodes, edges, _, _ = graph_tables(spark.createDataFrame(files, "path string, content binary"), None)
+    return edges.select("source_id", "target_id", "kind", "count", _r("strength").alias("strength"))
+
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        cochange_pairs, commit_totals, cochange_confidence, typed_edge_strength, edge_kind_summary, projection_noisy_or, overview_rollup, node_degrees, strongest_paths_2hop,
+        related_pruned, path_steps, step_contributions, neighborhood_top8, induced_subgraph, strongest_pair_edge, pagerank_k, word_ngram_df, char_wb_df, tfidf_top_k,
+        graph_ranking_fill, rank_metrics, rank_comparison, metric_deltas, credential_documents, expand_identifiers, local_path_strings, sanitized_urls, snippet_truncate, python_symbols,
+    )
+}
