@@ -10,8 +10,7 @@ Two kinds of units are compared across documents.
   anchor if its hash is the least of some ``ANCHOR`` consecutive starts. Any shared run of
   UNIT + ANCHOR - 1 = 51 words has an anchor in common, so its units collide.
 
-In every cluster the occurrence with the smallest (doc_id, start) stays, the others are
-removals. Words are runs between ASCII white space after lower-casing A-Z.
+In every cluster the occurrences of the smallest doc_id stay, the others are removals. Words are runs between ASCII white space after lower-casing A-Z.
 """
 
 from __future__ import annotations
@@ -31,6 +30,7 @@ MIN_WORDS, SHINGLE, SIMILARITY = 50, 5, 0.8
 #: At similarity 0.8 the bands miss a pair with probability (1 - 0.8^2)^6 = 0.002.
 BANDS, ROWS = 6, 2
 UNIT, ANCHOR = 40, 12
+_NO_ID = -(1 << 63)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -155,14 +155,13 @@ def repeated_spans(
     Overlapping units of one document with the same fate are merged. ``removed`` is false
     for the span that stays, and first_doc_id names the document that keeps it. Documents
     without a repeat across documents give no row, and neither do null and empty texts.
-    Rows that share a doc_id are read as one document; a null id is a document of its own.
+    Rows that share a doc_id are read as one document, so are rows without an id (the first of all).
     """
-    thin = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text")).filter("text is not null")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "start")
-    across = (F.coalesce(F.col("low.doc_id"), F.lit(-1)) != F.coalesce(F.col("high.doc_id"), F.lit(-1))) | (F.col("low.none") != F.col("high.none"))
+    thin = docs.select(F.coalesce(col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), col(text_col).alias("text")).filter("text is not null")
+    low, high = F.min("doc_id").alias("low"), F.max("doc_id").alias("high")
 
     units = _passages(thin)
-    shared = units.groupBy("key").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter(across)
+    shared = units.groupBy("key").agg(low, high).filter("low < high")
     passages = units.join(shared, "key").select("doc_id", "start", (F.col("start") + UNIT).alias("end"), "low")
 
     lines = stored(_paragraphs(thin, min_words))
@@ -178,14 +177,14 @@ def repeated_spans(
     roots = connected_components(links)
     spans = lines.select("key", "doc_id", "start", (F.col("start") + F.col("n_words")).alias("end"))
     spans = spans.join(roots, spans.key == roots.node, "left").withColumn("key", F.coalesce("root", "key"))
-    clusters = spans.groupBy("key").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter(across)
+    clusters = spans.groupBy("key").agg(low, high).filter("low < high")
     spans = spans.select("key", "doc_id", "start", "end").join(clusters, "key").select("doc_id", "start", "end", "low")
 
-    found = passages.union(spans).withColumn("removed", ~(F.col("doc_id").eqNullSafe(F.col("low.doc_id")) & (F.col("start") == F.col("low.start"))))
+    found = passages.union(spans).withColumn("removed", F.col("doc_id") > F.col("low"))
     order = Window.partitionBy("doc_id", "removed").orderBy("start", "end")
     reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     found = found.withColumn("opens", F.when(F.col("start") <= reached, 0).otherwise(1))
     found = found.withColumn("island", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return found.groupBy("doc_id", "removed", "island").agg(
-        F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"), F.min("low.doc_id").alias("first_doc_id"), F.count("*").alias("n_units")
-    ).select("doc_id", "start", "end", "first_doc_id", "n_units", "removed")
+        F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"), F.min("low").alias("low"), F.count("*").alias("n_units")
+    ).select(F.nullif("doc_id", F.lit(_NO_ID)).alias("doc_id"), "start", "end", F.nullif("low", F.lit(_NO_ID)).alias("first_doc_id"), "n_units", "removed")
