@@ -6,9 +6,11 @@ import hashlib
 import os
 import struct
 import subprocess
+from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,15 +58,21 @@ def check_path(root: Path, path: str) -> Path:
 
 
 def read_files(spark: SparkSession, root: Path, paths: list[str]) -> DataFrame:
-    """``(path, content)`` of the listed files, read by the executors from a shared folder."""
+    """``(path, content)`` of the listed files, read by the executors from a folder they share.
+
+    Spark's own file sources skip names that start with an underscore, such as package files.
+    """
     base = root.resolve()
     for path in paths:
         check_path(base, path)
     listed = spark.createDataFrame([(p,) for p in paths], "path string")
-    prefix = f"file:{base}/"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(base))
-    files = files.select(F.expr(f"substring(path, {len(prefix) + 1})").alias("path"), "content")
-    return files.filter(indexed(F.col("path"))).join(listed, "path", "left_semi")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path in batch["path"]:
+                yield pd.DataFrame({"path": [path], "content": [(base / path).read_bytes()]})
+
+    return listed.filter(indexed(F.col("path"))).mapInPandas(read, "path string, content binary")
 
 
 def read_log(spark: SparkSession, root: Path) -> DataFrame:
