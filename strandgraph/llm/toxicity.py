@@ -44,7 +44,7 @@ _ALL = frozenset().union(*_GROUPS)
 _LEET = str.maketrans({"@": "a", "4": "a", "0": "o", "1": "i", "!": "i", "3": "e", "$": "s", "5": "s", "7": "t", "9": "g", "*": None, ".": None, "_": None, "-": None})
 _OUTER = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~¡¿«»…“”‘’"
 _WORD, _TRIPLE = re.compile(r"[^\W\d_]+"), re.compile(r"([a-z])\1\1")
-_STRETCHED, _SPACED = re.compile(r"[^\W\d_]*([a-z])\1\1[^\W\d_]*"), re.compile(r"(?<![^\W\d_])(?:[a-z][ .*-]){3,}[a-z](?![^\W\d_])")
+_RUN, _SPACED = re.compile(r"(.)\1{2,}"), re.compile(r"(?<![^\W\d_])(?:[a-z][ .*-]){3,}[a-z](?![^\W\d_])")
 _BANGS, _SHOUT = re.compile(r"[!?]{2,}"), re.compile(r"\b[A-Z]{3,}\b")
 NAMES = ["words", "insults", "profanity", "threats", "lexicon_count", "learnt", "learnt_count", "learnt_best", "learnt_sum", "near_you", "second", "capitals", "shouting", "bangs", "bang_runs", "punctuation", "digits", "odd_tokens", "masked_hits"]
 
@@ -96,10 +96,9 @@ def features(text: str | None, learnt: dict[str, float]) -> list[float]:
             if whole and not whole.isalpha() and any(c.isalpha() for c in whole):
                 odd += 1
                 masked += _unmasked(whole.rstrip(_OUTER.replace("*", "")))
-    if _TRIPLE.search(lower):
-        for m in _STRETCHED.finditer(lower):
-            for size in (1, 2):
-                masked += re.sub(r"(.)\1{2,}", r"\1" * size, m.group()) in _ALL
+    for w in kinds:
+        if _TRIPLE.search(w):
+            masked += any(_RUN.sub(r"\1" * size, w) in _ALL for size in (1, 2))
     for m in _SPACED.finditer(lower):
         masked += _in_lexicon(re.sub(r"[^a-z]", "", m.group()), _ALL)
     raw = np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
@@ -221,7 +220,9 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(\p{L}{3,})"), F.lit(1)))
     hashes = F.array_sort(F.transform("words", lambda w: F.xxhash64(w)))
     stems = [F.when(F.length("word") > k, F.concat(F.substring("word", 1, k), F.lit("*"))) for k in STEMS]
-    held = rows.select("fold", "y", words.alias("words")).select("fold", "y", F.xxhash64(F.slice(hashes, 1, 3)).alias("sketch"), F.explode("words").alias("word"))
+    # the sketch is computed before the explode: beside it, it would be computed for every word
+    held = rows.select("fold", "y", words.alias("words")).select("fold", "y", "words", F.xxhash64(F.slice(hashes, 1, 3)).alias("sketch"))
+    held = held.select("fold", "y", "sketch", F.explode("words").alias("word"))
     held = held.select("fold", "y", "sketch", F.explode(F.array_compact(F.array("word", *stems))).alias("term"))
     held = held.groupBy("term", "y", "sketch").agg(F.min("fold").alias("fold"))
     per_fold = [f(F.when(F.col("fold") == k, v)).alias(f"{name}{k}") for k in range(FOLDS) for name, v, f in (("n", 1, F.count), ("t", F.col("y"), F.sum))]
