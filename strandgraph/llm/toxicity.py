@@ -217,7 +217,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
     rows = stored(rows.select(_fold(F.col("doc_id")).alias("fold"), F.col("y").cast("int").alias("y"), "text"))
 
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(\p{L}{3,})"), F.lit(1)))
+    words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\P{L}+"), lambda w: F.length(w) >= 3))
     hashes = F.array_sort(F.transform("words", lambda w: F.xxhash64(w)))
     stems = [F.when(F.length("word") > k, F.concat(F.substring("word", 1, k), F.lit("*"))) for k in STEMS]
     # the sketch is computed before the explode: beside it, it would be computed for every word
