@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from strandgraph.llm.common import col, crc_remainder, fresh, stored
 
 SAMPLE, FOLDS, LEARNT_TERMS, STEMS = 20_000, 3, 400, (4, 5, 6, 7)
-#: A learnt term stands in so many toxic texts at least, in this share of them, and mostly in toxic ones.
-LEARNT_DOCS, LEARNT_SHARE, PURITY = 6, 0.004, 0.6
+#: A learnt term stands in so many toxic texts at least (the first number where there are few, one in
+#: ``RAMP`` of them up to the second), in this share of them, and mostly in toxic ones. The first
+#: number was chosen by cross-validation on the training rows.
+LEARNT_DOCS, RAMP, LEARNT_SHARE, PURITY = (3, 6), 60, 0.004, 0.6
 #: Common words of abuse by kind, and second-person words.
 INSULTS = """idiot moron clown loser trash scum worthless pathetic disgusting stupid dumb dumbass imbecile
  cretin fool foolish jerk scumbag garbage filth filthy vermin swine coward creep freak weirdo
@@ -226,7 +228,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     held = held.select("fold", "y", "sketch", F.explode(F.array_compact(F.array("word", *stems))).alias("term"))
     held = held.groupBy("term", "y", "sketch").agg(F.min("fold").alias("fold"))
     per_fold = [f(F.when(F.col("fold") == k, v)).alias(f"{name}{k}") for k in range(FOLDS) for name, v, f in (("n", 1, F.count), ("t", F.col("y"), F.sum))]
-    least = max(LEARNT_DOCS, LEARNT_SHARE * rows.filter("y = 1").count())
+    toxic = rows.filter("y = 1").count()
+    least = max(float(np.clip(toxic / RAMP, *LEARNT_DOCS)), LEARNT_SHARE * toxic)
     ever = held.groupBy("term").agg(*per_fold, F.sum("y").alias("t"), F.count("*").alias("n"))
     ever = ever.filter((F.col("t") >= least) & (F.col("t") >= PURITY * F.col("n")))
     top = ever.orderBy(F.desc(F.col("t") * F.pow(F.col("t") / F.col("n"), 2)), "term").limit(LEARNT_TERMS).collect()
