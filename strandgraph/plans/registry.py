@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from strandgraph.functions import predicates, text
 from strandgraph.operators import evaluation, graph, relations, search
 
-MAX_FILES, MIN_SUPPORT, HOPS, DECAY, SEEDS, RANKS = 8, 2, 2, 0.85, 6, 8
+MAX_FILES, MIN_SUPPORT, HOPS, DECAY, SEEDS, RANKS = 20, 2, 2, 0.85, 6, 8
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -11,6 +11,7 @@ from strandgraph import cli
 from strandgraph.config import BenchmarkError, BundleError, GraphConfig, RetrievalConfig
 from strandgraph.functions import predicates, text
 from strandgraph.operators import bundle, evaluation, graph, relations, search
+from strandgraph.plans import registry
 from strandgraph.plans.build import build_knowledge_graph, search_documents
 from strandgraph.sources import artifact, git
 
@@ -173,3 +174,11 @@ def test_unsafe_paths_are_refused(repository):
     for path in ("../x", "a//b"):
         with pytest.raises(ValueError):
             git.check_path(repository, path)
+
+
+def test_registered_pairs_keep_the_references_limit(spark, tmp_path):
+    sizes = {1: 20, 2: 20, 3: 21, 4: 21}
+    rows = [(c, p, 1) for c, n in sizes.items() for p in range(100 * (c > 2), 100 * (c > 2) + n)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = registry.cochange_pairs(spark, str(tmp_path)).collect()
+    assert len(got) == 190 and {(r.n, r.commits) for r in got} == {(2, "1,2")}
