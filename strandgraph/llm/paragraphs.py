@@ -2,9 +2,10 @@
 
 Two kinds of units are compared across documents.
 
-* A paragraph is a line of at least ``min_words`` words. Its five-word shingles give a
-  MinHash signature cut into bands; paragraphs that collide in a band are verified by
-  exact Jaccard similarity, and components of verified links form one cluster.
+* A paragraph is a line of at least ``min_words`` words, by default all that have a shingle.
+  Its five-word shingles give a MinHash signature cut into bands; paragraphs that collide
+  in a band are verified by exact Jaccard similarity, and components of verified links form
+  one cluster. Lines of one to four words have no shingle and are no paragraphs.
 * A passage that repeats inside otherwise different paragraphs has no similar paragraph
   around it. So ``UNIT`` words are also taken at content-chosen anchors: a start is an
   anchor if its hash is the least of some ``ANCHOR`` consecutive starts. Any shared run of
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 from strandgraph.llm.common import LOWER, col, stored
 from strandgraph.llm.components import connected_components, verified_links
 
-MIN_WORDS, SHINGLE, SIMILARITY = 50, 5, 0.8
+SHINGLE, SIMILARITY = 5, 0.8
+MIN_WORDS = SHINGLE
 #: At similarity 0.8 the bands miss a pair with probability (1 - 0.8^2)^6 = 0.002.
 BANDS, ROWS = 6, 2
 UNIT, ANCHOR = 40, 12

@@ -59,6 +59,17 @@ def test_embedded_passages_and_similar_paragraphs(spark):
     assert {r.doc_id for r in rows if not r.removed} and {r.doc_id for r in rows if r.removed}
 
 
+def test_short_paragraphs_are_compared(spark):
+    line = lambda k, n: " ".join(f"p{k}x{j}" for j in range(n))
+    texts = []
+    for k, n in enumerate((5, 10, 20, 49)):
+        texts += [f"{line(k, n)}\n{line(90 + k, 7)}", f"{line(70 + k, 6)}\n{line(k, n)}"]
+    texts += [line(50, 30), f"{line(50, 29)} other", line(60, 4), line(60, 4)]
+    got = {(r.doc_id, r.start, r.end, r.first_doc_id, r.removed) for r in paragraphs.repeated_spans(frame(spark, texts)).collect()}
+    want = {(2 * k, 0, n, 2 * k, False) for k, n in enumerate((5, 10, 20, 49))} | {(2 * k + 1, 6, 6 + n, 2 * k, True) for k, n in enumerate((5, 10, 20, 49))}
+    assert got == want | {(8, 0, 30, 8, False), (9, 0, 30, 8, True)}
+
+
 def test_jaccard_is_exact():
     import pyarrow as pa
 
