@@ -154,8 +154,9 @@ def repeated_spans(
 ) -> DataFrame:
     """``(doc_id, start, end, first_doc_id, n_units, removed)``: word spans that repeat across documents.
 
-    Overlapping units of one document with the same fate are merged. ``removed`` is false
-    for the span that stays, and first_doc_id names the document that keeps it. Documents
+    Overlapping or touching units of one document are merged if the same document keeps them,
+    so spans of different keepers can overlap. ``removed`` is false for the span that stays,
+    and first_doc_id names the document that keeps it. Documents
     without a repeat across documents give no row, and neither do null and empty texts.
     Rows that share a doc_id are read as one document, so are rows without an id (the first of all).
     """
@@ -183,10 +184,10 @@ def repeated_spans(
     spans = spans.select("key", "doc_id", "start", "end").join(clusters, "key").select("doc_id", "start", "end", "low")
 
     found = passages.union(spans).withColumn("removed", F.col("doc_id") > F.col("low"))
-    order = Window.partitionBy("doc_id", "removed").orderBy("start", "end")
+    order = Window.partitionBy("doc_id", "low").orderBy("start", "end")
     reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     found = found.withColumn("opens", F.when(F.col("start") <= reached, 0).otherwise(1))
     found = found.withColumn("island", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return found.groupBy("doc_id", "removed", "island").agg(
-        F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"), F.min("low").alias("low"), F.count("*").alias("n_units")
+    return found.groupBy("doc_id", "low", "removed", "island").agg(
+        F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"), F.count("*").alias("n_units")
     ).select(F.nullif("doc_id", F.lit(_NO_ID)).alias("doc_id"), "start", "end", F.nullif("low", F.lit(_NO_ID)).alias("first_doc_id"), "n_units", "removed")

@@ -70,6 +70,19 @@ def test_short_paragraphs_are_compared(spark):
     assert got == want | {(8, 0, 30, 8, False), (9, 0, 30, 8, True)}
 
 
+def test_every_keeper_of_joined_passages_is_named(spark):
+    line = lambda k, n: " ".join(f"p{k}x{j}" for j in range(n))
+    texts = [line(0, 20), line(1, 70), line(2, 60), "\n".join([line(0, 20), line(1, 70), line(2, 60)]), f"{line(1, 70)} {line(2, 60)}"]
+    rows = paragraphs.repeated_spans(frame(spark, texts)).collect()
+    got = {(r.doc_id, r.start, r.end, r.first_doc_id) for r in rows if r.removed}
+    assert {g for g in got if g[0] == 3} == {(3, 0, 20, 0), (3, 20, 90, 1), (3, 90, 150, 2)}
+    owned = {w: d for d in (0, 1, 2) for w in texts[d].split()}
+    # the units that cross from one passage into the next are first held by document 3
+    across = [r for r in rows if r.doc_id == 4 and r.first_doc_id != 3]
+    assert {r.first_doc_id for r in across} == {1, 2}
+    assert all(owned[w] == r.first_doc_id for r in across for w in texts[4].split()[r.start : r.end])
+
+
 def test_jaccard_is_exact():
     import pyarrow as pa
 
