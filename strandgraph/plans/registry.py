@@ -80,15 +80,11 @@ def edge_kind_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.edge_summary(_edges(spark, sf_dir)).select("kind", "edges", _r("mean_strength", 3).alias("mean_strength"))
 
 
-# --- graph: co-change and containment edges ---
-
-
-def _graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _edges(spark, sf_dir).filter(F.col("kind").isin("CO_CHANGES", "CONTAINS", "IMPORTS"))
+# --- graph: edges of all kinds ---
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.projection(_graph_edges(spark, sf_dir))
+    return graph.projection(_edges(spark, sf_dir))
 
 
 def projection_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +99,7 @@ def overview_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def node_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.degrees(_graph_edges(spark, sf_dir)).select("node_id", "degree", _r("total_strength").alias("total_strength"))
+    return graph.degrees(_edges(spark, sf_dir)).select("node_id", "degree", _r("total_strength").alias("total_strength"))
 
 
 def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,19 +131,19 @@ def path_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def step_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = graph.path_steps(_paths(spark, sf_dir), _pairs(spark, sf_dir), ["node_id"])
-    rows = graph.step_contributions(steps, _graph_edges(spark, sf_dir), ["node_id"])
+    rows = graph.step_contributions(steps, _edges(spark, sf_dir), ["node_id"])
     return rows.select("node_id", "step", text.edge_id(F.col("source_id"), F.col("target_id"), F.col("kind")).alias("edge_id"), "traversal_direction", _r("strength").alias("strength"))
 
 
 def neighborhood_top8(spark: SparkSession, sf_dir: str) -> DataFrame:
     relevance = _table(spark, sf_dir, "part").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("node_id"), F.col("p_retailprice").alias("relevance"))
-    near = graph.neighbourhood(_graph_edges(spark, sf_dir), relevance, 8)
+    near = graph.neighbourhood(_edges(spark, sf_dir), relevance, 8)
     return near.select("node_id", "place", "neighbour_id", "kind", _r("strength").alias("strength"))
 
 
 def induced_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = _paths(spark, sf_dir).select(F.explode("path").alias("node_id"))
-    return graph.induced_subgraph(_graph_edges(spark, sf_dir), chosen).select("source_id", "target_id", "kind", _r("strength").alias("strength"))
+    return graph.induced_subgraph(_edges(spark, sf_dir), chosen).select("source_id", "target_id", "kind", _r("strength").alias("strength"))
 
 
 def strongest_pair_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,7 +151,7 @@ def strongest_pair_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pagerank_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = _graph_edges(spark, sf_dir)
+    edges = _edges(spark, sf_dir)
     nodes = edges.select(F.col("source_id").alias("node_id")).union(edges.select("target_id")).union(_table(spark, sf_dir, "customer").filter("c_custkey <= 3").select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")))).distinct()
     personal = _seeds(spark, sf_dir).select("node_id", F.col("seed_score").alias("weight"))
     ranks = graph.pagerank(graph.projection(edges), nodes, personal, iterations=RANKS, tolerance=None)

@@ -182,3 +182,32 @@ def test_registered_pairs_keep_the_references_limit(spark, tmp_path):
     spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
     got = registry.cochange_pairs(spark, str(tmp_path)).collect()
     assert len(got) == 190 and {(r.n, r.commits) for r in got} == {(2, "1,2")}
+
+
+@pytest.fixture(scope="module")
+def tiny(spark, tmp_path_factory):
+    """Tables of two parts, three suppliers and five customers; parts and suppliers meet in shipments only."""
+    root = tmp_path_factory.mktemp("tiny")
+    tables = {
+        "lineitem": ("l_orderkey long, l_partkey long, l_suppkey long", [(1, 1, 1), (2, 1, 2), (3, 2, 2), (4, 2, 2)]),
+        "part": ("p_partkey long, p_brand string, p_retailprice double", [(1, "A", 5.0), (2, "B", 7.0)]),
+        "nation": ("n_nationkey long, n_regionkey long", [(1, 1)]),
+        "supplier": ("s_suppkey long, s_nationkey long", [(1, 1), (2, 1), (3, 1)]),
+        "customer": ("c_custkey long", [(k,) for k in range(1, 6)]),
+    }
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(root / f"{name}.parquet"))
+    return str(root)
+
+
+def test_graph_queries_walk_shipments(spark, tiny):
+    assert {r.node_id: r.degree for r in registry.node_degrees(spark, tiny).collect()} == {
+        "part:1": 3, "part:2": 2, "supplier:1": 2, "supplier:2": 3, "supplier:3": 1, "nation:1": 4, "region:1": 1, "brand:A": 1, "brand:B": 1
+    }
+    paths = {r.node_id: r.path for r in registry.strongest_paths_2hop(spark, tiny).collect()}
+    assert paths["supplier:1"] == "part:1>supplier:1" and paths["nation:1"].split(">")[1] in ("supplier:1", "supplier:2")
+    kinds = {r.edge_id.split(":")[0] for r in registry.step_contributions(spark, tiny).collect()}
+    assert kinds == {"SHIPS", "CONTAINS", "IMPORTS"}
+    assert ("part:1", "supplier:1") in {(r.node_id, r.neighbour_id) for r in registry.neighborhood_top8(spark, tiny).collect()}
+    assert "SHIPS" in {r.kind for r in registry.induced_subgraph(spark, tiny).collect()}
+    assert {r.node_id for r in registry.related_pruned(spark, tiny).collect()} >= {"supplier:1", "supplier:2"}
