@@ -152,7 +152,7 @@ def strongest_pair_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pagerank_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = _edges(spark, sf_dir)
-    nodes = edges.select(F.col("source_id").alias("node_id")).union(edges.select("target_id")).union(_table(spark, sf_dir, "customer").filter("c_custkey <= 3").select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")))).distinct()
+    nodes = edges.select(F.col("source_id").alias("node_id")).union(edges.select("target_id")).union(_table(spark, sf_dir, "customer").select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")))).distinct()
     personal = _seeds(spark, sf_dir).select("node_id", F.col("seed_score").alias("weight"))
     ranks = graph.pagerank(graph.projection(edges), nodes, personal, iterations=RANKS, tolerance=None)
     return ranks.select("node_id", _r("rank", 9).alias("rank"))

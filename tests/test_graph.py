@@ -4,6 +4,7 @@ import json
 import subprocess
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -211,3 +212,21 @@ def test_graph_queries_walk_shipments(spark, tiny):
     assert ("part:1", "supplier:1") in {(r.node_id, r.neighbour_id) for r in registry.neighborhood_top8(spark, tiny).collect()}
     assert "SHIPS" in {r.kind for r in registry.induced_subgraph(spark, tiny).collect()}
     assert {r.node_id for r in registry.related_pruned(spark, tiny).collect()} >= {"supplier:1", "supplier:2"}
+
+
+def test_pagerank_counts_every_customer(spark, tiny):
+    weights = {(r.u, r.v): r.weight for r in graph.projection(registry._edges(spark, tiny)).collect()}
+    nodes = sorted({n for pair in weights for n in pair} | {f"customer:{k}" for k in range(1, 6)})
+    flow = np.zeros((len(nodes), len(nodes)))
+    for (u, v), w in weights.items():
+        i, j = nodes.index(u), nodes.index(v)
+        flow[i, j] = flow[j, i] = w
+    out = flow.sum(axis=1)
+    flow = np.divide(flow, out[:, None], out=np.zeros_like(flow), where=out[:, None] > 0)
+    # both parts are seeds and stand in two and two commits
+    p = np.array([{"part:1": 0.5, "part:2": 0.5}.get(n, 0.0) for n in nodes])
+    rank = np.full(len(nodes), 1 / len(nodes))
+    for _ in range(registry.RANKS):
+        rank = 0.85 * (rank @ flow + rank[out == 0].sum() * p) + 0.15 * p
+    got = {r.node_id: r.rank for r in registry.pagerank_k(spark, tiny).collect()}
+    assert sorted(got) == nodes and all(abs(got[n] - r) < 1e-8 for n, r in zip(nodes, rank, strict=True))
