@@ -187,6 +187,24 @@ def test_license_scan(spark):
     assert licenses.scan_licenses(empty_docs(spark)).count() == 0
 
 
+def test_wrapped_notices_keep_their_labels(spark):
+    import textwrap
+
+    texts, want = [], []
+    for label, t in licenses.TEMPLATES:
+        for width, mark in ((75, ""), (40, "# "), (20, " * ")):
+            texts.append("\n".join(["Some words before it"] + textwrap.wrap(t, width, initial_indent=mark, subsequent_indent=mark) + ["and words after"]))
+            want.append(label)
+    mit = licenses.TEMPLATES[11][1].split()
+    texts += ["\n".join(mit[:10]) + "\n" + "other " * 30 + "\n" + "\n".join(mit[10:]), "Licensed under the\n\nMIT License", "Licensed under the\nbroad MIT License", "word MIT\n" + " ".join(mit) + "\nhereby granted"]
+    want += ["", "mit", "", "mit"]
+    rows = {r.doc_id: r for r in licenses.scan_licenses(frame(spark, texts)).collect()}
+    assert [set(want[k].split(",")) <= set(rows[k].labels.split(",")) for k in range(len(want) - 4)] == [True] * (len(want) - 4)
+    assert [rows[k].labels for k in range(len(want) - 4, len(want))] == want[-4:]
+    assert [rows[k].n_blocks for k in range(len(want) - 4, len(want))] == [0, 1, 0, 1]
+    assert all(rows[k].n_blocks == 1 for k, label in enumerate(want[:-4]) if label in ("mit", "bsd", "isc", "cc0"))
+
+
 # --- op5 ---
 
 
