@@ -5,7 +5,8 @@ ignored, so a substituted token there does not break the seed's hash. The hashes
 benchmark places are looked up for every place of every document; each hit fixes an item
 and a diagonal, and along that diagonal the tokens themselves are compared. A document is
 contaminated by an item if some stretch of at least ``min_tokens`` aligned tokens (the
-whole item, if it is shorter) agrees in at least ``similarity`` of its places.
+whole item, if it is shorter) agrees in at least ``similarity`` of its places. An item that
+is shorter is cut into one block more than it may have substitutions, and one block agrees.
 
 Tokens are runs of letters, digits and other non-ASCII characters after lower-casing A-Z.
 The benchmark travels to the executors in slices of at most ``slice_tokens`` tokens: the
@@ -28,8 +29,9 @@ from pyspark.sql import functions as F
 
 from strandgraph.llm.common import LOWER, col, fresh
 
-#: Of every 13 tokens with two substitutions anywhere, at least one mask hits at some offset.
-MASKS = ("111111", "1000101111", "11101011", "1101101001")
+#: Of every 13 to 25 tokens of which a fifth at most is substituted, anywhere, at least one mask
+#: hits at some offset. Longer stretches can be cut into such ones.
+MASKS = ("111111", "1000101111", "11101011", "1101101001", "110111")
 MIN_TOKENS, SIMILARITY, SLICE_TOKENS = 13, 0.8, 2_000_000
 _TOKEN = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -50,6 +52,12 @@ def _hashes(ids: np.ndarray, mask: str, salt: int) -> np.ndarray:
     return out
 
 
+def _blocks(n: int, similarity: float) -> list[tuple[int, int]]:
+    """Places [s, e) of n tokens cut into one block more than substitutions are allowed."""
+    cuts = min(n, int((1.0 - similarity) * n + 1e-9) + 1)
+    return [(n * k // cuts, n * (k + 1) // cuts) for k in range(cuts)]
+
+
 @dataclass
 class SeedIndex:
     """One slice of the benchmark: token ids of all items and the places of their seeds."""
@@ -70,18 +78,17 @@ class SeedIndex:
     def of(cls, items: list[tuple[int, str]], masks: tuple[str, ...], min_tokens: int, similarity: float) -> SeedIndex:
         vocabulary: dict[bytes, int] = {}
         rows = [np.array([vocabulary.setdefault(t, len(vocabulary) + 1) for t in tokens(text)], np.uint64) for _, text in items]
-        shortest = min((len(m) for m in masks), default=0)
-        # an item that no mask fits into is sought as a whole
-        used = [*masks, *sorted({"1" * len(r) for r in rows if 0 < len(r) < shortest})]
+        short = max(min_tokens, min((len(m) for m in masks), default=0))
+        blocks = [_blocks(len(r), similarity) if 0 < len(r) < short else [] for r in rows]
+        used = [*masks, *sorted({"1" * (e - s) for b in blocks for s, e in b})]
         keys, item_of, place = [], [], []
         for m, mask in enumerate(used):
             for i, row in enumerate(rows):
-                if m >= len(masks) and len(row) != len(mask):
-                    continue
                 h = _hashes(row, mask, m)
-                keys.append(h)
-                item_of.append(np.full(len(h), i, np.int64))
-                place.append(np.arange(len(h)))
+                at = np.arange(len(h)) if m < len(masks) else np.array([s for s, e in blocks[i] if e - s == len(mask)], np.int64)
+                keys.append(h[at])
+                item_of.append(np.full(len(at), i, np.int64))
+                place.append(at)
         key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
         order = np.argsort(key, kind="stable")
         bits = max(16, int(np.ceil(np.log2(len(key) * 16 + 1))))

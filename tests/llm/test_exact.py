@@ -145,6 +145,17 @@ def test_every_overlap_with_substitutions_is_found(spark):
     assert clean == set(range(60)) - {d for d, _ in want}
 
 
+@pytest.mark.parametrize("n", [1, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 20])
+def test_every_placement_of_substitutions_is_found(n):
+    from itertools import combinations
+
+    item = [f"w{k}" for k in range(n)]
+    index = decontamination.SeedIndex.of([(1, " ".join(item))], decontamination.MASKS, decontamination.MIN_TOKENS, decontamination.SIMILARITY)
+    for places in combinations(range(n), n // 5):
+        words = ["before", *[f"x{k}" if k in places else w for k, w in enumerate(item)], "after"]
+        assert [hit[0] for hit in index.hits(" ".join(words))] == [1], places
+
+
 def test_decontamination_edge_cases(spark):
     docs = edge_docs(spark)
     bench = spark.createDataFrame([(1, TEXTS[0][1])], "item_id long, text string")
