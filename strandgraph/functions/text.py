@@ -63,11 +63,23 @@ def edge_id(source: Column, target: Column, kind: Column) -> Column:
     return F.concat(kind, F.lit(":"), source, F.lit("->"), target)
 
 
+#: Characters that count as white space at the ends of a text.
+_SPACE = r"[\s\x1c-\x1f]"
+
+
+def strip(text: Column) -> Column:
+    return F.regexp_replace(text, rf"(?U)\A{_SPACE}+|{_SPACE}+\z", "")
+
+
 def truncate_source(text: Column, limit: int) -> Column:
-    """Stripped text, cut to ``limit`` characters with an ellipsis if it is longer."""
-    body = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-    cut = F.regexp_replace(F.substring(body, 1, limit - 1), r"(?U)\s+$", "")
-    return F.when(F.length(body) <= limit, body).otherwise(F.concat(cut, F.lit("…")))
+    """A text of at most ``limit`` characters as it is; of a longer one the beginning, stripped at its end, and an ellipsis."""
+    cut = F.regexp_replace(F.substring(text, 1, limit - 1), rf"(?U){_SPACE}+\z", "")
+    return F.when(F.length(text) <= limit, text).otherwise(F.concat(cut, F.lit("…")))
+
+
+def display_round(value: Column, digits: int) -> Column:
+    """Rounded for display; halves of the decimal text go to the even digit."""
+    return F.bround(value.cast("decimal(38,18)"), digits).cast("double")
 
 
 def _authority(url: Column) -> tuple[Column, Column]:

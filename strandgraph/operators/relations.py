@@ -5,44 +5,60 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandgraph.functions.text import display_round
+from strandgraph.plans.lineage import stored
+
 #: Prior weight of each edge kind; other kinds have the default.
 PRIORS = {"CALLS": 1.0, "INHERITS": 0.95, "INSTANTIATES": 0.9, "TESTS": 0.85, "CO_CHANGES": 0.8, "IMPORTS": 0.65, "CONTAINS": 0.45}
 DEFAULT_PRIOR = 0.5
 RELATION_COLUMNS = ["source_id", "target_id", "kind", "count", "confidence", "evidence"]
 
 
+def _once(changes: DataFrame) -> DataFrame:
+    """Each path of a commit once, with the commit's place ``ord`` (its id, if the log gives no order)."""
+    place = F.col("ord") if "ord" in changes.columns else F.col("commit_id")
+    return changes.groupBy("commit_id", "path").agg(F.min(place).alias("ord"))
+
+
 def commit_totals(changes: DataFrame) -> DataFrame:
     """Commits per path of ``changes(commit_id, path)``; large commits count too."""
-    return changes.distinct().groupBy("path").agg(F.count("*").alias("commits"))
+    return _once(changes).groupBy("path").agg(F.count("*").alias("commits"))
 
 
 def cochange_pairs(changes: DataFrame, *, minimum_support: int = 2, maximum_files: int = 20) -> DataFrame:
     """``(left_path, right_path, n, commits)`` of paths that changed together.
 
     Commits of more than ``maximum_files`` paths make no pairs, so a commit gives at most
-    maximum_files^2 / 2 of them. ``commits`` lists short ids in ascending order.
+    maximum_files^2 / 2 of them. ``commits`` lists short ids in the order of the column
+    ``ord`` of ``changes``, by which a log counts from its newest commit. The paths of a commit are gathered
+    once, in an array of bounded size, and paired there: no self-join.
     """
-    changes = changes.distinct()
-    small = changes.groupBy("commit_id").agg(F.count("*").alias("files")).filter((F.col("files") <= maximum_files) & (F.col("files") > 1))
-    kept = changes.join(small.select("commit_id"), "commit_id", "left_semi")
-    left, right = kept.withColumnRenamed("path", "left_path"), kept.withColumnRenamed("path", "right_path")
-    pairs = left.join(right, "commit_id").filter("left_path < right_path")
-    found = pairs.groupBy("left_path", "right_path").agg(
-        F.count("*").alias("n"), F.array_sort(F.collect_list(F.substring(F.col("commit_id").cast("string"), 1, 8))).alias("commits")
+    once = _once(changes)
+    files = once.groupBy("commit_id").agg(F.count("*").alias("files"), F.min("ord").alias("ord"))
+    small = files.filter((F.col("files") <= maximum_files) & (F.col("files") > 1))
+    kept = once.drop("ord").join(small.select("commit_id", "ord"), "commit_id").groupBy("commit_id", "ord").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    rest = lambda x, k: F.transform(F.slice("paths", k + 2, F.greatest(F.size("paths") - k - 1, F.lit(0))), lambda y: F.struct(x.alias("l"), y.alias("r")))
+    pairs = kept.select("commit_id", "ord", F.explode(F.flatten(F.transform("paths", rest))).alias("p"))
+    found = pairs.groupBy(F.col("p.l").alias("left_path"), F.col("p.r").alias("right_path")).agg(
+        F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("ord", F.substring(F.col("commit_id").cast("string"), 1, 8).alias("id")))).alias("commits")
     )
-    return found.filter(F.col("n") >= minimum_support)
+    return found.filter(F.col("n") >= minimum_support).withColumn("commits", F.col("commits.id"))
 
 
 def cochange_relations(changes: DataFrame, *, minimum_support: int = 2, maximum_files: int = 20) -> DataFrame:
-    """CO_CHANGES relations: Jaccard of the commits times 1 - exp(-n / 2), at most 1."""
+    """CO_CHANGES relations: Jaccard of the commits times 1 - exp(-n / 2), at most 1.
+
+    The evidence says so in words: the commits, their Jaccard and their short ids.
+    """
     pairs = cochange_pairs(changes, minimum_support=minimum_support, maximum_files=maximum_files)
     totals = commit_totals(changes)
     joined = pairs.join(totals.toDF("left_path", "left_n"), "left_path").join(totals.toDF("right_path", "right_n"), "right_path")
     n = F.col("n")
-    confidence = F.least(F.lit(1.0), n / (F.col("left_n") + F.col("right_n") - n) * (1 - F.exp(-n / 2)))
+    jaccard = n / (F.col("left_n") + F.col("right_n") - n)
+    evidence = F.concat(n.cast("string"), F.lit(" non-merge commits; Jaccard="), F.format_string("%.3f", display_round(jaccard, 3)), F.lit("; commits="), F.array_join("commits", ", "))
     return joined.select(
         F.col("left_path").alias("source_id"), F.col("right_path").alias("target_id"), F.lit("CO_CHANGES").alias("kind"),
-        n.alias("count"), confidence.alias("confidence"), F.col("commits").alias("evidence"),
+        n.alias("count"), F.least(F.lit(1.0), jaccard * (1 - F.exp(-n / 2))).alias("confidence"), F.array(evidence).alias("evidence"),
     )
 
 
@@ -72,7 +88,7 @@ def aggregate_relations(relations: DataFrame) -> DataFrame:
 
 
 def edge_summary(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("kind").agg(F.count("*").alias("edges"), F.round(F.avg("strength"), 3).alias("mean_strength"))
+    return edges.groupBy("kind").agg(F.count("*").alias("edges"), display_round(F.avg("strength"), 3).alias("mean_strength"))
 
 
 def node_summary(nodes: DataFrame) -> DataFrame:
@@ -122,7 +138,7 @@ def resolve_relations(nodes: DataFrame, pending: DataFrame, bindings: DataFrame)
     aliases = bindings.groupBy(F.col("path").alias("p"), F.col("bound").alias("b")).agg(F.max_by(F.struct("module", "symbol"), "ord").alias("alias"))
 
     origin = nodes.select(F.col("id").alias("source_id"), F.col("kind").alias("source_kind"), F.col("path"), F.col("module").alias("own"), F.col("qualified_name").alias("own_name"))
-    rows = pending.withColumn("pid", F.monotonically_increasing_id()).join(origin, "source_id")
+    rows = stored(pending.withColumn("pid", F.monotonically_increasing_id()).join(origin, "source_id"), "pending")
     text = F.col("target_text")
     is_module = text.startswith("@module:")
     rows = rows.withColumn("root", F.substring_index(text, ".", 1)).withColumn("rest", F.expr("CASE WHEN instr(target_text, '.') > 0 THEN substring(target_text, instr(target_text, '.') + 1) ELSE '' END"))
@@ -132,7 +148,8 @@ def resolve_relations(nodes: DataFrame, pending: DataFrame, bindings: DataFrame)
         parts = F.split(value, r"\.")
         return F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "."))
 
-    holders = rows.select("pid", "own", F.explode(prefixes(F.col("own_name"))).alias("q"), "own_name")
+    # the class around a symbol is named by a proper prefix of its own name
+    holders = rows.select("pid", "own", F.explode(prefixes(F.col("own_name"))).alias("q"), "own_name").filter("q <> own_name")
     holders = holders.join(classes, (F.col("own") == F.col("m")) & (holders.q == classes.q)).groupBy("pid").agg(F.max_by(holders.q, F.length(holders.q)).alias("holder"))
     rows = rows.join(holders, "pid", "left").join(aliases, (F.col("path") == F.col("p")) & (F.col("root") == F.col("b")), "left").drop("p", "b")
 

@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandgraph.config import GraphConfig
-from strandgraph.functions.text import location, node_document
+from strandgraph.functions.text import display_round, location, node_document
 from strandgraph.operators import relations
+from strandgraph.operators.graph import format_paths
 from strandgraph.plans.lineage import stored
 from strandgraph.sources import git
 from strandgraph.sources.python_source import extract
 
-IDENTITY = ["id", "kind", "name", "qualified_name", "path", "signature", "docstring"]
+#: The fields of a node that its search document names, in this order.
+IDENTITY = ["kind", "path", "module", "language", "qualified_name", "signature", "docstring"]
 
 
 @dataclass(frozen=True)
@@ -47,7 +49,7 @@ def build_knowledge_graph(spark: SparkSession, config: GraphConfig) -> Knowledge
     """Read, parse, resolve, aggregate and validate; fails if the repository changes meanwhile."""
     root = config.repository
     paths = git.discover(root)
-    before = git.snapshot(spark, root, paths, public=config.is_public, expected_commit=config.expected_commit)
+    before = git.snapshot(spark, root, paths, public=config.is_public, expected_commit=config.expected_commit, retrieval=config.retrieval)
     tables = graph_tables(git.read_files(spark, root, paths), git.read_log(spark, root), minimum_support=config.cochange_minimum_support, maximum_files=config.cochange_maximum_files)
     git.verify_snapshot(spark, root, before)
     relations.validate_graph(tables[0], tables[1])
@@ -59,7 +61,17 @@ def search_documents(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.col("id").alias("node_id"), node_document({c: F.col(c) for c in IDENTITY}, F.col("source")).alias("document"))
 
 
-def node_details(ranked: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Ranked rows with name, kind and location of their nodes."""
-    about = nodes.select(F.col("id").alias("node_id"), "kind", "name", "qualified_name", "language", "path", "start_line", "end_line", location(F.col("path"), F.col("start_line")).alias("location"))
-    return ranked.join(about, "node_id")
+def result_tables(graph: KnowledgeGraph, result) -> tuple[DataFrame, DataFrame]:
+    """Anchors and related nodes of a query result as they are shown: names, places, rounded scores, paths in words."""
+    about = graph.nodes.select(F.col("id").alias("node_id"), F.col("qualified_name").alias("node"), "kind", location(F.col("path"), F.col("start_line")).alias("location"))
+    names = about.select("node_id", F.col("node").alias("name"))
+    shown = lambda name, alias: display_round(F.col(name), 4).alias(alias)
+    anchors = result.anchors.join(about, "node_id").select("query_id", "rank", "node_id", "node", "kind", "location", shown("direct", "direct_relevance"))
+    keys = ["query_id", "node_id"]
+    paths = result.paths.join(result.related.select(*keys), keys, "left_semi")
+    words = format_paths(paths, result.pairs, graph.edges, names, keys).withColumnRenamed("text", "strongest_path")
+    related = result.related.join(about, "node_id").join(words, keys).select(
+        "query_id", "rank", "node_id", "node", "kind", "location", shown("relationship", "relationship_strength"), shown("pagerank_share", "pagerank"),
+        shown("direct", "direct_relevance"), "strongest_path",
+    )
+    return anchors, related

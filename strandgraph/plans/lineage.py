@@ -1,15 +1,44 @@
-"""Cutting the lineage of iterative plans."""
+"""Cutting the lineage of plans that are used more than once: tables in the shared folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed to the session's shared folder; a temporary one only if none is set."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``, which the driver and all executors reach.
+
+    Without the setting the context's checkpoint folder is used. A temporary folder is made
+    only where driver and executors are one machine; elsewhere its absence is an error,
+    because tables in a folder of one machine are lost with it.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="checkpoints-")
+        context.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` written once as Parquet to the shared folder and read back; its lineage ends there.
+
+    A lost executor costs only the tasks that read the table, never the work before it, and
+    later reads take only the columns they need.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a ``stored`` table that nothing still to be computed reads."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

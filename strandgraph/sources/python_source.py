@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import ast
 import io
-import json
 import tokenize
 from collections.abc import Iterator
 from pathlib import PurePosixPath
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +21,18 @@ EXCLUDED = [".git", ".idg", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".ven
 
 NODE = "id string, kind string, name string, qualified_name string, path string, module string, language string, start_line int, end_line int, signature string, docstring string, source string"
 PENDING = "source_id string, kind string, target_text string, count long, confidence double, evidence array<string>, resolved boolean"
-ROWS = "row string, path string, ord int, payload string"
+BINDING = "path string, bound string, module string, symbol string"
+ISSUE = "path string, message string"
+#: One row of a parsed file: exactly one of the structs is not null.
+ROWS = f"ord int, node struct<{NODE}>, relation struct<{PENDING}>, binding struct<{BINDING}>, issue struct<{ISSUE}>"
+_ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+
+
+def _arrow_struct(fields: str) -> pa.DataType:
+    return pa.struct([(name, _ARROW[kind]) for name, kind in (f.split() for f in fields.split(", "))])
+
+
+ARROW_ROWS = pa.schema([("ord", pa.int32()), ("node", _arrow_struct(NODE)), ("relation", _arrow_struct(PENDING)), ("binding", _arrow_struct(BINDING)), ("issue", _arrow_struct(ISSUE))])
 
 
 def indexed(path: F.Column) -> F.Column:
@@ -65,7 +75,7 @@ class _Walker(ast.NodeVisitor):
     """Walks one module and emits (row kind, payload) pairs in source order."""
 
     def __init__(self, path: str, text: str) -> None:
-        self.path, self.text, self.module = path, text, module_name(path)
+        self.path, self.lines, self.module = path, text.splitlines(), module_name(path)
         self.file_id = f"file:{path}"
         self.scopes: list[tuple[str, str, str]] = []  # id, name, kind
         self.rows: list[tuple[str, dict]] = []
@@ -73,30 +83,26 @@ class _Walker(ast.NodeVisitor):
     def owner(self) -> str:
         return self.scopes[-1][0] if self.scopes else self.file_id
 
-    def relate(self, kind: str, target: str, evidence: str, *, source: str | None = None, resolved: bool = False) -> None:
-        self.rows.append(("relation", {"source_id": source or self.owner(), "kind": kind, "target_text": target, "count": 1, "confidence": 1.0, "evidence": [evidence], "resolved": resolved}))
+    def relate(self, kind: str, target: str, line: int, *, source: str | None = None, resolved: bool = False) -> None:
+        """A relation whose evidence is the place in the source that states it."""
+        self.rows.append(("relation", {"source_id": source or self.owner(), "kind": kind, "target_text": target, "count": 1, "confidence": 1.0, "evidence": [f"{self.path}:{line}"], "resolved": resolved}))
 
-    def enter(self, node: ast.ClassDef | ast.FunctionDef | ast.AsyncFunctionDef, kind: str) -> None:
+    def enter(self, node: ast.ClassDef | ast.FunctionDef | ast.AsyncFunctionDef, kind: str, signature: str) -> None:
         qualified = ".".join([s[1] for s in self.scopes] + [node.name])
-        own = f"symbol:{self.path}::{qualified}"
-        if isinstance(node, ast.ClassDef):
-            inner = ", ".join(map(ast.unparse, node.bases))
-            signature = f"class {node.name}({inner})" if inner else f"class {node.name}"
-        else:
-            returns = f" -> {ast.unparse(node.returns)}" if node.returns else ""
-            signature = f"{'async ' if isinstance(node, ast.AsyncFunctionDef) else ''}def {node.name}({ast.unparse(node.args)}){returns}"
+        own, end = f"symbol:{self.path}::{qualified}", node.end_lineno or node.lineno
         self.rows.append(("node", {
-            "id": own, "kind": kind, "name": node.name, "qualified_name": qualified, "path": self.path, "module": self.module, "language": "python", "start_line": node.lineno,
-            "end_line": node.end_lineno or node.lineno, "signature": signature, "docstring": ast.get_docstring(node) or "", "source": "\n".join(self.text.splitlines()[node.lineno - 1 : node.end_lineno]),
+            "id": own, "kind": kind, "name": node.name, "qualified_name": qualified, "path": self.path, "module": self.module, "language": "python", "start_line": node.lineno, "end_line": end,
+            "signature": signature, "docstring": ast.get_docstring(node) or "", "source": "\n".join(self.lines[node.lineno - 1 : end]),
         }))
-        self.relate("CONTAINS", own, f"{self.owner()} contains {node.name}", resolved=True)
+        self.relate("CONTAINS", own, node.lineno, resolved=True)
         self.scopes.append((own, node.name, kind))
 
     def visit_ClassDef(self, node: ast.ClassDef) -> None:
-        self.enter(node, "class")
+        inner = ", ".join(map(ast.unparse, node.bases))
+        self.enter(node, "class", f"class {node.name}" + (f"({inner})" if inner else ""))
         for base in node.bases:
             if text := name_of(base):
-                self.relate("INHERITS", text, f"{node.name} inherits {text}")
+                self.relate("INHERITS", text, node.lineno)
         self.generic_visit(node)
         self.scopes.pop()
 
@@ -108,7 +114,9 @@ class _Walker(ast.NodeVisitor):
             kind = "fixture"
         else:
             kind = "method" if self.scopes and self.scopes[-1][2] == "class" else "function"
-        self.enter(node, kind)
+        start = "async " if isinstance(node, ast.AsyncFunctionDef) else ""
+        result = f" -> {ast.unparse(node.returns)}" if node.returns else ""
+        self.enter(node, kind, f"{start}{node.name}({ast.unparse(node.args)}){result}")
         self.generic_visit(node)
         self.scopes.pop()
 
@@ -119,63 +127,76 @@ class _Walker(ast.NodeVisitor):
 
     def visit_Import(self, node: ast.Import) -> None:
         for alias in node.names:
-            self.relate("IMPORTS", f"@module:{alias.name}", f"import {alias.name}", source=self.file_id)
-            self.bind(alias.asname or alias.name.split(".")[0], alias.name if alias.asname else alias.name.split(".")[0], "")
+            self.relate("IMPORTS", f"@module:{alias.name}", node.lineno, source=self.file_id)
+            top = alias.name.split(".")[0]
+            self.bind(alias.asname or top, alias.name if alias.asname else top, "")
 
     def visit_ImportFrom(self, node: ast.ImportFrom) -> None:
         module = absolute_module(self.module, self.path, node.module, node.level)
         if module:
-            self.relate("IMPORTS", f"@module:{module}", f"from {module} import {', '.join(a.name for a in node.names)}", source=self.file_id)
+            self.relate("IMPORTS", f"@module:{module}", node.lineno, source=self.file_id)
         for alias in node.names:
             if alias.name != "*":
                 self.bind(alias.asname or alias.name, module, alias.name)
 
     def visit_Call(self, node: ast.Call) -> None:
         if text := name_of(node.func):
-            self.relate("CALLS", text, f"{self.scopes[-1][1] if self.scopes else self.path} calls {text}")
+            self.relate("CALLS", text, node.lineno)
         self.generic_visit(node)
 
 
-def file_rows(path: str, content: bytes) -> list[tuple[str, dict]]:
-    """Rows of one file: a file node and, for Python, its symbols; or one issue."""
+def decoded(content: bytes) -> str:
+    """Text by its byte order mark or coding line, else UTF-8, with line ends as \\n."""
+    encoding = tokenize.detect_encoding(io.BytesIO(content).readline)[0]
+    return io.TextIOWrapper(io.BytesIO(content), encoding).read()
+
+
+def file_rows(path: str, content: bytes | None, problem: str | None = None) -> list[tuple[str, dict]]:
+    """Rows of one file: a file node and, for Python, its symbols; or one issue if it cannot be read or parsed."""
     suffix = PurePosixPath(path).suffix.lower()
+    rows, docstring = [], ""
     try:
+        if content is None:
+            raise OSError(problem or "no content")
+        text = decoded(content)
         if suffix == ".py":
-            encoding = tokenize.detect_encoding(io.BytesIO(content).readline)[0]
-            text = content.decode(encoding)
+            tree = ast.parse(text, filename=path, type_comments=True)
+            docstring = ast.get_docstring(tree) or ""
             walker = _Walker(path, text)
-            walker.visit(ast.parse(text, filename=path))
+            walker.visit(tree)
             rows = walker.rows
-        else:
-            text, rows = content.decode("utf-8"), []
-    except (SyntaxError, UnicodeError, ValueError) as error:
-        return [("issue", {"path": path, "message": f"{type(error).__name__}: {error}"})]
-    name = PurePosixPath(path).name
+    except (OSError, SyntaxError, ValueError) as error:  # Unicode errors are value errors
+        return [("issue", {"path": path, "message": str(error)})]
+    module = module_name(path)
     return [("node", {
-        "id": f"file:{path}", "kind": "file", "name": name, "qualified_name": path, "path": path, "module": module_name(path), "language": LANGUAGES.get(suffix, "text"),
-        "start_line": 1, "end_line": max(1, len(text.splitlines())), "signature": "", "docstring": "", "source": text,
+        "id": f"file:{path}", "kind": "file", "name": PurePosixPath(path).name, "qualified_name": module, "path": path, "module": module, "language": LANGUAGES.get(suffix, "text"),
+        "start_line": 1, "end_line": max(1, len(text.splitlines())), "signature": "", "docstring": docstring, "source": text,
     }), *rows]
 
 
 def extract(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """``(nodes, relations, bindings, issues)`` of ``files(path, content binary)``.
 
+    A file without content is an issue; its column ``problem``, if there is one, says why.
     Each file is parsed where it lies; a symbol defined twice keeps its last definition. The
     parse is stored once because four tables are read from it.
     """
     from strandgraph.plans.lineage import stored
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(kind, path, k, json.dumps(payload)) for path, content in zip(batch["path"], batch["content"], strict=True) for k, (kind, payload) in enumerate(file_rows(path, content))]
-            yield pd.DataFrame(out, columns=["row", "path", "ord", "payload"])
+            for file in batch.to_pylist():
+                parsed = file_rows(file["path"], file["content"], file["problem"])
+                rows = [{"ord": k, kind: payload} for k, (kind, payload) in enumerate(parsed)]
+                yield pa.RecordBatch.from_pylist(rows, schema=ARROW_ROWS)
 
-    rows = stored(files.select("path", "content").mapInPandas(run, ROWS))
+    problem = F.col("problem") if "problem" in files.columns else F.lit(None).cast("string").alias("problem")
+    rows = stored(files.select("path", "content", problem).mapInArrow(run, ROWS), "parsed")
 
-    def part(kind: str, schema: str) -> DataFrame:
-        return rows.filter(F.col("row") == kind).select(F.col("ord").alias("at"), F.from_json("payload", schema).alias("p")).select("p.*", "at")
+    def part(kind: str) -> DataFrame:
+        return rows.filter(F.col(kind).isNotNull()).select(f"{kind}.*", F.col("ord").alias("at"))
 
-    nodes = part("node", NODE)
+    nodes = part("node")
     fields = [c for c in nodes.columns if c not in ("id", "at")]
     nodes = nodes.groupBy("id").agg(F.max_by(F.struct(*fields, "at"), "at").alias("n")).select("id", "n.*")
-    return nodes, part("relation", PENDING), part("binding", "path string, bound string, module string, symbol string").withColumnRenamed("at", "ord"), part("issue", "path string, message string").drop("at")
+    return nodes, part("relation"), part("binding").withColumnRenamed("at", "ord"), part("issue").drop("at")
