@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandgraph.functions.text import display_round
 from strandgraph.operators.relations import strongest_per_neighbour
-from strandgraph.plans.lineage import stored
+from strandgraph.plans.lineage import discard, stored
 
 
 def noisy_or(strength: Column) -> Column:
@@ -29,11 +30,14 @@ def projection(edges: DataFrame) -> DataFrame:
 
 
 def adjacency(pairs: DataFrame) -> DataFrame:
-    """``(node, neighbour, weight, place)`` in both directions; place counts a node's neighbours in edge order."""
-    ends = ["weight", "first_source", "first_target", "first_kind"]
-    both = pairs.select(F.col("u").alias("node"), F.col("v").alias("neighbour"), *ends).union(pairs.select(F.col("v"), F.col("u"), *ends))
-    order = Window.partitionBy("node").orderBy("first_source", "first_target", "first_kind")
-    return both.select("node", "neighbour", "weight", F.row_number().over(order).alias("place"))
+    """``(node, neighbour, weight, place)`` in both directions.
+
+    ``place`` orders a node's neighbours by the first edge to each. It is that edge's key and
+    not a row number, so a hub's neighbours need not be sorted in one task.
+    """
+    place = F.struct("first_source", "first_target", "first_kind").alias("place")
+    both = pairs.select(F.col("u").alias("node"), F.col("v").alias("neighbour"), "weight", place)
+    return both.union(pairs.select(F.col("v"), F.col("u"), "weight", place))
 
 
 def strongest_paths(pairs: DataFrame, seeds: DataFrame, *, hops: int = 2, hop_decay: float = 0.85, exhaustive: bool = True, keys: list[str] | None = None) -> DataFrame:
@@ -41,9 +45,13 @@ def strongest_paths(pairs: DataFrame, seeds: DataFrame, *, hops: int = 2, hop_de
 
     seeds: keys..., node_id, seed_score, seed_rank. Scores start at seed_score / max and each
     hop multiplies by the decay and the pair's weight; paths are simple. Ties go to fewer
-    hops, then to the order of seeds and neighbours. Without ``exhaustive`` only the best
-    candidate per node and depth goes on, which is the same for all nodes but seeds and
-    keeps the frontier within nodes x hops.
+    hops, then to the order of seeds and neighbours.
+
+    Of the candidates that reach a node from one seed in one number of hops only the best
+    goes on, so the frontier stays within seeds x nodes. That loses nothing: a better
+    candidate that cannot be extended to some node has that node on its path, and so has
+    reached it before with a higher score. Without ``exhaustive`` the best candidate of all
+    seeds goes on alone, which is the same for all nodes but the seeds.
     """
     if isinstance(hops, bool) or hops < 1 or not 0 < hop_decay <= 1:
         raise ValueError("hops must be positive and hop_decay in (0, 1]")
@@ -51,25 +59,55 @@ def strongest_paths(pairs: DataFrame, seeds: DataFrame, *, hops: int = 2, hop_de
     adj = adjacency(pairs)
     top = seeds.groupBy(*keys).agg(F.max("seed_score").alias("top"))
     start = seeds.join(top, keys) if keys else seeds.crossJoin(F.broadcast(top))  # one row
+    no_place = F.array().cast("array<struct<first_source: string, first_target: string, first_kind: string>>")
     frontier = start.select(
-        *keys, F.col("node_id").alias("cur"), (F.col("seed_score") / F.when(F.col("top") == 0, F.lit(1.0)).otherwise(F.col("top"))).alias("score"),
-        F.array("node_id").alias("path"), F.array(F.col("seed_rank").cast("int")).alias("places"),
+        *keys, F.col("node_id").alias("origin"), F.col("seed_rank").cast("int").alias("seed_rank"), F.col("node_id").alias("cur"),
+        (F.col("seed_score") / F.when(F.col("top") == 0, F.lit(1.0)).otherwise(F.col("top"))).alias("score"), F.array("node_id").alias("path"), no_place.alias("places"),
     )
-    rank = F.struct((-F.col("score")).alias("s"), F.size("path").alias("d"), F.col("places").alias("p"))
+    rank = F.struct((-F.col("score")).alias("s"), F.size("path").alias("d"), F.col("seed_rank").alias("r"), F.col("places").alias("p"))
+    group = [*keys, "origin", "cur"] if exhaustive else [*keys, "cur"]
+    rest = [c for c in ("origin", "seed_rank", "score", "path", "places") if c not in group]
     found = None
     for _ in range(hops):
         frontier = (
             frontier.join(adj, F.col("cur") == F.col("node")).filter(~F.array_contains("path", F.col("neighbour")))
-            .select(*keys, F.col("neighbour").alias("cur"), (F.col("score") * hop_decay * F.col("weight")).alias("score"), F.concat("path", F.array("neighbour")).alias("path"), F.concat("places", F.array("place")).alias("places"))
+            .select(
+                *keys, "origin", "seed_rank", F.col("neighbour").alias("cur"), (F.col("score") * hop_decay * F.col("weight")).alias("score"),
+                F.concat("path", F.array("neighbour")).alias("path"), F.concat("places", F.array("place")).alias("places"),
+            )
             .filter("score > 0")
         )
-        if not exhaustive:
-            frontier = frontier.groupBy(*keys, "cur").agg(F.min_by(F.struct("score", "path", "places"), rank).alias("b")).select(*keys, "cur", "b.*")
+        frontier = frontier.groupBy(*group).agg(F.min_by(F.struct(*rest), rank).alias("b")).select(*group, "b.*")
+        frontier = frontier.select(*keys, "origin", "seed_rank", "cur", "score", "path", "places")
         found = frontier if found is None else found.unionByName(frontier)
     best = found.groupBy(*keys, F.col("cur").alias("node_id")).agg(F.min_by(F.struct("score", "path"), rank).alias("b"))
     return best.select(*keys, "node_id", F.col("b.score").alias("score"), (F.size("b.path") - 1).alias("depth"), F.col("b.path").alias("path"))
 
 
+def edge_steps(steps: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys..., step, from_id, to_id, text)``: each step as its strongest edge in words.
+
+    The arrow says in which direction the step crosses the edge and has none for a co-change;
+    of equally strong edges the last text stands, ``--`` where there is no edge.
+    """
+    rows = step_contributions(steps, edges, keys)
+    name = F.format_string("[%s %.2f]", F.col("kind"), display_round(F.col("strength"), 2))
+    way = F.col("traversal_direction")
+    text = F.concat(F.when(way == "reverse", "<-").otherwise("-"), name, F.when(way == "forward", "->").otherwise("-"))
+    best = F.max(F.when(F.col("kind").isNotNull(), F.struct(F.col("strength"), text.alias("text")))).alias("best")
+    grouped = rows.groupBy(*keys, "step", "from_id", "to_id").agg(best)
+    return grouped.select(*keys, "step", "from_id", "to_id", F.coalesce("best.text", F.lit("--")).alias("text"))
+
+
+def format_paths(paths: DataFrame, pairs: DataFrame, edges: DataFrame, names: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys..., text)``: the names on each path with its steps between them. names: node_id, name."""
+    steps = edge_steps(path_steps(paths, pairs, keys).drop("combined_strength", "kinds"), edges, keys)
+    to = names.select(F.col("node_id").alias("to_id"), F.col("name").alias("to_name"))
+    first = paths.select(*keys, F.col("path")[0].alias("from_id")).join(names.toDF("from_id", "start"), "from_id").select(*keys, "start")
+    parts = steps.join(to, "to_id").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("step", F.concat_ws(" ", "text", "to_name").alias("part")))).alias("parts"))
+    return first.join(parts, keys, "left").select(*keys, F.concat_ws(" ", F.col("start"), F.col("parts.part")).alias("text"))
+
+
 def path_steps(paths: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
     """One row per step of each path with the pair's combined strength."""
     steps = paths.select(*keys, F.posexplode(F.expr("transform(sequence(1, size(path) - 1), k -> struct(path[k - 1] AS from_id, path[k] AS to_id))")).alias("step", "s"))
@@ -86,32 +124,66 @@ def step_contributions(steps: DataFrame, edges: DataFrame, keys: list[str]) -> D
     return joined.select(*keys, "step", "from_id", "to_id", "source_id", "target_id", "kind", direction.alias("traversal_direction"), "strength")
 
 
-def pagerank(pairs: DataFrame, nodes: DataFrame, personal: DataFrame, *, alpha: float = 0.85, iterations: int = 100, tolerance: float | None = 1e-6) -> DataFrame:
-    """``(node_id, rank)``: personalized PageRank on the undirected weighted pairs.
+def pagerank(
+    pairs: DataFrame, nodes: DataFrame, personal: DataFrame, *, alpha: float = 0.85, iterations: int = 100, tolerance: float | None = 1e-6, keys: list[str] | None = None
+) -> DataFrame:
+    """``(keys..., node_id, rank)``: personalized PageRank on the undirected weighted pairs, for all keys in one loop.
 
-    nodes: node_id; personal: node_id, weight (shares are taken; all zero means uniform over
-    its nodes). Starts uniform; isolated nodes hand their rank to the personal shares. Stops
-    once the L1 change is under nodes x tolerance; a tolerance of None runs all iterations.
+    nodes: node_id; personal: keys..., node_id, weight (shares are taken per key; all zero
+    means uniform over its nodes). Starts uniform; isolated nodes hand their rank to the
+    personal shares. A key stops once its L1 change is under nodes x tolerance; a tolerance
+    of None runs all iterations. Without keys there is one ranking, without any personal
+    rows it is empty.
+
+    A round is one job over the stored ranks. The rank that isolated nodes hand on only
+    reaches personal nodes, so its sums are joined with those few rows.
     """
+    keys = keys or []
     n = nodes.count()
-    if n == 0:
-        return nodes.select("node_id", F.lit(0.0).alias("rank"))
-    total = personal.agg(F.sum("weight").alias("w"), F.count("*").alias("n")).first()
-    share = F.col("weight") / total.w if total.w else F.lit(1.0 / max(1, total.n))
+    per_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    weight = F.sum("weight").over(per_key)
+    shares = personal.withColumn("p", F.when(weight > 0, F.col("weight") / weight).otherwise(1 / F.count("*").over(per_key)))
+    shares = stored(shares.select(*keys, "node_id", "p"), "personal")
     ends = pairs.select(F.col("u").alias("a"), F.col("v").alias("b"), "weight").union(pairs.select("v", "u", "weight"))
     out = ends.groupBy("a").agg(F.sum("weight").alias("out"))
-    links = stored(ends.join(out, "a").select("a", "b", (F.col("weight") / F.col("out")).alias("flow")))
-    base = nodes.join(personal.select("node_id", share.alias("p")), "node_id", "left").join(out, F.col("node_id") == F.col("a"), "left")
-    base = stored(base.select("node_id", F.coalesce("p", F.lit(0.0)).alias("p"), F.col("out").isNull().alias("loose"), F.lit(1.0 / n).alias("rank")))
+    links = stored(ends.join(out, "a").select("a", "b", (F.col("weight") / F.col("out")).alias("flow")), "links")
+    isolated = nodes.join(out, F.col("node_id") == F.col("a"), "left_anti").select("node_id", F.lit(True).alias("loose"))
+    named = shares.select(*keys).distinct() if keys else shares.limit(1).select()
+    base = nodes.join(isolated, "node_id", "left").crossJoin(F.broadcast(named))  # a ranking of all nodes per key
+    base = stored(base.join(shares, [*keys, "node_id"], "left").select(
+        *keys, "node_id", F.coalesce("p", F.lit(0.0)).alias("p"), F.coalesce("loose", F.lit(False)).alias("loose"), F.lit(1.0 / max(n, 1)).alias("rank"), F.lit(False).alias("done")
+    ), "ranks")
     for _ in range(iterations):
-        loose = base.filter("loose").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
-        flow = links.join(base.select(F.col("node_id").alias("a"), "rank"), "a").groupBy("b").agg(F.sum(F.col("flow") * F.col("rank")).alias("got"))
-        new = alpha * (F.coalesce("got", F.lit(0.0)) + loose * F.col("p")) + (1 - alpha) * F.col("p")
-        base = stored(base.join(flow, F.col("node_id") == F.col("b"), "left").select("node_id", "p", "loose", new.alias("rank"), F.col("rank").alias("before")))
-        if tolerance is not None and base.agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0] < n * tolerance:
-            break
-        base = base.drop("before")
-    return base.select("node_id", "rank")
+        handed = base.filter("loose").groupBy(*keys).agg((alpha * F.sum("rank")).alias("handed"))
+        handed = base.filter("p > 0").select(*keys, "node_id").join(F.broadcast(handed), keys) if keys else base.filter("p > 0").select("node_id").crossJoin(F.broadcast(handed))
+        flow = links.join(base.filter("not done").select(*keys, F.col("node_id").alias("a"), "rank"), "a").groupBy(*keys, F.col("b").alias("node_id")).agg((alpha * F.sum(F.col("flow") * F.col("rank"))).alias("got"))
+        got = base.join(flow, [*keys, "node_id"], "left").join(handed, [*keys, "node_id"], "left")
+        new = F.coalesce("got", F.lit(0.0)) + (F.coalesce("handed", F.lit(0.0)) + (1 - alpha)) * F.col("p")
+        moved = stored(got.select(*keys, "node_id", "p", "loose", "done", F.when(F.col("done"), F.col("rank")).otherwise(new).alias("rank"), F.col("rank").alias("before")), "ranks")
+        discard(base)
+        base = moved.drop("before")
+        if tolerance is not None:
+            change = moved.groupBy(*keys).agg((F.sum(F.abs(F.col("rank") - F.col("before"))) < n * tolerance).alias("still"))
+            still = change.agg(F.min("still").alias("all")).first()
+            if still["all"] or still["all"] is None:
+                break
+            if keys:
+                base = base.join(F.broadcast(change), keys).withColumn("done", F.col("done") | F.col("still")).drop("still")
+    return base.select(*keys, "node_id", "rank")
+
+
+def default_node(edges: DataFrame, nodes: DataFrame, preferred: str | None = None) -> DataFrame:
+    """The node to look at first, one row ``(node_id)``: the preferred one, else that of the most and strongest edges."""
+    counted = nodes.select("node_id").join(degrees(edges), "node_id", "left").fillna(0)
+    order = [F.desc(F.col("node_id").eqNullSafe(F.lit(preferred))), F.desc("degree"), F.desc("total_strength"), "node_id"]
+    return counted.orderBy(*order).limit(1).select("node_id")
+
+
+def default_query_node(ranked: DataFrame) -> DataFrame:
+    """One row ``(query_id, node_id)`` per query of ``ranked(query_id, node_id, direct, relationship, top_anchor)``: its top
+    anchor, else the node of the highest scores."""
+    order = F.struct((~F.col("top_anchor")).alias("a"), (-F.col("direct")).alias("d"), (-F.col("relationship")).alias("r"), F.col("node_id").alias("i"))
+    return ranked.groupBy("query_id").agg(F.min_by("node_id", order).alias("node_id"))
 
 
 def overview(edges: DataFrame, members: DataFrame) -> DataFrame:
