@@ -13,7 +13,7 @@ changes AS (SELECT DISTINCT l_orderkey AS commit_id, 'part:' || l_partkey AS pat
 totals AS (SELECT path, count(*) AS commits FROM changes GROUP BY path),
 small AS (SELECT commit_id FROM changes GROUP BY commit_id HAVING count(*) <= {MAX_FILES}),
 cochange AS (
-  SELECT a.path AS l, b.path AS r, count(*) AS n, list_sort(list(left(a.commit_id::VARCHAR, 8))) AS commits
+  SELECT a.path AS l, b.path AS r, count(*) AS n, list(left(a.commit_id::VARCHAR, 8) ORDER BY a.commit_id DESC) AS commits
   FROM changes a JOIN changes b ON a.commit_id = b.commit_id AND a.path < b.path
   WHERE a.commit_id IN (SELECT commit_id FROM small) GROUP BY 1, 2 HAVING count(*) >= {MIN_SUPPORT}),
 confident AS (
@@ -29,13 +29,12 @@ relations AS (
   UNION ALL SELECT 'supplier:' || l_suppkey, 'part:' || l_partkey, 'SHIPS', 1, 0.95 FROM lineitem),
 summed AS (SELECT source_id, target_id, kind, sum(count)::BIGINT AS count, sum(confidence::DOUBLE * count) / sum(count) AS confidence FROM relations GROUP BY 1, 2, 3),
 edges AS (
-  SELECT *, round(least(1.0, ({_PRIOR})::DOUBLE * confidence * (0.5 + 0.5 * ln(1 + count) / ln(1 + max(count) OVER (PARTITION BY kind)))), 9) AS strength FROM summed),
-links AS (SELECT * FROM edges WHERE kind IN ('CO_CHANGES', 'CONTAINS', 'IMPORTS'))"""
+  SELECT *, round(least(1.0, ({_PRIOR})::DOUBLE * confidence * (0.5 + 0.5 * ln(1 + count) / ln(1 + max(count) OVER (PARTITION BY kind)))), 9) AS strength FROM summed)"""
 
 PAIRS = f"""{EDGES},
 pairs AS (
   SELECT least(source_id, target_id) AS u, greatest(source_id, target_id) AS v, 1 - product(1 - strength) AS weight, min((source_id, target_id, kind)) AS first
-  FROM links WHERE source_id <> target_id GROUP BY 1, 2),
+  FROM edges WHERE source_id <> target_id GROUP BY 1, 2),
 sides AS (SELECT u AS node, v AS neighbour, weight, first FROM pairs UNION ALL SELECT v, u, weight, first FROM pairs),
 adjacent AS (SELECT node, neighbour, weight, row_number() OVER (PARTITION BY node ORDER BY first) AS place FROM sides),
 top AS (SELECT path, commits::DOUBLE AS score, row_number() OVER (ORDER BY commits DESC, path) AS rank FROM totals),
@@ -59,7 +58,7 @@ def _pagerank() -> str:
   FROM nodes n LEFT JOIN (SELECT neighbour, sum(rank * weight / o) AS got FROM sides JOIN outs USING (node) JOIN r{k} ON r{k}.node_id = sides.node GROUP BY neighbour) f ON f.neighbour = n.node_id)""")
     return f"""WITH {PAIRS},
 outs AS (SELECT node, sum(weight) AS o FROM sides GROUP BY node),
-named AS (SELECT source_id AS node_id FROM links UNION SELECT target_id FROM links UNION SELECT 'customer:' || c_custkey FROM customer WHERE c_custkey <= 3),
+named AS (SELECT source_id AS node_id FROM edges UNION SELECT target_id FROM edges UNION SELECT 'customer:' || c_custkey FROM customer),
 nodes AS (SELECT node_id, coalesce(score / (SELECT sum(score) FROM seeds), 0) AS p FROM named LEFT JOIN seeds USING (node_id)),
 {', '.join(ranks)}
 SELECT node_id, round(rank, 9) AS rank FROM r{RANKS}"""
@@ -138,19 +137,19 @@ ORACLE_SQL: dict[str, str] = {
     "commit_totals": f"WITH {CHANGES} SELECT path, commits FROM totals",
     "cochange_confidence": f"WITH {CHANGES} SELECT source_id, target_id, count, round(confidence, 6) AS confidence FROM confident",
     "typed_edge_strength": f"WITH {EDGES} SELECT source_id, target_id, kind, count, round(confidence, 6) AS confidence, round(strength, 6) AS strength FROM edges",
-    "edge_kind_summary": f"WITH {EDGES} SELECT kind, count(*) AS edges, round(avg(strength), 3) AS mean_strength FROM edges GROUP BY kind",
+    "edge_kind_summary": f"WITH {EDGES} SELECT kind, count(*) AS edges, round_even(avg(strength), 3) AS mean_strength FROM edges GROUP BY kind",
     "projection_noisy_or": f"WITH {EDGES} SELECT least(source_id, target_id) AS u, greatest(source_id, target_id) AS v, round(1 - product(1 - strength), 6) AS weight, array_to_string(list_sort(list(DISTINCT kind)), ',') AS kinds FROM edges WHERE source_id <> target_id GROUP BY 1, 2",
     "overview_rollup": f"WITH {EDGES} SELECT a.p_brand AS source_group, b.p_brand AS target_group, kind, round(1 - product(1 - strength), 6) AS strength, count(*) AS n FROM edges JOIN part a ON source_id = 'part:' || a.p_partkey JOIN part b ON target_id = 'part:' || b.p_partkey WHERE kind = 'CO_CHANGES' AND a.p_brand <> b.p_brand GROUP BY 1, 2, 3",
-    "node_degrees": f"WITH {EDGES} SELECT node_id, count(*) AS degree, round(sum(strength), 6) AS total_strength FROM (SELECT source_id AS node_id, strength FROM links UNION ALL SELECT target_id, strength FROM links WHERE source_id <> target_id) GROUP BY 1",
+    "node_degrees": f"WITH {EDGES} SELECT node_id, count(*) AS degree, round(sum(strength::DECIMAL(18, 9)), 6)::DOUBLE AS total_strength FROM (SELECT source_id AS node_id, strength FROM edges UNION ALL SELECT target_id, strength FROM edges WHERE source_id <> target_id) GROUP BY 1",
     "strongest_paths_2hop": f"WITH {PATHS} SELECT node_id, round(score, 6) AS score, depth::INTEGER AS depth, array_to_string(path, '>') AS path FROM best",
     "related_pruned": f"WITH {PATHS} SELECT node_id, round(score, 6) AS score, depth::INTEGER AS depth, array_to_string(path, '>') AS path FROM best WHERE node_id NOT IN (SELECT node_id FROM seeds)",
     "path_steps": f"WITH {PATHS} SELECT node_id, step::INTEGER AS step, from_id, to_id, round(weight, 6) AS combined_strength FROM steps JOIN pairs ON u = least(from_id, to_id) AND v = greatest(from_id, to_id)",
-    "step_contributions": f"WITH {PATHS} SELECT node_id, step::INTEGER AS step, kind || ':' || source_id || '->' || target_id AS edge_id, CASE WHEN kind = 'CO_CHANGES' THEN 'undirected' WHEN source_id = from_id THEN 'forward' ELSE 'reverse' END AS traversal_direction, round(strength, 6) AS strength FROM steps JOIN links ON (source_id = from_id AND target_id = to_id) OR (source_id = to_id AND target_id = from_id)",
-    "neighborhood_top8": f"""WITH {EDGES}, ends AS (SELECT source_id AS node_id, target_id AS neighbour_id, * FROM links UNION ALL SELECT target_id, source_id, * FROM links),
+    "step_contributions": f"WITH {PATHS} SELECT node_id, step::INTEGER AS step, kind || ':' || source_id || '->' || target_id AS edge_id, CASE WHEN kind = 'CO_CHANGES' THEN 'undirected' WHEN source_id = from_id THEN 'forward' ELSE 'reverse' END AS traversal_direction, round(strength, 6) AS strength FROM steps JOIN edges ON (source_id = from_id AND target_id = to_id) OR (source_id = to_id AND target_id = from_id)",
+    "neighborhood_top8": f"""WITH {EDGES}, ends AS (SELECT source_id AS node_id, target_id AS neighbour_id, * FROM edges UNION ALL SELECT target_id, source_id, * FROM edges),
 one AS (SELECT *, row_number() OVER (PARTITION BY node_id, neighbour_id ORDER BY strength DESC, kind, source_id, target_id) AS k FROM ends WHERE node_id <> neighbour_id),
 placed AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY strength DESC, coalesce(p_retailprice, 0) DESC, neighbour_id) AS place FROM one LEFT JOIN part ON neighbour_id = 'part:' || p_partkey WHERE k = 1)
 SELECT node_id, place::INTEGER AS place, neighbour_id, kind, round(strength, 6) AS strength FROM placed WHERE place <= 8""",
-    "induced_subgraph": f"WITH {PATHS}, chosen AS (SELECT DISTINCT unnest(path) AS c FROM best) SELECT source_id, target_id, kind, round(strength, 6) AS strength FROM links WHERE source_id IN (SELECT c FROM chosen) AND target_id IN (SELECT c FROM chosen)",
+    "induced_subgraph": f"WITH {PATHS}, chosen AS (SELECT DISTINCT unnest(path) AS c FROM best) SELECT source_id, target_id, kind, round(strength, 6) AS strength FROM edges WHERE source_id IN (SELECT c FROM chosen) AND target_id IN (SELECT c FROM chosen)",
     "strongest_pair_edge": f"WITH {EDGES} SELECT source_id, target_id, kind, round(strength, 6) AS strength FROM edges QUALIFY row_number() OVER (PARTITION BY least(source_id, target_id), greatest(source_id, target_id) ORDER BY strength DESC, source_id, target_id, kind) = 1",
     "pagerank_k": _pagerank(),
     "word_ngram_df": f"WITH {_ngrams('documents', 'doc_id', 'text')} SELECT term, count(DISTINCT key) AS df FROM grams WHERE block = 'word' GROUP BY term",
@@ -174,7 +173,14 @@ SELECT DISTINCT doc_id FROM found WHERE regexp_matches(text, '{_q('|'.join(predi
     "sanitized_urls": """WITH c AS (SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '^([A-Za-z][A-Za-z0-9+.-]*://)[^/@]*@', '\\1') AS clean FROM pages),
 d AS (SELECT page_id, lower(regexp_extract(clean, '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*')) || regexp_extract(clean, '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*(.*)$', 1) AS clean FROM c)
 SELECT page_id, clean, coalesce(nullif(regexp_replace(regexp_extract(regexp_replace(regexp_extract(clean, '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*(.*)$', 1), '/+$', ''), '([^/]*)$', 1), '[.]git$', ''), ''), 'none') AS name FROM d""",
-    "snippet_truncate": """WITH b AS (SELECT doc_id, regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') AS t FROM documents)
-SELECT doc_id, CASE WHEN length(t) <= 80 THEN t ELSE regexp_replace(left(t, 79), '\\s+$', '') || '…' END AS snippet FROM b""",
+    "snippet_truncate": """SELECT doc_id, CASE WHEN length(text) <= 80 THEN text ELSE regexp_replace(left(text, 79), '[\\s\\x1c-\\x1f]+$', '') || '…' END AS snippet FROM documents""",
+    # worked out by hand from the two sources: kinds' priors times the confidence of the rule that resolves each name
+    "python_symbols": """SELECT * FROM (VALUES
+  ('file:src/app/core.py', 'symbol:src/app/core.py::Base', 'CONTAINS', 1::BIGINT, 0.45::DOUBLE), ('file:src/app/core.py', 'symbol:src/app/core.py::Work', 'CONTAINS', 1, 0.45),
+  ('symbol:src/app/core.py::Work', 'symbol:src/app/core.py::Work.run', 'CONTAINS', 1, 0.45), ('file:src/app/core.py', 'symbol:src/app/core.py::helper', 'CONTAINS', 1, 0.45),
+  ('file:tests/test_core.py', 'symbol:tests/test_core.py::test_helper', 'CONTAINS', 1, 0.45), ('file:tests/test_core.py', 'file:src/app/core.py', 'IMPORTS', 1, 0.65),
+  ('symbol:src/app/core.py::Work', 'symbol:src/app/core.py::Base', 'INHERITS', 1, 0.9025), ('symbol:src/app/core.py::Work.run', 'symbol:src/app/core.py::helper', 'CALLS', 1, 0.95),
+  ('symbol:src/app/core.py::helper', 'symbol:src/app/core.py::Work', 'INSTANTIATES', 1, 0.855), ('symbol:src/app/core.py::helper', 'symbol:src/app/core.py::Work.run', 'CALLS', 1, 0.85),
+  ('symbol:tests/test_core.py::test_helper', 'symbol:src/app/core.py::helper', 'TESTS', 1, 0.8075)) t(source_id, target_id, kind, count, strength)""",
 }
 assert text.WORD == f"({_WORDS})"

@@ -29,7 +29,9 @@ def _r(column, digits: int = 6):
 
 
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("commit_id"), F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("path"))
+    """Orders as commits, the greatest key as the newest."""
+    part = F.concat(F.lit("part:"), F.col("l_partkey").cast("string"))
+    return _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("commit_id"), part.alias("path"), (-F.col("l_orderkey")).alias("ord"))
 
 
 def cochange_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +79,7 @@ def typed_edge_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edge_kind_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relations.edge_summary(_edges(spark, sf_dir)).select("kind", "edges", _r("mean_strength", 3).alias("mean_strength"))
+    return relations.edge_summary(_edges(spark, sf_dir))
 
 
 # --- graph: edges of all kinds ---
@@ -99,7 +101,9 @@ def overview_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def node_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.degrees(_edges(spark, sf_dir)).select("node_id", "degree", _r("total_strength").alias("total_strength"))
+    """Strengths have nine decimals, so their sums are taken exactly."""
+    edges = _edges(spark, sf_dir).withColumn("strength", F.col("strength").cast("decimal(18,9)"))
+    return graph.degrees(edges).select("node_id", "degree", _r(F.col("total_strength")).cast("double").alias("total_strength"))
 
 
 def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
