@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandgraph.plans.lineage import discard, stored
+
+__all__ = ["LOWER", "col", "crc_remainder", "discard", "fresh", "stored", "table", "text_key"]
+
 #: ASCII upper case to lower case on UTF-8 bytes; other bytes stay.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -20,19 +22,6 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared checkpoint folder; its lineage ends there.
-
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset (tests
-    on one machine) a temporary folder is named.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
-
-
 def fresh(prefix: str, taken: list[str]) -> str:
     """A column name that differs, case aside, from all taken ones."""
     lower, name = {t.lower() for t in taken}, prefix

@@ -127,28 +127,77 @@ def test_base_scores_and_gain_over_the_base(spark, monkeypatch, head):
     rows = lm.lm_scores(docs).collect()
     assert Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in rows) == plain_base([(r.doc_id, r.text) for r in docs.collect()])
     held = [r for r in rows if r.held_out]
-    assert len(held) > 50 and sum(r.score for r in held) > sum(r.base_score for r in held)
-
-
-def test_model_is_a_distribution_over_symbols():
-    rng = np.random.default_rng(0)
-    counts = rng.integers(0, 50, lm.SYMBOLS)
-    model = lm.LogBilinear.new(counts)
-    w = rng.integers(0, 20, 4000)
-    for _ in range(40):
-        u, v = (w * 3 + 1) % 20, (w + 5) % 20
-        model.train(u, v, w, rng)
-    one, two, norm = model.tables()
-    total = np.exp(one[3] + two[5] - norm[3, 5]).sum()
-    assert abs(total - 1) < 1e-4
-    direct = (model.c1 * model.r[3] + model.c2 * model.r[5]) @ model.q.T + model.b
-    assert np.allclose(direct, one[3] + two[5], atol=1e-4)
-
-
-def test_words_of_a_class_share_its_probability(spark):
-    texts = frame(spark, ["a b c a", "x y z zz", "q r s t u v w"]).select("text")
-    known = lm.Vocabulary.of(lm.count_words(texts), 3)
-    assert known.n_tokens == 18 and known.n_types == 15 and known.class_tokens.sum() == 0 and known.symbol_counts()[lm.END] == 3
+    gain = 1 - sum(r.score for r in held) / sum(r.base_score for r in held)
+    assert len(held) > 50 and gain > (0.05 if head > 600 else 0.02)
+
+
+def small_model(spark, texts):
+    table = frame(spark, texts).select("text")
+    known = lm.Vocabulary.of(lm.count_words(table), len(texts))
+    model, rng = lm.LogBilinear.new(known), np.random.default_rng(0)
+    for _ in range(20):
+        model.learn(known.encode(texts), rng)
+    return known, model
+
+
+def test_model_is_a_distribution_and_learns_its_contexts(spark):
+    rng = random.Random(8)
+    words = [[f"{c}{k}" for k in range(12)] for c in "xy"]
+    texts = [" ".join(rng.choices(words[k % 2], k=30)) for k in range(60)]
+    known, model = small_model(spark, texts)
+    encoded = known.encode(texts)
+    g = model.contexts(encoded)
+    book = lm.CodeBook.fit(g)
+    vectors, bias = model.output()
+    low = book.low.reshape(-1, lm.WIDTH)
+    norm = lm.normalisers(low, vectors, bias)
+    assert np.allclose(np.exp(low @ vectors.T + bias - norm[:, None]).sum(axis=1), 1, atol=1e-4)
+    states = book.states(g)
+    group = ((g[:, None, :] - book.top[None]) ** 2).sum(axis=2)
+    assert (np.take_along_axis(group, (states // lm.STATES)[:, None], 1)[:, 0] <= group.min(axis=1) + 1e-4).all()
+    log_p = (low[states] * vectors[encoded.symbols]).sum(axis=1) + bias[encoded.symbols] - norm[states]
+    inside = encoded.symbols != known.end
+    assert log_p[inside].mean() > -math.log(16), "the other text's words are unlikely; 24 are equally likely without context"
+
+
+def test_symbols_contexts_and_means(spark):
+    known = lm.Vocabulary.of(lm.count_words(frame(spark, ["a a b", "b c", None]).select("text")), 3)
+    assert known.n_tokens == 8 and known.n_types == 4 and list(known.index) == [b"a", b"b", b"c"] and known.counts.tolist() == [2, 2, 1]
+    text = known.encode(["A b", None, "zz c a"])
+    end, zz = known.end, 3 + lm.class_of(b"zz")
+    assert text.symbols.tolist() == [0, 1, end, end, zz, 2, 0, end] and text.beyond == [[], [], [b"zz"]]
+    u, v = text.before(99)
+    assert u.tolist() == [99, 0, 1, 99, 99, zz, 2, 0] and v.tolist() == [99, 99, 0, 99, 99, 99, zz, 2]
+    x = np.arange(8, dtype=np.float32)[:, None]
+    assert text.means(x)[:, 0].tolist() == [0, 0, 0.5, 0, 0, 4, 4.5, 5]
+
+
+def test_the_head_is_bounded_by_a_least_count(spark, monkeypatch):
+    texts = frame(spark, [" ".join(["one"] * 9 + ["two"] * 5 + ["three", "four"] * 2 + ["five"])]).select("text")
+    for bound, head in ((9, 5), (4, 4), (3, 2), (1, 1), (0, 0)):
+        monkeypatch.setattr(lm, "HEAD_WORDS", bound)
+        known = lm.Vocabulary.of(lm.count_words(texts), 1)
+        assert len(known.index) == head and known.n_tokens == 20 and known.n_types == 6
+        assert known.symbol_counts().sum() == 20 and known.class_types.sum() == 5 - head
+
+
+def test_parts_of_trainers_meet_as_weighted_means(spark):
+    rng = np.random.default_rng(3)
+    n, trainers = lm.BLOCK_ROWS + 40, 130
+    total, weight, rows = np.zeros((n, 2)), np.zeros(n), []
+    for lane in range(trainers):
+        model = lm.LogBilinear(np.zeros(0, int), {"r": rng.normal(size=(n, 2)).astype(np.float32)}, np.ones(1))
+        model.touched["r"][rng.integers(0, n, 30)] = rng.integers(1, 9)
+        hit = model.touched["r"] > 0
+        total[hit] += model.touched["r"][hit, None] * model.tables["r"][hit]
+        weight += model.touched["r"]
+        rows += [r for b in lm._blocks(model, lane) for r in b.to_pylist()]
+    merged = lm._merged(lm.stored(spark.createDataFrame([tuple(r.values()) for r in rows], lm.PARTS))).collect()
+    got = np.zeros((n, 2))
+    for p in merged:
+        at, vectors = lm._rows(p.asDict())
+        got[int(p.key.split(":")[1]) * lm.BLOCK_ROWS + at] = vectors
+    assert len(merged) == 2 and np.allclose(got[weight > 0], total[weight > 0] / weight[weight > 0, None], atol=0.01)
 
 
 def test_lm_edge_cases(spark):
