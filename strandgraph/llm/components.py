@@ -9,32 +9,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandgraph.llm.common import stored
+from strandgraph.llm.common import discard, stored
+from strandgraph.operators.skew import spread_join
+
+
+def _with_least(links: DataFrame, least: DataFrame, hub: float) -> DataFrame:
+    """``links(u, v)`` with the least ``m`` of each u; that of the few with over ``hub`` links comes by broadcast."""
+    hubs = F.broadcast(least.filter(F.col("n") > hub).select("u", "m"))
+    others = links.join(hubs.select("u"), "u", "left_anti").join(least.select("u", "m"), "u")
+    return others.unionByName(links.join(hubs, "u"))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of ``edges(a, b)``; root is the smallest node reachable.
 
     Alternating large-star and small-star rounds. A star's minimum comes from an aggregate
-    with map-side partial sums and is joined back, so a hub's neighbours never meet in one
-    task as a list. Each round is written to the checkpoint folder; the loop ends when the
+    with map-side partial sums and is joined back, a hub's by broadcast, so its neighbours never meet in one
+    task. Each round is written to the checkpoint folder; the loop ends when the
     set of edges repeats (count and order-free checksum). No edges give no rows.
     """
-    current = stored(
-        edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    )
+    current = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    current = stored(current.distinct(), "links")
     state = None
     while True:
         now = current.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1_000_003)).first()
         if now[0] == 0 or tuple(now) == state:
             break
         state = tuple(now)
+        hub = max(1.0, now[0] / int(current.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         both = current.union(current.select("v", "u")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        current = stored(small.union(least.select("u", "m")).distinct())
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        large = _with_least(both.filter("v > u"), low, hub).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _with_least(large, least, hub).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        after = stored(small.union(least.select("u", "m")).distinct(), "links")
+        discard(current)
+        current = after
     members = current.groupBy("u").agg(F.min("v").alias("root")).toDF("node", "root")
     return members.union(current.select(F.col("v"), F.col("v")).distinct())
 
@@ -60,7 +70,7 @@ def _labels(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return label
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+def grouped(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
     """Tables of whole groups: the rows arrive sorted by column ``g``."""
     held: list[pa.RecordBatch] = []
     count = 0
@@ -81,25 +91,29 @@ def _grouped(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]
 
 
 def verified_links(
-    members: DataFrame, same: Callable[[pa.Table, np.ndarray, np.ndarray], np.ndarray], block: int = 256
+    members: DataFrame, same: Callable[[pa.Table, np.ndarray, np.ndarray], np.ndarray], block: int = 256, payload: DataFrame | None = None
 ) -> DataFrame:
-    """Spanning links ``(a, b)`` of every bucket of ``members(bucket long, node long, ...)``.
+    """Spanning links ``(a, b)`` of every bucket of ``members(bucket long, node long)``, a stored table.
 
-    ``same(rows, i, j)`` decides exactly whether rows i and j are linked. A bucket of more
+    ``same(rows, i, j)`` decides exactly whether rows i and j are linked; the rows have the
+    columns of ``payload(node, ...)`` too. A bucket of more
     than ``block`` members is cut into blocks by a hash of the node, and every pair of
     blocks becomes a group of its own: no task holds more than two blocks, and no member
-    is skipped. A group of m members gives at most m - 1 links, never its pairs.
+    is skipped. A group of m members gives at most m - 1 links, never its pairs. Sizes are
+    partial sums; those of buckets with very many members reach these by broadcast.
     """
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    dealt = members.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    dealt = spread_join(members, sizes, ["bucket"], "node").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     group = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
-    rest = [c for c in members.columns if c != "bucket"]
-    dealt = dealt.select(group.alias("g"), "bucket", *rest).repartition("g").sortWithinPartitions("g", "bucket", "node")
+    dealt = dealt.select(group.alias("g"), "bucket", "node")
+    if payload is not None:
+        dealt = spread_join(dealt, payload, ["node"], "g")
+    dealt = dealt.repartition("g").sortWithinPartitions("g", "bucket", "node")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _grouped(batches, 4096):
+        for rows in grouped(batches, 4096):
             g, bucket, node = (rows[c].to_numpy() for c in ("g", "bucket", "node"))
             n = len(g)
             start = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (bucket[1:] != bucket[:-1])])

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from strandgraph.llm.common import LOWER, col, fresh, stored, text_key
 from strandgraph.llm.components import connected_components, verified_links
+from strandgraph.operators.skew import spread_join
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -69,7 +70,7 @@ def covering_masks(radius: int = RADIUS) -> list[int]:
 def fingerprint_components(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``(node, root)`` of all fingerprints ``distinct(fp)`` that have a link to another one."""
     keys = F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(covering_masks(radius))])
-    members = distinct.select(F.explode(keys).alias("bucket"), F.col("fp").alias("node"))
+    members = distinct.select(F.explode(keys).alias("bucket"), F.col("fp").alias("node"))  # from a stored table
 
     def near(rows: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         node = rows["node"].to_numpy().view(np.uint64)
@@ -91,9 +92,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     distinct = stored(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")))
     roots = distinct.join(fingerprint_components(distinct.select("fp"), radius), F.col("fp") == F.col("node"), "left")
     roots = roots.select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    roots = stored(roots, "roots")
     heads = roots.groupBy("root").agg(F.min("first").alias("head"))
-    named = roots.join(heads, "root").select("fp", F.col("head.doc_id").alias("component_id"), F.col("head.text_key").alias("first_key"))
-    return prints.join(named, "fp").select("doc_id", "text_key", "fp", "component_id", "first_key")
+    named = spread_join(roots, heads, ["root"], "fp").select("fp", F.col("head.doc_id").alias("component_id"), F.col("head.text_key").alias("first_key"))
+    # rows of one fingerprint may be a third of all; the stored rows' order tells them apart
+    return spread_join(prints, named, ["fp"], F.monotonically_increasing_id()).select("doc_id", "text_key", "fp", "component_id", "first_key")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
