@@ -1,128 +1,78 @@
 """Benchmark decontamination by spaced seeds.
 
 A mask is a row of ones and zeros laid on consecutive tokens; positions under a zero are
-ignored, so a substituted token there does not break the seed's hash. The hashes of all
-benchmark places are looked up for every place of every document; each hit fixes an item
+ignored, so a substituted token there does not break the seed's hash. The seeds of the
+benchmark are joined with those of the documents on their hash; each match fixes an item
 and a diagonal, and along that diagonal the tokens themselves are compared. A document is
 contaminated by an item if some stretch of at least ``min_tokens`` aligned tokens (the
 whole item, if it is shorter) agrees in at least ``similarity`` of its places. An item that
 is shorter is cut into one block more than it may have substitutions, and one block agrees.
 
-Tokens are runs of letters, digits and other non-ASCII characters after lower-casing A-Z.
-The benchmark travels to the executors in slices of at most ``slice_tokens`` tokens: the
-slice, not the benchmark, bounds what a worker holds, and a larger benchmark means more
-passes, not a lost item.
+Tokens are runs of letters, digits and other non-ASCII characters after lower-casing A-Z;
+they are compared by 64-bit hashes.
+
+The documents are read once, however large the benchmark is. Only the seeds that the
+benchmark has too leave a document, with its tokens. Which these are is known exactly where
+the benchmark has at most ``EXACT_SEEDS`` seeds, which are then broadcast; beyond, a bitmap of fixed
+size lets a few others pass, and the join removes them.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass
-from itertools import repeat
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandgraph.llm.common import LOWER, col, fresh
+from strandgraph.llm.common import LOWER, col, fresh, in_filter, key_filter, stored, text_key
+from strandgraph.operators.skew import spread_join
 
 #: Of every 13 to 25 tokens of which a fifth at most is substituted, anywhere, at least one mask
 #: hits at some offset. Longer stretches can be cut into such ones.
 MASKS = ("111111", "1000101111", "11101011", "1101101001", "110111")
-MIN_TOKENS, SIMILARITY, SLICE_TOKENS = 13, 0.8, 2_000_000
+MIN_TOKENS, SIMILARITY = 13, 0.8
+#: At most so many seeds (32 MB) are broadcast, and a list of so many texts (16 MB).
+EXACT_SEEDS, BROADCAST_TEXTS = 4_000_000, 2_000_000
 _TOKEN = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def tokens(text: str | None) -> list[bytes]:
-    return _TOKEN.findall((text or "").encode("utf-8", "surrogatepass").translate(LOWER))
+def tokens(text: str | None) -> np.ndarray:
+    """The hashes of a text's tokens."""
+    words = _TOKEN.findall((text or "").encode("utf-8", "surrogatepass").translate(LOWER))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def _hashes(ids: np.ndarray, mask: str, salt: int) -> np.ndarray:
-    """A hash for each place at which the mask fits into ``ids``."""
-    n = len(ids) - len(mask) + 1
-    out = np.full(max(n, 0), salt + 1, np.uint64)
+def seeds(row: np.ndarray, mask: str) -> np.ndarray:
+    """A hash for each place at which the mask fits into the tokens; those of different masks differ."""
+    n = len(row) - len(mask) + 1
+    out = np.full(max(n, 0), xxhash.xxh3_64_intdigest(mask), np.uint64)
     for k, bit in enumerate(mask):
         if bit == "1" and n > 0:
-            out = (out ^ ids[k : k + n]) * _STEP
+            out = (out ^ row[k : k + n]) * _STEP
             out ^= out >> np.uint64(29)
     return out
 
 
-def _blocks(n: int, similarity: float) -> list[tuple[int, int]]:
+def blocks(n: int, similarity: float) -> list[tuple[int, int]]:
     """Places [s, e) of n tokens cut into one block more than substitutions are allowed."""
     cuts = min(n, int((1.0 - similarity) * n + 1e-9) + 1)
     return [(n * k // cuts, n * (k + 1) // cuts) for k in range(cuts)]
 
 
-@dataclass
-class SeedIndex:
-    """One slice of the benchmark: token ids of all items and the places of their seeds."""
-
-    vocabulary: dict[bytes, int]
-    item_ids: np.ndarray
-    bounds: np.ndarray
-    tokens: np.ndarray
-    masks: list[str]
-    keys: np.ndarray
-    item_of: np.ndarray
-    place: np.ndarray
-    present: np.ndarray
-    min_tokens: int
-    similarity: float
-
-    @classmethod
-    def of(cls, items: list[tuple[int, str]], masks: tuple[str, ...], min_tokens: int, similarity: float) -> SeedIndex:
-        vocabulary: dict[bytes, int] = {}
-        rows = [np.array([vocabulary.setdefault(t, len(vocabulary) + 1) for t in tokens(text)], np.uint64) for _, text in items]
-        short = max(min_tokens, min((len(m) for m in masks), default=0))
-        blocks = [_blocks(len(r), similarity) if 0 < len(r) < short else [] for r in rows]
-        used = [*masks, *sorted({"1" * (e - s) for b in blocks for s, e in b})]
-        keys, item_of, place = [], [], []
-        for m, mask in enumerate(used):
-            for i, row in enumerate(rows):
-                h = _hashes(row, mask, m)
-                at = np.arange(len(h)) if m < len(masks) else np.array([s for s, e in blocks[i] if e - s == len(mask)], np.int64)
-                keys.append(h[at])
-                item_of.append(np.full(len(at), i, np.int64))
-                place.append(at)
-        key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        order = np.argsort(key, kind="stable")
-        bits = max(16, int(np.ceil(np.log2(len(key) * 16 + 1))))
-        present = np.zeros(1 << bits, bool)
-        present[key >> np.uint64(64 - bits)] = True
-        flat = np.concatenate(rows) if rows else np.zeros(0, np.uint64)
-        return cls(vocabulary, np.array([i for i, _ in items], np.int64), np.cumsum([0, *map(len, rows)]), flat, used, key[order], np.concatenate(item_of)[order] if keys else key, np.concatenate(place)[order] if keys else key, present, min_tokens, similarity)
-
-    def hits(self, text: str | None) -> list[tuple[int, int, int, int, float]]:
-        """``(item_id, doc_start, aligned, matched, similarity)`` of the longest stretch of each item."""
-        words = tokens(text)
-        ids = np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.uint64, len(words))
-        shift = np.uint64(64 - int(np.log2(len(self.present))))
-        found = []
-        for m, mask in enumerate(self.masks):
-            h = _hashes(ids, mask, m)
-            at = np.flatnonzero(self.present[h >> shift])
-            lo, hi = (np.searchsorted(self.keys, h[at], side=s) for s in ("left", "right"))
-            n = hi - lo
-            if n.sum():
-                rows = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-                found.append(np.stack([self.item_of[rows], np.repeat(at, n) - self.place[rows].astype(np.int64)]))
-        best: dict[int, tuple[int, int, int, int, float]] = {}
-        for item, diagonal in np.unique(np.concatenate(found, axis=1), axis=1).T.tolist() if found else ():
-            row = self.tokens[self.bounds[item] : self.bounds[item + 1]]
-            start, end = max(0, diagonal), min(len(ids), diagonal + len(row))
-            equal = ids[start:end] == row[start - diagonal : end - diagonal]
-            span = longest_stretch(equal, min(self.min_tokens, len(row)), self.similarity)
-            if span:
-                s, e = span
-                hit = (int(self.item_ids[item]), start + s, e - s, int(equal[s:e].sum()), float(equal[s:e].mean()))
-                if item not in best or (hit[3], -hit[1]) > (best[item][3], -best[item][1]):
-                    best[item] = hit
-        return [best[i] for i in sorted(best)]
+def item_seeds(row: np.ndarray, masks: tuple[str, ...], min_tokens: int, similarity: float) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """``(mask, places, hashes)`` of an item: all places of every mask, and the blocks of a short item."""
+    for mask in masks:
+        found = seeds(row, mask)
+        if len(found):
+            yield mask, np.arange(len(found)), found
+    if 0 < len(row) < max(min_tokens, min((len(m) for m in masks), default=0)):
+        for s, e in blocks(len(row), similarity):
+            yield "1" * (e - s), np.array([s]), seeds(row[s:e], "1" * (e - s))
 
 
 def longest_stretch(equal: np.ndarray, least: int, similarity: float) -> tuple[int, int] | None:
@@ -146,61 +96,132 @@ def longest_stretch(equal: np.ndarray, least: int, similarity: float) -> tuple[i
     return trimmed if trimmed[1] - trimmed[0] >= least else (s, e)
 
 
-def _slices(benchmark: DataFrame, item_col: str, text_col: str, slice_tokens: int) -> Iterator[list[tuple[int, str]]]:
-    """The items in slices of bounded size, one slice on the driver at a time."""
-    rows = benchmark.select(col(item_col).cast("long").alias("i"), col(text_col).alias("t")).filter("i is not null and t is not null")
-    items, size, sent = [], 0, 0
-    for row in rows.toLocalIterator():
-        items.append((row.i, row.t))
-        size += len(tokens(row.t))
-        if size >= slice_tokens:
-            yield items
-            items, size, sent = [], 0, sent + 1
-    if items or not sent:
-        yield items
+def best_overlap(row: np.ndarray, item: np.ndarray, diagonals: list[int], min_tokens: int, similarity: float) -> tuple[int, int, int, float] | None:
+    """``(start, aligned, matched, similarity)`` of the stretch with the most agreeing places on the diagonals."""
+    best = None
+    for diagonal in sorted(set(diagonals)):
+        start, end = max(0, diagonal), min(len(row), diagonal + len(item))
+        equal = row[start:end] == item[start - diagonal : end - diagonal]
+        span = longest_stretch(equal, min(min_tokens, len(item)), similarity)
+        if span:
+            s, e = span
+            hit = (start + s, e - s, int(equal[s:e].sum()), float(equal[s:e].mean()))
+            if best is None or (hit[2], -hit[0]) > (best[2], -best[0]):
+                best = hit
+    return best
+
+
+def _membership(keys: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
+    """Whether seeds are among the stored ``keys(key)``: exactly, or by a bitmap if they are very many."""
+    context = keys.sparkSession.sparkContext
+    if keys.count() <= EXACT_SEEDS:
+        exact = np.sort(keys.toArrow()["key"].to_numpy())
+        sent = context.broadcast((exact, key_filter(keys, 24)))
+
+        def inside(found: np.ndarray) -> np.ndarray:
+            exact, bitmap = sent.value
+            out = in_filter(bitmap, found)
+            at = np.flatnonzero(out)
+            place = np.minimum(np.searchsorted(exact, found[at]), max(len(exact) - 1, 0))
+            out[at] = exact[place] == found[at] if len(exact) else False
+            return out
+
+        return inside
+    broad = context.broadcast(key_filter(keys, 29))
+    return lambda found: in_filter(broad.value, found)
+
+
+def _items(benchmark: DataFrame, item_col: str, text_col: str, masks: tuple[str, ...], min_tokens: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Stored ``(item, item_id, tokens)`` and ``(key, item, place, mask)``."""
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [pa.array([tokens(t).tobytes() for t in batch.column(2).to_pylist()], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *rows], names=["item", "item_id", "tokens"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for mask, places, found in item_seeds(np.frombuffer(data, np.uint64), masks, min_tokens, similarity):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(found.view(np.int64)), pa.array(np.full(len(found), item)), pa.array(places.astype(np.int64)), pa.array([mask] * len(found))], names=["key", "item", "place", "mask"]
+                    )
+
+    items = benchmark.select(F.monotonically_increasing_id().alias("item"), col(item_col).cast("long").alias("item_id"), col(text_col).alias("text"))
+    items = stored(items.filter("item_id is not null and text is not null").mapInArrow(read, "item long, item_id long, tokens binary"), "items")
+    return items, stored(items.select("item", "tokens").mapInArrow(cut, "key long, item long, place long, mask string"), "seeds")
+
+
+def _overlaps(thin: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, masks: tuple[str, ...], min_tokens: int, similarity: float) -> DataFrame:
+    """``(doc_id, text_key, item_id, doc_start, aligned, matched, similarity)`` of ``thin(doc_id, text_key, text)``."""
+    items, item_keys = _items(benchmark, item_col, item_text_col, masks, min_tokens, similarity)
+    used = sorted(r.mask for r in item_keys.select("mask").distinct().collect())
+    inside = _membership(stored(item_keys.select("key").distinct(), "keys"))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, text in enumerate(batch.column(2).to_pylist()):
+                row = tokens(text)
+                keys, places = [], []
+                for mask in used:
+                    found = seeds(row, mask).view(np.int64)
+                    at = np.flatnonzero(inside(found))
+                    if len(at):
+                        keys.append(found[at])
+                        places.append(at)
+                if keys:
+                    hits = [pa.array([np.concatenate(x).astype(np.int64)], pa.list_(pa.int64())) for x in (keys, places)]
+                    one = [batch.column(0).slice(k, 1), batch.column(1).slice(k, 1), pa.array([row.tobytes()], pa.binary())]
+                    yield pa.RecordBatch.from_arrays([*one, *hits], names=["doc_id", "text_key", "tokens", "keys", "places"])
+
+    marked = thin.mapInArrow(find, "doc_id long, text_key long, tokens binary, keys array<long>, places array<long>")
+    marked = stored(marked.withColumn("row", F.monotonically_increasing_id()), "marked")
+    hits = marked.select("row", F.explode(F.arrays_zip("keys", "places")).alias("h")).select("row", F.col("h.keys").alias("key"), F.col("h.places").alias("at"))
+    met = spread_join(hits, item_keys.select("key", "item", "place"), ["key"], "row")
+    diagonals = met.select("row", "item", (F.col("at") - F.col("place")).alias("diagonal")).distinct()
+    pairs = stored(diagonals.groupBy("row", "item").agg(F.collect_list("diagonal").alias("diagonals")), "pairs")
+    sides = spread_join(pairs, items.withColumnRenamed("tokens", "item_tokens"), ["item"], "row")
+    sides = sides.join(marked.select("row", "doc_id", "text_key", "tokens"), "row")
+    names = ["doc_id", "text_key", "item_id", "doc_start", "aligned", "matched", "similarity"]
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                row, item = (np.frombuffer(r[c], np.uint64) for c in ("tokens", "item_tokens"))
+                hit = best_overlap(row, item, r["diagonals"], min_tokens, similarity)
+                if hit:
+                    rows.append((r["doc_id"], r["text_key"], r["item_id"], *hit))
+            kinds = [pa.int64()] * 6 + [pa.float64()]
+            cols = zip(*rows, strict=True) if rows else [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=names)
+
+    return sides.select("doc_id", "text_key", "item_id", "diagonals", "tokens", "item_tokens").mapInArrow(verify, "doc_id long, text_key long, item_id long, doc_start long, aligned long, matched long, similarity double")
 
 
 def contamination(
     docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
     item_text_col: str = "text", masks: tuple[str, ...] = MASKS, min_tokens: int = MIN_TOKENS, similarity: float = SIMILARITY,
-    slice_tokens: int = SLICE_TOKENS,
 ) -> DataFrame:
     """``(doc_id, item_id, doc_start, aligned, matched, similarity)`` of every document and item that overlap.
 
     Null or empty texts and items never overlap; items with a null id are left out;
-    repeated documents return a row each. An empty benchmark gives no rows.
+    repeated documents and items return a row each. Texts of any length are searched whole. An empty benchmark or table gives no rows.
     """
-    schema = "doc_id long, item_id long, doc_start long, aligned long, matched long, similarity double"
-    names = [f.split()[0] for f in schema.split(", ")]
-    thin = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"))
-    out = None
-    for items in _slices(benchmark, item_col, item_text_col, slice_tokens):
-        sent = docs.sparkSession.sparkContext.broadcast(SeedIndex.of(items, masks, min_tokens, similarity))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = sent.value
-            for batch in batches:
-                rows = [(d.as_py(), *hit) for d, t in zip(batch.column(0), batch.column(1), strict=True) for hit in index.hits(t.as_py())]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) if k else pa.array(c, pa.int64()) for k, c in enumerate(zip(*rows, strict=True))], names=names)
-
-        part = thin.mapInArrow(run, schema)
-        out = part if out is None else out.union(part)
-    return out
-
+    thin = docs.select(col(id_col).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("text_key"), col(text_col).alias("text"))
+    return _overlaps(thin, benchmark, item_col, item_text_col, masks, min_tokens, similarity).drop("text_key")
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", slice_tokens: int = SLICE_TOKENS) -> DataFrame:
-    """The rows of ``docs`` that overlap no item, unchanged."""
-    def leaks_in(items: list[tuple[int, str]]):
-        sent = docs.sparkSession.sparkContext.broadcast(SeedIndex.of(items, MASKS, MIN_TOKENS, SIMILARITY))
 
-        def leaks(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for batch in texts:
-                yield pd.Series([bool(sent.value.hits(t)) for t in batch], dtype=bool)
+def decontaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that overlap no item, unchanged, with whatever other columns they have.
 
-        return F.pandas_udf(leaks, "boolean").asNondeterministic()
-
-    left, flag = docs, fresh("__leaks", docs.columns)
-    for items in _slices(benchmark, item_col, item_text_col, slice_tokens):
-        left = left.withColumn(flag, leaks_in(items)(col(text_col))).filter(~F.col(flag)).drop(flag)
-    return left
+    Whether a row overlaps depends on its text alone, so rows go by a 64-bit hash of the text.
+    """
+    thin = docs.select(F.lit(None).cast("long").alias("doc_id"), text_key(col(text_col)).alias("text_key"), col(text_col).alias("text"))
+    leaks = _overlaps(thin, benchmark, item_col, item_text_col, MASKS, MIN_TOKENS, SIMILARITY)
+    key, of = fresh("__text_key", docs.columns), fresh("__leaking", docs.columns)
+    leaks = stored(leaks.select(F.col("text_key").alias(of)).distinct(), "leaks")
+    keyed = docs.withColumn(key, text_key(col(text_col)))
+    if leaks.count() <= BROADCAST_TEXTS:
+        return keyed.join(F.broadcast(leaks), F.col(key) == F.col(of), "left_anti").drop(key)
+    spread = F.xxhash64(*[col(f.name) for f in docs.schema.fields if f.dataType.typeName() in ("long", "integer", "string")])
+    return spread_join(keyed, leaks.withColumnRenamed(of, key), [key], spread, "left_anti").select(*[col(c) for c in docs.columns])

@@ -19,12 +19,14 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandgraph.llm.common import col, fresh
+from strandgraph.llm.common import col, fresh, running, stored
 
 WEIGHTS, SHARE, MOST, SEED = (5, 2, 1), 1.5, 2, 20240217
 #: (time, relative weight) knots for each entry of WEIGHTS: the broad sources fade, the small ones grow.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.25), (0.5, 0.75), (1.0, 2.25)))
-ROWS_PER_BUCKET, MAX_BUCKET_BITS = 4096, 22
+#: Hash ranges of a source hold so many rows on average.
+ROWS_PER_BUCKET = 4096
+ONE_TASK = 100_000
 GAP = r"[\x20\x09-\x0D]+"
 
 
@@ -32,17 +34,26 @@ def word_count(text: Column) -> Column:
     return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP), "")).cast("long")
 
 
-def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """``sizes(source, source_size)`` with kind (index of its weight) and target, one row per source."""
-    rank = F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")) - 1
-    ranked = sizes.withColumn("kind", (rank % len(weights)).cast("int"))
+def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, one_task: int = ONE_TASK) -> DataFrame:
+    """``sizes(source, source_size)`` with kind (index of its weight) and target, one row per source.
+
+    Up to ``one_task`` sources are ordered in one task, more of them in ranges.
+    """
+    if sizes.count() <= one_task:
+
+        def before(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+            window = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+            return df.select("*", *[F.coalesce(F.sum(v).over(window), F.lit(0)).alias(n) for n, v in sums.items()])
+    else:
+        before = running
+    by_name = [F.col("source").isNull(), F.col("source")]
+    ranked = before(sizes, by_name, {"rank": F.lit(1).cast("long")}).withColumn("kind", (F.col("rank") % len(weights)).cast("int"))
     ranked = ranked.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("kind") + 1))
-    ranked = ranked.withColumn("cap", F.col("source_size") * float(most)).withColumn("budget", F.sum("source_size").over(Window.partitionBy()) * share)
-    order = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), "source")
-    before = F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rest = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
-    level = F.max((F.col("budget") - F.col("before")) / F.col("rest")).over(Window.partitionBy())
-    ranked = ranked.withColumn("before", before).withColumn("rest", rest).withColumn("level", level)
+    ranked = ranked.withColumn("cap", F.col("source_size") * float(most))
+    total = ranked.agg((F.sum("source_size") * share).alias("budget"), F.sum("weight").alias("weights"))
+    ranked = before(ranked, [F.col("cap") / F.col("weight"), *by_name], {"caps": F.col("cap"), "lighter": F.col("weight")}).crossJoin(F.broadcast(total))  # one row
+    level = ranked.agg(F.max((F.col("budget") - F.col("caps")) / (F.col("weights") - F.col("lighter"))).alias("level"))
+    ranked = ranked.crossJoin(F.broadcast(level))  # one row
     return ranked.select("source", "source_size", "kind", F.least("cap", F.greatest(F.lit(0.0), F.col("weight") * F.col("level"))).alias("target"))
 
 
@@ -69,24 +80,25 @@ def curriculum(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS,
     share: float = SHARE, most: int = MOST, schedules: tuple = SCHEDULES, seed: int = SEED, prefix: str = "mix_",
 ) -> DataFrame:
-    """``docs`` with the columns size, source_size, target, taken, starts and passes (``prefix`` before each).
+    """``docs`` with the columns size, source_size, target, taken, starts, takes and copies (``prefix`` before each).
 
     taken: the words of the document inside its source's target, repeats counted; summed
     over a source it is the target rounded to a word. starts: the training positions at
-    which the document begins, in every pass. copies: passes of which at least half lies
+    which the document begins, in every pass; takes: the words taken in each. copies: passes of which at least half lies
     inside the target, for those who take whole documents. A null text has size 0, a null
     source is a source of its own; repeated rows count each; an empty table gives no rows.
 
     A source's prefix sums are taken in hash ranges (a first sum per range, then a running
     sum within it), so one source may hold any share of the rows.
     """
-    p = {x: fresh(prefix + x, docs.columns) for x in ("h", "bucket", "kind", "offset", "c", "size", "source_size", "target", "taken", "starts", "copies", "of", "source_of")}
-    bits = min(MAX_BUCKET_BITS, max(0, math.ceil(math.log2(max(1, docs.count()) / ROWS_PER_BUCKET))))
+    p = {x: fresh(prefix + x, docs.columns) for x in ("h", "bucket", "kind", "offset", "c", "size", "source_size", "target", "taken", "starts", "takes", "copies", "of", "source_of")}
+    bits = max(0, math.ceil(math.log2(max(1, docs.count()) / ROWS_PER_BUCKET)))
     known = docs.withColumn(p["size"], word_count(col(text_col)))
     known = known.withColumn(p["h"], F.xxhash64(F.lit(seed), col(id_col), col(text_col), col(text_col).isNull()))
     known = known.withColumn(p["bucket"], F.shiftrightunsigned(F.col(p["h"]), 64 - bits) if bits else F.lit(0).cast("long"))
 
     parts = known.groupBy(col(source_col).alias("source"), F.col(p["bucket"]).alias("bucket")).agg(F.sum(p["size"]).alias("size"))
+    parts = stored(parts, "parts")
     sizes = parts.groupBy("source").agg(F.sum("size").alias("source_size"))
     before = F.sum("size").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     parts = parts.withColumn("offset", F.coalesce(before, F.lit(0)))
@@ -102,12 +114,13 @@ def curriculum(
     c, size, whole = F.col(p["offset"]) + F.col(p["c"]), F.col(p["size"]), F.col(p["source_size"])
     quota = F.round(F.col(p["target"])).cast("long")
     begins = [c + k * whole for k in range(most)]
-    taken = sum((F.greatest(F.lit(0), F.least(size, quota - at)) for at in begins), F.lit(0))
+    takes = [F.greatest(F.lit(0), F.least(size, quota - at)).cast("long") for at in begins]
+    taken = sum(takes, F.lit(0))
     copies = sum((F.when(at + size / 2 <= quota, 1).otherwise(0) for at in begins), F.lit(0))
     share_met = [F.when(quota > 0, at / quota).otherwise(F.lit(1.0)) for at in begins]
     starts = F.array(*[position(F.col(p["kind"]), met, schedules) for met in share_met])
     keep = [col(x) for x in docs.columns] + [F.col(p[x]) for x in ("size", "source_size", "target")]
-    return joined.select(*keep, taken.cast("long").alias(p["taken"]), starts.alias(p["starts"]), copies.cast("int").alias(p["copies"]))
+    return joined.select(*keep, taken.cast("long").alias(p["taken"]), starts.alias(p["starts"]), F.array(*takes).alias(p["takes"]), copies.cast("int").alias(p["copies"]))
 
 
 def training_order(docs: DataFrame, **options) -> DataFrame:

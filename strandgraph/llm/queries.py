@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strandgraph.llm import bpe, decontamination, licenses, lm, media, mixing, paragraphs, sharding, simhash, toxicity
 from strandgraph.llm.common import crc_remainder, table
+from strandgraph.plans.lineage import shared_folder
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -35,12 +37,12 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = table(spark, sf_dir, "documents").select(
-        "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
-    )
-    sharded = sharding.shuffled_shards(rows)
-    return sharded.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    """The whole records are shuffled and written by shard; the rows are those read back from the files."""
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long")
+    path = f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
+    sharding.write_shards(sharding.shuffled_shards(table(spark, sf_dir, "documents"), size=size), path)
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    return spark.read.parquet(path).select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +60,9 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     mixed = mixing.curriculum(docs, prefix="")
-    mixed = mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", F.element_at("starts", 1).alias("position"))
+    drawn = F.filter(F.arrays_zip("starts", "takes"), lambda x: x["takes"] > 0)
+    positions = F.transform(drawn, lambda x: x["starts"]).alias("positions")
+    mixed = mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", F.element_at("starts", 1).alias("position"), positions)
     return mixed.repartitionByRange("position").sortWithinPartitions("position", "doc_id")
 
 
@@ -98,7 +102,7 @@ places AS (SELECT r, i, CASE {' '.join(cases)} END AS label FROM (SELECT r, w, u
 base AS (SELECT r, count(*) AS n_base, min(i) - 1 AS first_word, max(i) - 1 AS last_word, array_agg(DISTINCT label) AS labels FROM places WHERE label IS NOT NULL GROUP BY r),
 templates(label, size, need, tokens) AS (VALUES {', '.join(templates)}),
 blocks AS (SELECT DISTINCT r, line FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM docs)),
-held AS (SELECT r, line, list_distinct(regexp_extract_all(line, '{word}')) AS s FROM blocks WHERE regexp_matches(line, 'licens|permi|reserv|copyr|redistr|mozilla|free')),
+held AS (SELECT r, line, list_distinct(regexp_extract_all(line, '{word}')) AS s FROM blocks),
 met AS (SELECT h.r, h.line, m.label, len(list_intersect(h.s, m.tokens)) / m.size AS containment FROM held h JOIN templates m ON len(list_intersect(h.s, m.tokens)) >= m.need),
 found AS (SELECT r, array_agg(DISTINCT label) AS labels, max(containment) AS best, count(DISTINCT line) AS n_blocks FROM met GROUP BY r)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(b.n_base, 0)::BIGINT AS n_base, b.first_word::BIGINT AS first_word, b.last_word::BIGINT AS last_word,

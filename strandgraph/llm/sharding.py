@@ -1,9 +1,10 @@
 """Global shuffle into shards by a two-pass external shuffle, in DataFrame functions only.
 
-Pass 1 scatters rows by a seeded hash into buckets that fit in memory. Pass 2 shuffles each
-bucket by Fisher-Yates (Spark's seeded ``shuffle`` of an array). A row's place in the
+Pass 1 scatters the records by a seeded hash into buckets that fit in memory. Pass 2 shuffles
+each bucket by Fisher-Yates (Spark's seeded ``shuffle`` of an array) and writes it. A row's place in the
 whole order is its bucket's offset plus its place in the bucket, and shard k takes the k-th
-contiguous part of that order, so counts differ by at most one.
+contiguous part of that order, so counts differ by at most one. A task has ranges of buckets that follow one
+another, so it writes into few shards.
 """
 
 from __future__ import annotations
@@ -14,9 +15,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandgraph.llm.common import col, fresh
+from strandgraph.llm.common import col, fresh, stored
 
-SHARDS, SEED, BUCKET_BYTES, MAX_TASKS = 40, 20240131, 16 << 20, 20_000
+#: A task holds at most 128 buckets at once, where Spark's aggregation of lists turns to sorting: 512 MB.
+SHARDS, SEED, BUCKET_BYTES = 40, 20240131, 4 << 20
+#: Buckets of one range, and ranges at most in one shuffle.
+RANGE, MAX_TASKS = 16, 100_000
+#: A bucket so many times the aimed size holds rows that are equal in every column, or a giant one.
+CROWDED = 4
 
 
 def _hashable(kind: T.DataType) -> bool:
@@ -34,27 +40,48 @@ def shuffled_shards(
     """``rows`` with ``shard`` (int) and gapless ``slot`` (long from 0); every row once.
 
     ``size`` estimates a row's bytes in memory (64 if not given). A row's bucket depends on
-    all its columns but maps, so rows that share an id, source or text are still scattered;
-    rows equal in every column share a bucket. Nulls hash like values. With fewer rows than
+    all its columns but maps, so rows that share an id, source or text are still scattered.
+    Rows equal in every column are counted where they lie and numbered, and the number takes part in the hash (not so in tables with
+    maps, whose equal rows share a bucket). Nulls hash like values. With fewer rows than
     shards the surplus shards stay empty; an empty table gives no rows. Existing columns
     keep their names and values; a new column whose name is taken gets underscores at its end.
     """
     if n_shards < 1:
         raise ValueError("n_shards must be positive")
     shard_col, slot_col = fresh(shard_col, rows.columns), fresh(slot_col, rows.columns)
+    h, b, at, all_, group, weight, copy = (fresh(x, rows.columns) for x in ("__h", "__bucket", "__at", "__rows", "__range", "__size", "__copy"))
     total = rows.agg(F.count("*").alias("n"), F.sum(F.lit(64) if size is None else size).alias("bytes")).first()
     n_buckets = max(1, math.ceil((total.bytes or 0) / bucket_bytes))
-    h, b, at, all_ = (fresh(x, rows.columns) for x in ("__h", "__bucket", "__at", "__rows"))
     hashed = rows.withColumn(h, F.xxhash64(F.lit(seed), *[col(f.name) for f in rows.schema.fields if _hashable(f.dataType)]))
     hashed = hashed.withColumn(b, F.pmod(F.col(h), F.lit(n_buckets)))
 
-    counts = hashed.groupBy(b).agg(F.count("*").alias("n"))
-    before = Window.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(F.col(b).alias("of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    def counted(frame: DataFrame) -> DataFrame:
+        held = frame.withColumn(weight, F.lit(64) if size is None else size)
+        return stored(held.groupBy(F.col(b).alias("of")).agg(F.count("*").alias("n"), F.sum(weight).alias("bytes")), "buckets")
+
+    counts = counted(hashed)
+    crowded = counts.filter(F.col("bytes") > CROWDED * bucket_bytes).select("of")
+    if all(_hashable(f.dataType) for f in rows.schema.fields) and crowded.limit(1).count():
+        keys = [col(c) for c in rows.columns]
+        inside = F.col(b) == F.col("of")
+        equal = hashed.join(F.broadcast(crowded), inside, "left_semi").groupBy(*keys, F.col(h)).agg(F.count("*").alias(copy))
+        equal = equal.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copy)))).withColumn(h, F.xxhash64(F.lit(seed), h, copy)).drop(copy)
+        equal = equal.withColumn(b, F.pmod(F.col(h), F.lit(n_buckets)))
+        hashed = hashed.join(F.broadcast(crowded), inside, "left_anti").unionByName(equal)
+        counts = counted(hashed)
+
+    # offsets in two levels, so that no task sorts all buckets
+    block = F.expr("of div 1024").alias("block")
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = counts.groupBy(block).agg(F.sum("n").alias("n")).select("block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inner = Window.partitionBy("block").orderBy("of").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("of", "n", block).join(F.broadcast(blocks), "block")
+    offsets = offsets.select("of", (F.col("start") + F.coalesce(F.sum("n").over(inner), F.lit(0))).alias("offset"))
 
     # the sort makes each list, and so its shuffle, the same when a task is run again
-    dealt = hashed.repartition(min(n_buckets, MAX_TASKS), b).sortWithinPartitions(b, h)
-    lists = dealt.groupBy(b).agg(F.collect_list(F.struct(*[col(c) for c in rows.columns])).alias(all_))
+    ranges = max(1, min(MAX_TASKS, n_buckets // RANGE))
+    dealt = hashed.withColumn(group, F.expr(f"(`{b}` * {ranges}L) div {n_buckets}L")).repartition(min(2 * ranges, n_buckets), group).sortWithinPartitions(b, h)
+    lists = dealt.groupBy(group, b).agg(F.collect_list(F.struct(*[col(c) for c in rows.columns])).alias(all_))
     lists = lists.select(b, F.posexplode(F.shuffle(F.col(all_), seed)).alias(at, all_))
     place = (F.col("offset") + F.col(at)).alias("place")
     placed = lists.join(offsets, F.col(b) == F.col("of")).select(F.col(all_).alias("r"), place)
@@ -65,8 +92,5 @@ def shuffled_shards(
 
 
 def write_shards(sharded: DataFrame, path: str, shard_col: str = "shard", slot_col: str = "slot") -> None:
-    """One folder of Parquet files per shard, rows in slot order within each file.
-
-    A task holds whole buckets, so it writes into the few shards its buckets reach.
-    """
+    """One folder of Parquet files per shard, rows in slot order within each file."""
     sharded.sortWithinPartitions(shard_col, slot_col).write.partitionBy(shard_col).mode("overwrite").parquet(path)
