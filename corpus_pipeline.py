@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from strandgraph.llm import decontamination, mixing, sharding, simhash, toxicity
 from strandgraph.llm.common import table
+from strandgraph.plans.lineage import shared_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,9 +37,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Globally shuffled shards of equal counts: the documents with shard and slot."""
+    """Globally shuffled shards of equal counts: the documents with shard and slot, in this order within each file."""
     size = F.coalesce(F.octet_length("text"), F.lit(0)) + 64
-    return sharding.shuffled_shards(docs, size=size)
+    return sharding.shuffled_shards(docs, size=size).sortWithinPartitions("shard", "slot")
 
 
 STAGES = [
@@ -55,12 +56,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written to the shared folder and read again."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base is None:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="pipeline-")
-    base = f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}-{name}")

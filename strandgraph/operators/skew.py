@@ -30,8 +30,8 @@ def hot_keys(frame: DataFrame, keys: list[str], share: float | None = None) -> t
 def spread_join(left: DataFrame, right: DataFrame, keys: list[str], spread: str | Column, how: str = "inner", share: float | None = None) -> DataFrame:
     """``left`` joined with ``right`` on ``keys``; rows of a hot key on the left are dealt to several tasks.
 
-    Which of them a row goes to depends on a hash of ``spread``, a column of ``left`` that differs
-    among the rows of a key. The matching rows of ``right`` are copied once per task. For
+    Which of them a row goes to depends on a hash of ``spread``, a value that differs
+    among the rows of a key and is the same when a task runs again. The matching rows of ``right`` are copied once per task. For
     inner, left, left_semi and left_anti joins; null keys match nothing.
     """
     parts, salt = _taken("__parts", left, right), _taken("__salt", left, right)
