@@ -1,6 +1,6 @@
 """Toxicity scores: gradient-boosted trees over dense features, calibrated by isotonic regression.
 
-Features come from the text alone: densities of fixed and learnt lexicons, lexicon words
+Features come from the text alone: densities of fixed and of one learnt lexicon, lexicon words
 near second-person words, capitals, punctuation and obfuscation. The trees are grown in
 numpy on a bounded sample of labelled rows (``SAMPLE`` by hash order of the id). Learnt
 terms are words and word stems (beginnings, marked by a star) that stand mostly in toxic
@@ -48,7 +48,7 @@ _OUTER = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~¡¿«»…“”
 _WORD, _TRIPLE = re.compile(r"[^\W\d_]+"), re.compile(r"([a-z])\1\1")
 _RUN, _SPACED = re.compile(r"(.)\1{2,}"), re.compile(r"(?<![^\W\d_])(?:[a-z][ .*-]){3,}[a-z](?![^\W\d_])")
 _BANGS, _SHOUT = re.compile(r"[!?]{2,}"), re.compile(r"\b[A-Z]{3,}\b")
-NAMES = ["words", "insults", "profanity", "threats", "lexicon_count", "learnt", "learnt_count", "learnt_best", "learnt_sum", "near_you", "second", "capitals", "shouting", "bangs", "bang_runs", "punctuation", "digits", "odd_tokens", "masked_hits"]
+NAMES = ["words", "insults", "profanity", "threats", "lexicon_count", "learnt", "learnt_count", "near_you", "second", "capitals", "shouting", "bangs", "bang_runs", "punctuation", "digits", "odd_tokens", "masked_hits"]
 
 
 def _in_lexicon(word: str, lexicon: frozenset[str]) -> bool:
@@ -64,15 +64,12 @@ def _unmasked(token: str) -> bool:
     return any(len(w) == len(token) and all(a in ("*", b) for a, b in zip(token, w, strict=True)) for w in _ALL if w[0] == token[0])
 
 
-def term_weight(word: str, learnt: dict[str, float]) -> float:
-    """The greatest weight of the learnt words and stems that match; 0 if none does."""
-    found = learnt.get(word, 0.0)
-    if len(word) > STEMS[0]:
-        found = max(found, *(learnt.get(word[:k] + "*", 0.0) for k in STEMS if len(word) > k))
-    return found
+def in_learnt(word: str, learnt: frozenset[str]) -> bool:
+    """Whether a learnt word or stem matches."""
+    return word in learnt or (len(word) > STEMS[0] and any(word[:k] + "*" in learnt for k in STEMS if len(word) > k))
 
 
-def features(text: str | None, learnt: dict[str, float]) -> list[float]:
+def features(text: str | None, learnt: frozenset[str]) -> list[float]:
     text = text or ""
     lower = text.lower()
     words = _WORD.findall(lower)
@@ -81,8 +78,8 @@ def features(text: str | None, learnt: dict[str, float]) -> list[float]:
     known = {w for w in kinds if w in _ALL or (w[-1:] == "s" and w[:-1] in _ALL)}
     hits = [(i, w) for i, w in enumerate(words) if w in known] if known else []
     groups = [sum(1 for _, w in hits if _in_lexicon(w, g)) for g in _GROUPS]
-    weights = {w: x for w in kinds if (x := term_weight(w, learnt))} if learnt else {}
-    learnt_hits = sum(1 for w in words if w in weights) if weights else 0
+    terms = {w for w in kinds if in_learnt(w, learnt)} if learnt else set()
+    learnt_hits = sum(1 for w in words if w in terms) if terms else 0
     second = [i for i, w in enumerate(words) if w in SECOND]
     abuse = np.array([i for i, _ in hits])
     near = 0
@@ -109,7 +106,6 @@ def features(text: str | None, learnt: dict[str, float]) -> list[float]:
     bangs = int(raw[33] + raw[63])
     return [
         float(np.log1p(len(words))), *(100 * g / n for g in groups), float(np.log1p(sum(groups))), 100 * learnt_hits / n, float(np.log1p(learnt_hits)),
-        max(weights.values(), default=0.0), float(np.log1p(sum(weights.values()))),
         100 * near / n, 100 * len(second) / n, raw[65:91].sum() / letters, 100 * len(_SHOUT.findall(text)) / n, 100 * bangs / n,
         100 * len(_BANGS.findall(text)) / n if bangs > 1 else 0.0, (raw[33:48].sum() + raw[58:65].sum() + raw[91:97].sum() + raw[123:127].sum()) / size,
         raw[48:58].sum() / size, 100 * odd / n, float(np.log1p(masked)),
@@ -192,7 +188,7 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class ToxicityModel:
-    learnt: dict[str, float] = field(default_factory=dict)
+    learnt: frozenset[str] = frozenset()
     trees: BoostedTrees | None = None
     knots: tuple[np.ndarray, np.ndarray] = (np.zeros(1), np.zeros(1))
 
@@ -212,12 +208,15 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     """Fit on at most ``sample`` labelled ids, none with crc32(id) mod 5 = 0.
 
     Null labels and ids are left out; an id labelled twice counts as toxic if one label is.
-    Without labels of both kinds the score is the smoothed share of toxic ones.
+    Rows that share an id all have its label; if that makes far more rows than ids, about
+    ``sample`` of them are taken by a hash. Without labels of both kinds, as with an empty table, the score is the smoothed share of toxic ones.
     """
     usable = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (crc_remainder(F.col("doc_id"), 5) != 0))
     chosen = usable.groupBy("doc_id").agg(F.max("toxic").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = stored(rows.select(_fold(F.col("doc_id")).alias("fold"), F.col("y").cast("int").alias("y"), "text"))
+    rows = stored(rows.select(_fold(F.col("doc_id")).alias("fold"), F.col("y").cast("int").alias("y"), "text", F.rand(7).alias("draw")), "labelled")
+    n_rows = rows.count()
+    rows = (rows if n_rows <= 2 * sample else rows.filter(F.col("draw") < sample / n_rows)).drop("draw")
 
     words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\P{L}+"), lambda w: F.length(w) >= 3))
     hashes = F.array_sort(F.transform("words", lambda w: F.xxhash64(w)))
@@ -234,13 +233,10 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     ever = ever.filter((F.col("t") >= least) & (F.col("t") >= PURITY * F.col("n")))
     top = ever.orderBy(F.desc(F.col("t") * F.pow(F.col("t") / F.col("n"), 2)), "term").limit(LEARNT_TERMS).collect()
 
-    def learnt(without: int | None) -> dict[str, float]:
-        out = {}
-        for r in top:
-            n, t = (sum((r[f"{x}{k}"] or 0) for k in range(FOLDS) if k != without) for x in "nt")
-            if t >= least / 2 and t >= PURITY * n:
-                out[r.term] = float(np.log((t + 0.5) / (n - t + 0.5)))
-        return out
+    def learnt(without: int | None) -> frozenset[str]:
+        """The terms that hold without one of the folds."""
+        sums = {r.term: [sum((r[f"{x}{k}"] or 0) for k in range(FOLDS) if k != without) for x in "nt"] for r in top}
+        return frozenset(term for term, (n, t) in sums.items() if t >= least / 2 and t >= PURITY * n)
 
     lexicons = [learnt(k) for k in range(FOLDS)]
 
@@ -266,7 +262,10 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
 
 def with_score(docs: DataFrame, model: ToxicityModel, name: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with the column ``name``: the calibrated score of each whole text, null texts as empty."""
+    """``docs`` with the column ``name``: the calibrated score of each whole text, null texts as empty.
+
+    Equal texts score alike, so repeated rows all return with one score; an empty table gives no rows.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -277,6 +276,9 @@ def with_score(docs: DataFrame, model: ToxicityModel, name: str, text_col: str =
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score under ``threshold``, unchanged."""
+    """The rows of ``docs`` that score under ``threshold``, unchanged, with whatever other columns they have.
+
+    Null and empty texts score as empty ones, rows without an id like any others.
+    """
     name = fresh("__toxicity", docs.columns)
     return with_score(docs, train(docs, labels, text_col=text_col), name, text_col).filter(F.col(name) < threshold).drop(name)
