@@ -14,10 +14,16 @@ from strandgraph.operators.skew import spread_join
 
 
 def _with_least(links: DataFrame, least: DataFrame, hub: float) -> DataFrame:
-    """``links(u, v)`` with the least ``m`` of each u; that of the few with over ``hub`` links comes by broadcast."""
-    hubs = F.broadcast(least.filter(F.col("n") > hub).select("u", "m"))
-    others = links.join(hubs.select("u"), "u", "left_anti").join(least.select("u", "m"), "u")
-    return others.unionByName(links.join(hubs, "u"))
+    """``links(u, v)`` with the least ``m`` of each u.
+
+    Nodes with over ``hub`` links are fewer than all links divided by that; their rows of
+    ``least(u, m, n)`` come to the driver and back by broadcast.
+    """
+    found = least.filter(F.col("n") > hub).select("u", "m").collect()
+    if not found:
+        return links.join(least.select("u", "m"), "u")
+    hubs = F.broadcast(links.sparkSession.createDataFrame(found, "u long, m long"))
+    return links.join(hubs.select("u"), "u", "left_anti").join(least.select("u", "m"), "u").unionByName(links.join(hubs, "u"))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -39,11 +45,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
         hub = max(1.0, now[0] / int(current.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         both = current.union(current.select("v", "u")).toDF("u", "v")
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
-        large = _with_least(both.filter("v > u"), low, hub).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
+        large = _with_least(both.filter("v > u"), low, hub).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
+        large = stored(large.distinct(), "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = _with_least(large, least, hub).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = stored(small.union(least.select("u", "m")).distinct(), "links")
         discard(current)
+        discard(large)
         current = after
     members = current.groupBy("u").agg(F.min("v").alias("root")).toDF("node", "root")
     return members.union(current.select(F.col("v"), F.col("v")).distinct())
@@ -109,7 +117,7 @@ def verified_links(
     group = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
     dealt = dealt.select(group.alias("g"), "bucket", "node")
     if payload is not None:
-        dealt = spread_join(dealt, payload, ["node"], "g")
+        dealt = dealt.join(payload, "node")  # a node is in few groups of each of its buckets
     dealt = dealt.repartition("g").sortWithinPartitions("g", "bucket", "node")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
