@@ -86,10 +86,10 @@ def _op2_sql() -> str:
     """Base scan and template containment stated directly, without filters or order."""
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     templates = []
-    for label, text in licenses.TEMPLATES:
+    for k, (label, text) in enumerate(licenses.TEMPLATES):
         tokens = sorted(set(licenses.words_of(text)))
         need = -int(-(licenses.THRESHOLD * len(tokens) - 1e-9) // 1)
-        templates.append(f"('{label}', {len(tokens)}, {need}, [{', '.join(repr(t) for t in tokens)}])")
+        templates += [f"({k}, '{label}', {len(tokens)}, {need}, '{t}')" for t in tokens]
     cases = []
     for phrase, label in licenses.PHRASES.items():
         test = " AND ".join(f"w[i + {k}] = '{p}'" for k, p in enumerate(phrase.split()))
@@ -100,11 +100,12 @@ WITH docs AS (
 words AS (SELECT r, doc_id, t, regexp_extract_all(t, '{word}') AS w FROM docs),
 places AS (SELECT r, i, CASE {' '.join(cases)} END AS label FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM words WHERE regexp_matches(t, 'cc|general|reserved'))),
 base AS (SELECT r, count(*) AS n_base, min(i) - 1 AS first_word, max(i) - 1 AS last_word, array_agg(DISTINCT label) AS labels FROM places WHERE label IS NOT NULL GROUP BY r),
-templates(label, size, need, tokens) AS (VALUES {', '.join(templates)}),
+templates(k, label, size, need, token) AS (VALUES {', '.join(templates)}),
 blocks AS (SELECT DISTINCT r, line FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM docs)),
-held AS (SELECT r, line, list_distinct(regexp_extract_all(line, '{word}')) AS s FROM blocks),
-met AS (SELECT h.r, h.line, m.label, len(list_intersect(h.s, m.tokens)) / m.size AS containment FROM held h JOIN templates m ON len(list_intersect(h.s, m.tokens)) >= m.need),
-found AS (SELECT r, array_agg(DISTINCT label) AS labels, max(containment) AS best, count(DISTINCT line) AS n_blocks FROM met GROUP BY r)
+numbered AS (SELECT row_number() OVER () AS b, r, line FROM blocks),
+held AS (SELECT DISTINCT b, r, word FROM (SELECT b, r, unnest(regexp_extract_all(line, '{word}')) AS word FROM numbered)),
+met AS (SELECT h.b, h.r, m.label, count(*) / m.size AS containment FROM held h JOIN templates m ON h.word = m.token GROUP BY h.b, h.r, m.k, m.label, m.size, m.need HAVING count(*) >= m.need),
+found AS (SELECT r, array_agg(DISTINCT label) AS labels, max(containment) AS best, count(DISTINCT b) AS n_blocks FROM met GROUP BY r)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(b.n_base, 0)::BIGINT AS n_base, b.first_word::BIGINT AS first_word, b.last_word::BIGINT AS last_word,
   coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(f.labels, [])))), ','), '') AS labels,
