@@ -40,7 +40,7 @@ MAX_WORDS, LEAST, TOP, SHARE = 4, 30, 2000, 80
 #: Candidates of one automaton: some 250 bytes each.
 BLOCK = 500_000
 #: Bytes of text that a task works on at once, and of one stored run of words.
-PORTION, RUN = 16 << 20, 256 << 10
+PORTION, RUN = 8 << 20, 256 << 10
 #: Stands for the end of a piece among the words; no byte of UTF-8.
 BREAK = b"\xff"
 ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
