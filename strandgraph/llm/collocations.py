@@ -12,7 +12,7 @@ together in a piece, and everything is counted per language.
    runs of words whose neighbouring pairs pass, which hold every occurrence of every candidate.
 3. Blocks of candidates are compiled into Aho-Corasick automata. A key has a delimiter on both sides and
    so has each word of the scanned text, so matches begin and end with words; they may overlap. Each task counts its
-   matches, the counts are summed, and the threshold is applied to the sums.
+   matches in arrays, chunks of the arrays are summed, and the threshold is applied to the sums.
 
 A block is bounded, and each block reads the runs once more. Scores and the tests for longer
 phrases are joins on the counted phrases, in exact arithmetic.
@@ -23,6 +23,8 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import ahocorasick
 import numpy as np
@@ -41,6 +43,10 @@ MAX_WORDS, LEAST, TOP, SHARE = 4, 30, 2000, 80
 BLOCK = 500_000
 #: Bytes of text that a task works on at once, and of one stored run of words.
 PORTION, RUN = 8 << 20, 256 << 10
+#: Cells, words or phrases that a task holds before it sends them on.
+HELD = 2_000_000
+#: Candidates whose counts make one row.
+CHUNK = 4096
 #: Stands for the end of a piece among the words; no byte of UTF-8.
 BREAK = b"\xff"
 ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -106,21 +112,50 @@ def _same(value: str | None, n: int) -> pa.Array:
     return pa.array([value] * n, pa.string())
 
 
-def _cells(keys: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    found, counts = np.unique(keys, return_counts=True)
-    return pa.array(found, pa.int64()), pa.array(counts, pa.int64())
+class Cells:
+    """Partial counts of cells, summed over a task's portions; they leave when ``HELD`` different ones are there, and at the end."""
+
+    def __init__(self) -> None:
+        self.keys, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, keys: np.ndarray) -> Iterator[tuple[pa.Array, pa.Array]]:
+        own, counts = np.unique(keys, return_counts=True)
+        self.keys, place = np.unique(np.concatenate([self.keys, own]), return_inverse=True)
+        self.counts = np.bincount(place, np.concatenate([self.counts, counts]), len(self.keys)).astype(np.int64)
+        if len(self.keys) > HELD:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[tuple[pa.Array, pa.Array]]:
+        if len(self.keys):
+            yield pa.array(self.keys), pa.array(self.counts)
+        self.__init__()
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``(lang, word, key, n)``; the row without a word has the sum of all."""
+    held: dict[str, dict[bytes, list[int]]] = {}
+
+    def sent() -> Iterator[pa.RecordBatch]:
+        for lang, words in held.items():
+            values = list(words.values())
+            yield _batch(lang=_same(lang, len(words)), word=_text(list(words)), key=pa.array([v[0] for v in values], pa.int64()), n=pa.array([v[1] for v in values], pa.int64()))
+        held.clear()
+
     for lang, texts in _portions(batches):
         coded = Coded(lang, texts)
-        counts = np.bincount(coded.codes, minlength=len(coded.words))
-        real = np.flatnonzero(coded.real)
-        yield _batch(
-            lang=_same(lang, len(real) + 1), word=pa.concat_arrays([_text([coded.words[k] for k in real]), _same(None, 1)]),
-            key=pa.array(np.append(coded.keys[real].view(np.int64), 0)), n=pa.array(np.append(counts[real], counts[real].sum()).astype(np.int64)),
-        )
+        counts = np.bincount(coded.codes, minlength=len(coded.words)).tolist()
+        known, every = held.setdefault(lang, {}), 0
+        for word, key, n, real in zip(coded.words, coded.keys.view(np.int64).tolist(), counts, coded.real.tolist(), strict=True):
+            if real:
+                every += n
+                if word in known:
+                    known[word][1] += n
+                else:
+                    known[word] = [key, n]
+        yield _batch(lang=_same(lang, 1), word=_same(None, 1), key=pa.array([0]), n=pa.array([every]))
+        if sum(map(len, held.values())) > HELD // 8:
+            yield from sent()
+    yield from sent()
 
 
 def _pairs_of(coded: Coded, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,8 +168,11 @@ def _pairs_of(coded: Coded, words: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def _sketch_pairs(sent: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = Cells()
         for lang, texts in _portions(batches):
-            key, n = _cells(_pairs_of(Coded(lang, texts), sent.value)[2])
+            for key, n in cells.add(_pairs_of(Coded(lang, texts), sent.value)[2]):
+                yield _batch(key=key, n=n)
+        for key, n in cells.rest():
             yield _batch(key=key, n=n)
 
     return run
@@ -145,6 +183,8 @@ def _cut_runs(sent: Broadcast):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, pairs = sent.value
+        cells = Cells()
+        sketch = lambda key, n: _batch(lang=_same(None, len(key)), text=_same(None, len(key)), key=key, n=n)
         for lang, texts in _portions(batches):
             coded = Coded(lang, texts)
             keys, at, pair = _pairs_of(coded, words)
@@ -155,8 +195,8 @@ def _cut_runs(sent: Broadcast):
                 together = together[:-1] & linked[n - 2 : len(keys)]
                 starts = np.flatnonzero(together[: max(0, len(keys) - n + 1)])
                 found.append(phrase_keys(keys, n)[starts] if len(starts) else np.zeros(0, np.int64))
-            key, n = _cells(np.concatenate(found))
-            yield _batch(lang=_same(None, len(key)), text=_same(None, len(key)), key=key, n=n)
+            for key, n in cells.add(np.concatenate(found)):
+                yield sketch(key, n)
             before = np.append(False, linked[:-1])[: len(keys)]
             inside, starts = linked[:-1] | before, linked[:-1] & ~before
             place = np.cumsum(inside) - 1
@@ -172,14 +212,17 @@ def _cut_runs(sent: Broadcast):
                 part = rows[k : k + 16]
                 none = pa.nulls(len(part), pa.int64())
                 yield _batch(lang=_same(lang, len(part)), text=_text(part), key=none, n=none)
+        for key, n in cells.rest():
+            yield sketch(key, n)
 
     return run
 
 
 def _candidates(sent: Broadcast):
-    """``(lang, phrase)``: the phrases of the runs whose cells pass, each once per portion."""
+    """``(lang, phrase)``: the phrases of the runs whose cells pass, each once per task and cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(0, np.int64)
         for lang, texts in _portions(batches):
             coded = Coded(lang, texts)
             real, keys, phrases = coded.real[coded.codes], coded.keys[coded.codes], []
@@ -191,7 +234,9 @@ def _candidates(sent: Broadcast):
                 at = np.flatnonzero(whole)
                 key = phrase_keys(keys, n)[at]
                 passed = in_filter(sent.value, key)
-                first = at[passed][np.unique(key[passed], return_index=True)[1]]
+                own, first = np.unique(key[passed], return_index=True)
+                new = ~np.isin(own, seen, assume_unique=True)
+                first, seen = at[passed][first[new]], np.concatenate([seen[:0] if len(seen) > HELD else seen, own[new]])
                 spans = coded.codes[first[:, None] + np.arange(n)].tolist()
                 phrases += [b" ".join([coded.words[c] for c in span]) for span in spans]
             for k in range(0, len(phrases), 100_000):
@@ -217,24 +262,39 @@ def automata(block: list[tuple[str, bytes]]) -> dict[str, ahocorasick.Automaton]
 
 
 def _scan(sent: Broadcast, name: str):
-    """``(lang, phrase, n)``: a task's matches of the block's phrases."""
+    """``(chunk, counts)``: a task's matches of the block's phrases, ``CHUNK`` counts in a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = list(zip(*sent.value, strict=True))
         if name not in _compiled:
             _compiled.clear()
-            _compiled[name] = automata(block)
-        counts = np.zeros(len(block), np.int64)
+            _compiled[name] = automata(list(zip(*sent.value, strict=True)))
+        counts = np.zeros(-(-len(sent.value[0]) // CHUNK) * CHUNK, np.int64)
         for lang, texts in _portions(batches):
             automaton = _compiled[name].get(lang)
             if automaton is not None:
                 text = (b" " + b" ".join(normalised(texts).split()) + b" ").decode("latin-1")
                 hits = np.fromiter((k for _, k in automaton.iter(text)), np.int64)
-                counts += np.bincount(hits, minlength=len(block))
-        hit = np.flatnonzero(counts).tolist()
-        for at in range(0, len(hit), 100_000):
-            part = hit[at : at + 100_000]
-            yield _batch(lang=pa.array([block[k][0] for k in part], pa.string()), phrase=_text([block[k][1] for k in part]), n=pa.array(counts[part]))
+                counts += np.bincount(hits, minlength=len(counts))
+        for chunk, part in enumerate(counts.reshape(-1, CHUNK)):
+            if part.any():
+                yield _batch(chunk=pa.array([chunk], pa.int32()), counts=pa.array([part.tobytes()], pa.binary()))
+
+    return run
+
+
+def _sum_chunks(sent: Broadcast, least: int):
+    """``(lang, phrase, n)`` of at least ``least`` matches; the rows of a chunk come together and are added as they pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        langs, phrases = sent.value
+        rows = (row for batch in batches for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        for chunk, parts in groupby(rows, itemgetter(0)):
+            total = np.zeros(CHUNK, np.int64)
+            for _, counts in parts:
+                total += np.frombuffer(counts, np.int64)
+            found = np.flatnonzero(total >= least)
+            places = (found + chunk * CHUNK).tolist()
+            yield _batch(lang=pa.array([langs[k] for k in places], pa.string()), phrase=_text([phrases[k] for k in places]), n=pa.array(total[found]))
 
     return run
 
@@ -268,8 +328,8 @@ def phrase_counts(docs: DataFrame, *, text_col: str = "text", lang_col: str = "l
         # one block at a time: its size has a bound at any number of candidates
         own = found.filter(F.pmod(F.xxhash64("lang", "phrase"), F.lit(parts)) == k).toArrow()
         compiled = spark.sparkContext.broadcast((own["lang"].to_pylist(), [p.encode() for p in own["phrase"].to_pylist()]))
-        scanned = held.mapInArrow(_scan(compiled, uuid.uuid4().hex), "lang string, phrase string, n long")
-        part = stored(scanned.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), "phrases")
+        scanned = held.mapInArrow(_scan(compiled, uuid.uuid4().hex), "chunk int, counts binary").repartition("chunk").sortWithinPartitions("chunk")
+        part = stored(scanned.mapInArrow(_sum_chunks(compiled, max(1, least)), "lang string, phrase string, n long"), "phrases")
         phrases = part if phrases is None else phrases.unionByName(part)
         compiled.unpersist()
     for old in (sent, both, cells):
