@@ -3,7 +3,7 @@
 A text is cut at punctuation into pieces and those into words; a phrase is two to four words that stand
 together in a piece, and everything is counted per language.
 
-1. Words are counted exactly. A count-min sketch in one row of 64-bit cells then takes the pairs of
+1. Words are counted exactly. A count-min sketch in one row of 2^40 cells then takes the pairs of
    frequent words, and after it the triples and quadruples whose pairs are all frequent by the sketch.
    Tasks send each of their cells once, with its partial count, so its size follows the data. A cell's
    count is an upper bound of its phrases' counts. What goes back to the workers is one bit per cell, for the cells
@@ -45,6 +45,10 @@ BLOCK = 500_000
 PORTION, RUN = 8 << 20, 256 << 10
 #: Cells, words or phrases that a task holds before it sends them on.
 HELD = 2_000_000
+#: The sketch has 2 to this power cells.
+CELL_BITS = 40
+#: Candidates that meet in one bucket, on average, to be made distinct.
+BUCKET = 50_000
 #: Candidates whose counts make one row.
 CHUNK = 4096
 #: Stands for the end of a piece among the words; no byte of UTF-8.
@@ -60,16 +64,21 @@ def normalised(texts: list[bytes]) -> bytes:
     return (b" " + BREAK + b" ").join(texts).translate(FOLD).replace(BREAK, b" " + BREAK + b" ")
 
 
+def word_key(lang: str, word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word, zlib.crc32(lang.encode()))
+
+
 class Coded:
     """Texts of one language as codes into their distinct words, each with a 64-bit key."""
 
-    def __init__(self, lang: str, texts: list[bytes]):
+    def __init__(self, lang: str, texts: list[bytes], keyed: bool = True):
         cut = pc.ascii_split_whitespace(pa.array([normalised(texts)], pa.binary()).view(pa.string())).flatten()
         encoded = cut.view(pa.binary()).dictionary_encode()
         self.codes = encoded.indices.to_numpy()
         self.words = encoded.dictionary.to_pylist()
-        seed = zlib.crc32(lang.encode())
-        self.keys = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in self.words), np.uint64, len(self.words))
+        if keyed:
+            seed = zlib.crc32(lang.encode())
+            self.keys = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in self.words), np.uint64, len(self.words))
         self.real = np.array([w != BREAK and w != b"" for w in self.words], bool)
 
 
@@ -78,12 +87,17 @@ def _mixed(keys: np.ndarray) -> np.ndarray:
     return keys ^ (keys >> np.uint64(29))
 
 
-def phrase_keys(keys: np.ndarray, n: int) -> np.ndarray:
-    """The key of the phrase of ``n`` words that begins at each word."""
+def full_keys(keys: np.ndarray, n: int) -> np.ndarray:
+    """The 64-bit hash of the phrase of ``n`` words that begins at each word."""
     out = keys
     for k in range(1, n):
         out = _mixed(out[:-1]) + keys[k:]
-    return _mixed(out + np.uint64(n)).view(np.int64)
+    return _mixed(out + np.uint64(n))
+
+
+def phrase_keys(keys: np.ndarray, n: int) -> np.ndarray:
+    """The sketch's cell of that phrase."""
+    return (full_keys(keys, n) >> np.uint64(64 - CELL_BITS)).view(np.int64)
 
 
 def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
@@ -132,32 +146,35 @@ class Cells:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(lang, word, key, n)``; the row without a word has the sum of all."""
-    held: dict[str, dict[bytes, list[int]]] = {}
+    """``(lang, word, n)``; the row without a word has the sum of all."""
+    held: dict[str, dict[bytes, int]] = {}
 
     def sent() -> Iterator[pa.RecordBatch]:
         for lang, words in held.items():
-            values = list(words.values())
-            yield _batch(lang=_same(lang, len(words)), word=_text(list(words)), key=pa.array([v[0] for v in values], pa.int64()), n=pa.array([v[1] for v in values], pa.int64()))
+            yield _batch(lang=_same(lang, len(words)), word=_text(list(words)), n=pa.array(list(words.values()), pa.int64()))
         held.clear()
 
     for lang, texts in _portions(batches):
-        coded = Coded(lang, texts)
+        coded = Coded(lang, texts, keyed=False)
         counts = np.bincount(coded.codes, minlength=len(coded.words)).tolist()
         known, every = held.setdefault(lang, {}), 0
-        for word, key, n, real in zip(coded.words, coded.keys.view(np.int64).tolist(), counts, coded.real.tolist(), strict=True):
+        for word, n, real in zip(coded.words, counts, coded.real.tolist(), strict=True):
             if real:
                 every += n
-                if word in known:
-                    known[word][1] += n
-                else:
-                    known[word] = [key, n]
-        yield _batch(lang=_same(lang, 1), word=_same(None, 1), key=pa.array([0]), n=pa.array([every]))
-        if sum(map(len, held.values())) > HELD // 8:
+                known[word] = known.get(word, 0) + n
+        yield _batch(lang=_same(lang, 1), word=_same(None, 1), n=pa.array([every]))
+        if sum(map(len, held.values())) > HELD // 4:
             yield from sent()
     yield from sent()
 
 
+def _word_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = batch.column(1).view(pa.binary()).to_pylist()
+        keys = [word_key(lang, word) for lang, word in zip(batch.column(0).to_pylist(), words, strict=True)]
+        yield _batch(key=pa.array(np.array(keys, np.uint64).view(np.int64)))
+
+
 def _pairs_of(coded: Coded, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys at each word, places of pairs of frequent words, and the keys of those pairs."""
     good = (coded.real & in_filter(words, coded.keys.view(np.int64)))[coded.codes]
@@ -218,14 +235,20 @@ def _cut_runs(sent: Broadcast):
     return run
 
 
-def _candidates(sent: Broadcast):
-    """``(lang, phrase)``: the phrases of the runs whose cells pass, each once per task and cell."""
+def _candidates(sent: Broadcast, buckets: int):
+    """``(bucket, lang, phrases)``: the phrases of the runs whose cells pass, each once per task, in sorted lists by bucket of their cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(0, np.int64)
+        held, size = {}, 0
+
+        def lists() -> Iterator[pa.RecordBatch]:
+            for (bucket, lang), phrases in held.items():
+                yield _batch(bucket=pa.array([bucket], pa.int32()), lang=_same(lang, 1), phrases=_text([b"\n".join(sorted(phrases))]))
+            held.clear()
+
         for lang, texts in _portions(batches):
             coded = Coded(lang, texts)
-            real, keys, phrases = coded.real[coded.codes], coded.keys[coded.codes], []
+            real, keys = coded.real[coded.codes], coded.keys[coded.codes]
             whole = real
             for n in range(2, MAX_WORDS + 1):
                 if len(keys) < n:
@@ -234,17 +257,33 @@ def _candidates(sent: Broadcast):
                 at = np.flatnonzero(whole)
                 key = phrase_keys(keys, n)[at]
                 passed = in_filter(sent.value, key)
-                own, first = np.unique(key[passed], return_index=True)
-                new = ~np.isin(own, seen, assume_unique=True)
-                first, seen = at[passed][first[new]], np.concatenate([seen[:0] if len(seen) > HELD else seen, own[new]])
-                spans = coded.codes[first[:, None] + np.arange(n)].tolist()
-                phrases += [b" ".join([coded.words[c] for c in span]) for span in spans]
-            for k in range(0, len(phrases), 100_000):
-                yield _batch(lang=_same(lang, len(phrases[k : k + 100_000])), phrase=_text(phrases[k : k + 100_000]))
+                # two phrases of one cell would be taken for one, so the full hash tells them apart
+                full = full_keys(keys, n)[at[passed]]
+                _, first = np.unique(full, return_index=True)
+                spans = coded.codes[at[passed][first][:, None] + np.arange(n)]
+                for cell, span in zip(key[passed][first].tolist(), spans.tolist(), strict=True):
+                    own = held.setdefault((cell % buckets, lang), set())
+                    size -= len(own)
+                    own.add(b" ".join([coded.words[c] for c in span]))
+                    size += len(own)
+            if size > HELD // 4:
+                yield from lists()
+                size = 0
+        yield from lists()
 
     return run
 
 
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(lang, phrase)``, each once; the lists of a bucket come together."""
+    rows = (row for batch in batches for row in zip(*[c.to_pylist() for c in batch.columns], strict=True))
+    for (_, lang), parts in groupby(rows, itemgetter(0, 1)):
+        phrases = set()
+        for _, _, some in parts:
+            phrases.update(some.split("\n"))
+        yield _batch(lang=_same(lang, len(phrases)), phrase=pa.array(sorted(phrases), pa.string()))
+
+
 #: The automata that this worker compiled last, with the id of their block.
 _compiled: dict = {}
 
@@ -307,21 +346,25 @@ def phrase_counts(docs: DataFrame, *, text_col: str = "text", lang_col: str = "l
     """
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(col(text_col), F.lit("")).alias("text"))
-    counted = texts.mapInArrow(_count_words, "lang string, word string, key long, n long").groupBy("lang", "word").agg(F.max("key").alias("key"), F.sum("n").alias("n"))
+    counted = texts.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     words = stored(counted.filter((F.col("n") >= least) | F.col("word").isNull()), "words")
 
     def heavy(cells: DataFrame) -> np.ndarray:
         return key_filter(cells.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least))
 
-    frequent = key_filter(words.filter("word is not null"))
+    frequent = key_filter(words.filter("word is not null").select("lang", "word").mapInArrow(_word_keys, "key long"))
     sent = spark.sparkContext.broadcast(frequent)
     pairs = heavy(texts.mapInArrow(_sketch_pairs(sent), "key long, n long"))
     both = spark.sparkContext.broadcast((frequent, pairs))
     runs = stored(texts.mapInArrow(_cut_runs(both), "lang string, text string, key long, n long"), "runs")
     longer = heavy(runs.filter("key is not null"))
-    cells = spark.sparkContext.broadcast(pairs | longer)
+    passing = pairs | longer
+    cells = spark.sparkContext.broadcast(passing)
     held = runs.filter("text is not null").select("lang", "text")
-    found = stored(held.mapInArrow(_candidates(cells), "lang string, phrase string").distinct(), "candidates")
+    # a cell passes for each bit that is set, and more phrases than bits only where cells share one
+    buckets = 1 + int(np.bitwise_count(passing).sum()) // BUCKET
+    lists = held.mapInArrow(_candidates(cells, buckets), "bucket int, lang string, phrases string").repartition("bucket").sortWithinPartitions("bucket", "lang")
+    found = stored(lists.mapInArrow(_distinct, "lang string, phrase string"), "candidates")
     parts = max(1, -(-found.count() // block))
     phrases = None
     for k in range(parts):
