@@ -10,6 +10,10 @@ W = r"[\p{L}\p{N}_]"
 WORD = rf"({W}(?:[\p{{L}}\p{{N}}_.]*{W})?)"
 
 
+#: Characters that count as white space at the ends of a text.
+_SPACE = r"[\s\x1c-\x1f]"
+
+
 def expand_identifiers(value: Column) -> Column:
     """A space at lower-to-upper boundaries; underscores and hyphens become spaces."""
     return F.translate(F.regexp_replace(value, r"(?<=[a-z0-9])(?=[A-Z])", " "), "_-", "  ")
@@ -43,7 +47,7 @@ def word_ngrams(value: Column) -> Column:
 
 def char_wb_ngrams(value: Column, low: int = 3, high: int = 5) -> Column:
     """Character n-grams inside white-space words padded by one space, repeats kept."""
-    padded = F.transform(F.filter(F.split(F.lower(value), r"\s+"), lambda x: x != ""), lambda x: F.concat(F.lit(" "), x, F.lit(" ")))
+    padded = F.transform(F.filter(F.split(F.lower(value), rf"(?U){_SPACE}+"), lambda x: x != ""), lambda x: F.concat(F.lit(" "), x, F.lit(" ")))
 
     def of_size(word: Column, n: int) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.length(word) - n + 1, F.lit(1)))
@@ -63,10 +67,6 @@ def edge_id(source: Column, target: Column, kind: Column) -> Column:
     return F.concat(kind, F.lit(":"), source, F.lit("->"), target)
 
 
-#: Characters that count as white space at the ends of a text.
-_SPACE = r"[\s\x1c-\x1f]"
-
-
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"(?U)\A{_SPACE}+|{_SPACE}+\z", "")
 
@@ -78,8 +78,32 @@ def truncate_source(text: Column, limit: int) -> Column:
 
 
 def display_round(value: Column, digits: int) -> Column:
-    """Rounded for display; halves of the decimal text go to the even digit."""
-    return F.bround(value.cast("decimal(38,18)"), digits).cast("double")
+    """Rounded for display: to the nearest of the binary value itself, and exact halves to the even digit.
+
+    The value is compared with the half between two results in whole numbers: its bits are taken in three
+    pieces of 30, which reach below any half of a result that is not 0. Beyond a million, where doubles have few digits left, the decimal text is rounded.
+    """
+    scale = 10**digits
+    size = F.abs(value)
+    low = F.floor(size * scale)
+
+    def compare(x: Column) -> Column:
+        """The sign of 2 scale size - (2 low + 1)."""
+        first = F.floor(x * 2.0**30)
+        rest = x * 2.0**30 - first
+        second = F.floor(rest * 2.0**30)
+        rest = rest * 2.0**30 - second
+        third = F.floor(rest * 2.0**30)
+        ahead = 2 * scale * first - (2 * low + 1) * 2**30
+        # a piece is under 2^30, so what follows can not turn a difference of over 2 scale
+        for piece in (second, third):
+            ahead = F.when(F.abs(ahead) > 2 * scale, ahead).otherwise(ahead * 2**30 + 2 * scale * piece)
+        return F.signum(ahead)
+
+    sign = compare(size)
+    up = F.when(sign > 0, 1).when(sign < 0, 0).otherwise(low % 2)
+    near = F.signum(value) * ((low + up) / scale)
+    return F.when(value.isNull() | F.isnan(value), value).when(size < 2.0**20, near).otherwise(F.bround(value.cast("decimal(38,18)"), digits).cast("double"))
 
 
 def _authority(url: Column) -> tuple[Column, Column]:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from strandgraph.functions.text import display_round
 from strandgraph.operators.relations import strongest_per_neighbour
-from strandgraph.plans.lineage import discard, stored
+from strandgraph.operators.skew import spread_join
+from strandgraph.plans.lineage import bucketed, discard, drop, stored
 
 
 def noisy_or(strength: Column) -> Column:
@@ -172,6 +173,60 @@ def pagerank(
     return base.select(*keys, "node_id", "rank")
 
 
+def push_pagerank(
+    pairs: DataFrame, personal: DataFrame, *, alpha: float = 0.85, epsilon: float = 1e-6, rounds: int = 200, keys: list[str] | None = None, block: int = 10_000
+) -> DataFrame:
+    """``(keys..., node_id, rank, residual)``: personalized PageRank by forward push, with rows for reached nodes only.
+
+    personal: keys..., node_id, weight (shares are taken per key; all zero means uniform). Every node holds a
+    residual, at first its personal share. A node whose residual is over ``epsilon`` times its weighted degree keeps
+    1 - alpha of it as rank and pushes the rest along its edges, an isolated one to the personal
+    shares; all such nodes push together, until there are none or ``rounds`` are over.
+
+    The true rank of a node is at least ``rank``. Over all nodes of a key the ranks fall short of the truth by the sum of the
+    residuals; once no node is left to push, a node's own rank falls short by at most epsilon times its weighted
+    degree (where an isolated personal node is none of the graph's), since a walk back over undirected edges gathers residuals in proportion to their degree.
+
+    Rows grow with what is reached above ``epsilon`` and not with queries times nodes. The links are bucketed by node and written once, so that
+    a round moves the frontier only. The links of a hub are cut into blocks of about ``block``, and its frontier row is copied
+    to each, so no task has them all.
+    """
+    keys = keys or []
+    spark = pairs.sparkSession
+    ends = stored(pairs.select(F.col("u").alias("a"), F.col("v").alias("b"), "weight").union(pairs.select("v", "u", "weight")), "ends")
+    sizes = stored(ends.groupBy("a").agg(F.sum("weight").alias("out"), F.ceil(F.count("*") / block).cast("int").alias("parts")), "sizes")
+    links = spread_join(ends, sizes, ["a"], "b").withColumn("block", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
+    links = stored(links.select("a", "block", "b", (F.col("weight") / F.col("out")).alias("flow")), "links")
+    links = spread_join(links, sizes.toDF("b", "out_b", "parts_b"), ["b"], "a")
+    links, label = bucketed(links.select("a", "block", "b", "flow", "out_b", "parts_b"), ["a", "block"], "links")
+    per_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    weight = F.sum("weight").over(per_key)
+    shares = personal.withColumn("share", F.when(weight > 0, F.col("weight") / weight).otherwise(1 / F.count("*").over(per_key)))
+    shares = stored(shares.select(*keys, "node_id", "share").join(sizes.withColumnRenamed("a", "node_id"), "node_id", "left"), "personal")
+    row = [*keys, "node_id", "rank", "residual", "out", "parts"]
+    state = stored(shares.withColumn("rank", F.lit(0.0)).withColumn("residual", F.col("share")).select(*row), "ranks")
+    active = F.col("residual") > epsilon * F.coalesce("out", F.lit(1.0))
+    for _ in range(rounds):
+        frontier = state.filter(active)
+        if not frontier.limit(1).count():
+            break
+        rest = state.select(
+            *keys, "node_id", (F.col("rank") + F.when(active, (1 - alpha) * F.col("residual")).otherwise(0.0)).alias("rank"), F.when(active, 0.0).otherwise(F.col("residual")).alias("residual"), "out", "parts"
+        )
+        sent = frontier.filter("out is not null").select(*keys, F.col("node_id").alias("a"), "residual", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"))
+        got = sent.join(links, ["a", "block"]).select(*keys, F.col("b").alias("node_id"), F.lit(0.0).alias("rank"), (alpha * F.col("residual") * F.col("flow")).alias("residual"), F.col("out_b").alias("out"), F.col("parts_b").alias("parts"))
+        handed = frontier.filter("out is null").groupBy(*keys).agg((alpha * F.sum("residual")).alias("handed"))
+        back = shares.join(handed, keys) if keys else shares.crossJoin(F.broadcast(handed))  # one row
+        back = back.select(*keys, "node_id", F.lit(0.0).alias("rank"), (F.col("share") * F.col("handed")).alias("residual"), "out", "parts")
+        met = rest.unionByName(got).unionByName(back).groupBy(*keys, "node_id")
+        new = stored(met.agg(*[F.sum(c).alias(c) for c in ("rank", "residual")], *[F.max(c).alias(c) for c in ("out", "parts")]), "ranks")
+        discard(state)
+        state = new
+    drop(spark, label)
+    discard(ends)
+    return state.select(*keys, "node_id", "rank", "residual")
+
+
 def default_node(edges: DataFrame, nodes: DataFrame, preferred: str | None = None) -> DataFrame:
     """The node to look at first, one row ``(node_id)``: the preferred one, else that of the most and strongest edges."""
     counted = nodes.select("node_id").join(degrees(edges), "node_id", "left").fillna(0)

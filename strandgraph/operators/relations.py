@@ -164,7 +164,7 @@ def resolve_relations(nodes: DataFrame, pending: DataFrame, bindings: DataFrame)
     alias_symbol = F.when(F.col("alias.symbol") == "", F.col("rest")).when(F.col("rest") == "", F.col("alias.symbol")).otherwise(F.concat_ws(".", F.col("alias.symbol"), F.col("rest")))
     rows = rows.withColumn("alias_symbol", alias_symbol)
     rows = look(rows, by_module, "h1", m=F.when(is_module, F.expr("substring(target_text, 9)")))
-    rows = look(rows, exact, "h2", m=F.col("own"), q=F.when(F.col("root").isin("self", "cls") & (F.col("rest") != ""), F.concat_ws(".", "holder", "rest")))
+    rows = look(rows, exact, "h2", m=F.col("own"), q=F.when(F.col("root").isin("self", "cls") & (F.col("rest") != "") & F.col("holder").isNotNull(), F.concat_ws(".", "holder", "rest")))
     rows = look(rows, exact, "h3a", m=F.col("alias.module"), q=F.when(F.col("alias_symbol") != "", F.col("alias_symbol")))
     rows = look(rows, in_module, "h3b", m=F.col("alias.module"), s=F.when(F.col("alias_symbol") != "", F.substring_index("alias_symbol", ".", -1)))
     rows = look(rows, by_module, "h3c", m=F.when(F.col("alias_symbol") == "", F.col("alias.module")))

@@ -36,6 +36,24 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, keys: list[str], name: str = "bucketed") -> tuple[DataFrame, str]:
+    """``df`` written once in as many buckets by ``keys`` as a shuffle has partitions, and the name to ``drop`` it by.
+
+    A join on just these keys then moves only its other side, however often it is made.
+    """
+    spark, label = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", f"{shared_folder(spark)}/{label}").saveAsTable(label)
+    return spark.table(label), label
+
+
+def drop(spark: SparkSession, label: str) -> None:
+    """Forget a ``bucketed`` table and delete its files."""
+    table = spark.table(label)
+    discard(table)
+    spark.sql(f"DROP TABLE {label}")
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a ``stored`` table that nothing still to be computed reads."""
     spark = df.sparkSession

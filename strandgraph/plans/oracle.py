@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from strandgraph.functions import predicates, text
 from strandgraph.operators.relations import DEFAULT_PRIOR, PRIORS
-from strandgraph.plans.registry import DECAY, IDENTIFIERS, LOCAL_PATHS, MAX_FILES, MIN_SUPPORT, RANKS, SEEDS
+from strandgraph.plans.registry import BUDGET, DECAY, EPSILON, FINE, IDENTIFIERS, MAX_FILES, MIN_SUPPORT, PUSHES, RANKS, RELATED, SEEDS
 
 _PRIOR = "CASE kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in PRIORS.items()) + f" ELSE {DEFAULT_PRIOR} END"
 
@@ -64,13 +64,26 @@ nodes AS (SELECT node_id, coalesce(score / (SELECT sum(score) FROM seeds), 0) AS
 SELECT node_id, round(rank, 9) AS rank FROM r{RANKS}"""
 
 
+def _push() -> str:
+    states = ["s0 AS (SELECT node_id AS seed, node_id AS node, 0.0::DOUBLE AS rank, 1.0::DOUBLE AS residual FROM seeds)"]
+    for k in range(RANKS):
+        states.append(f"""s{k + 1} AS MATERIALIZED (SELECT seed, node, sum(rank) AS rank, sum(residual) AS residual FROM (
+  SELECT seed, node, rank + CASE WHEN residual > {EPSILON}::DOUBLE * coalesce(o, 1) THEN 0.15::DOUBLE * residual ELSE 0 END AS rank, CASE WHEN residual > {EPSILON}::DOUBLE * coalesce(o, 1) THEN 0 ELSE residual END AS residual FROM s{k} LEFT JOIN outs USING (node)
+  UNION ALL SELECT seed, neighbour, 0, 0.85::DOUBLE * residual * weight / o FROM s{k} JOIN outs USING (node) JOIN sides USING (node) WHERE residual > {EPSILON}::DOUBLE * o
+  UNION ALL SELECT seed, seed, 0, 0.85::DOUBLE * residual FROM s{k} WHERE node NOT IN (SELECT node FROM outs) AND residual > {EPSILON}::DOUBLE) GROUP BY 1, 2)""")
+    return f"""WITH {PAIRS},
+outs AS (SELECT node, sum(weight) AS o FROM sides GROUP BY node),
+{', '.join(states)}
+SELECT seed, node AS node_id, round(rank, 8) AS rank, round(residual, 8) AS residual FROM s{RANKS}"""
+
+
 _WORDS = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_.]*[\p{L}\p{N}_])?"
 
 
 def _ngrams(source: str, key: str, column: str) -> str:
     """``(key, block, term)`` with repeats."""
     return f"""
-cut AS (SELECT {key} AS key, regexp_extract_all(lower({column}), '{_WORDS}') AS w, list_filter(regexp_split_to_array(lower({column}), '\\s+'), lambda x: x <> '') AS c FROM {source}),
+cut AS (SELECT {key} AS key, regexp_extract_all(lower({column}), '{_WORDS}') AS w, list_filter(regexp_split_to_array(lower({column}), '[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+'), lambda x: x <> '') AS c FROM {source}),
 grams AS (
   SELECT key, 'word' AS block, unnest(w) AS term FROM cut
   UNION ALL SELECT key, 'word', unnest(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) FROM cut
@@ -99,6 +112,45 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, ke
 SELECT qid AS query_id, rank::INTEGER AS rank, key AS node_id, round(score, 5) AS score FROM ranked WHERE rank <= 10"""
 
 
+def _retrieval(result: str) -> str:
+    """Anchors, all simple paths of two hops from them, PageRank pushed round by round, and the rankings made of these."""
+    scored = _tfidf()
+    scored = scored[: scored.index("scored AS (")]
+    push, states = f"residual > {FINE}::DOUBLE * coalesce(o, 1)", ["s0 AS (SELECT qid, node, 0.0::DOUBLE AS rank, share AS residual FROM shares)"]
+    for k in range(PUSHES):
+        states.append(f"""s{k + 1} AS MATERIALIZED (SELECT qid, node, sum(rank) AS rank, sum(residual) AS residual FROM (
+  SELECT qid, node, rank + CASE WHEN {push} THEN 0.15::DOUBLE * residual ELSE 0 END AS rank, CASE WHEN {push} THEN 0 ELSE residual END AS residual FROM s{k} LEFT JOIN outs USING (node)
+  UNION ALL SELECT qid, neighbour, 0, 0.85::DOUBLE * residual * weight / o FROM s{k} JOIN outs USING (node) JOIN adjacent USING (node) WHERE {push}
+  UNION ALL SELECT h.qid, h.node, 0, share * handed FROM shares h JOIN (SELECT qid, 0.85::DOUBLE * sum(residual) AS handed FROM s{k} WHERE node NOT IN (SELECT node FROM outs) AND residual > {FINE}::DOUBLE GROUP BY 1) USING (qid)) GROUP BY 1, 2)""")
+    hop = lambda k: f"SELECT qid, neighbour AS cur, score * {DECAY}::DOUBLE * weight AS score, list_append(path, neighbour) AS path, list_append(places, place) AS places FROM hop{k} JOIN adjacent ON cur = node WHERE NOT list_contains(path, neighbour)"
+    return f"""{scored}
+direct AS MATERIALIZED (SELECT qid, key, s / (dlen.l * qlen.l) AS score FROM parts JOIN dlen USING (key) JOIN qlen USING (qid)),
+ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) AS rank FROM direct),
+turns AS (SELECT DISTINCT conv_id, turn FROM conversations),
+follows AS (SELECT conv_id || ':' || turn AS a, conv_id || ':' || after AS b, 0.5::DOUBLE + ((conv_id * 37 + turn * 101) % 997) / 2000.0::DOUBLE AS weight FROM (SELECT *, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS after FROM turns) WHERE after IS NOT NULL),
+adjacent AS MATERIALIZED (SELECT node, neighbour, 1 - (1 - weight) AS weight, row_number() OVER (PARTITION BY node ORDER BY a, b) AS place FROM (SELECT a AS node, b AS neighbour, * FROM follows UNION ALL SELECT b, a, * FROM follows)),
+outs AS (SELECT node, sum(weight) AS o FROM adjacent GROUP BY node),
+anchors AS (SELECT qid, key, score, rank FROM ranked WHERE rank <= {SEEDS}),
+hop0 AS (SELECT qid, key AS cur, score / max(score) OVER (PARTITION BY qid) AS score, [key] AS path, [rank] AS places FROM anchors),
+hop1 AS ({hop(0)}),
+hop2 AS ({hop(1)}),
+reached AS (SELECT *, row_number() OVER (PARTITION BY qid, cur ORDER BY score DESC, len(path), places) AS n FROM (SELECT * FROM hop1 UNION ALL SELECT * FROM hop2) h WHERE NOT EXISTS (SELECT 1 FROM anchors a WHERE a.qid = h.qid AND a.key = h.cur)),
+shares AS (SELECT qid, key AS node, score / sum(score) OVER (PARTITION BY qid) AS share FROM anchors),
+{', '.join(states)},
+ranks AS (SELECT qid, node, rank, rank / max(rank) OVER (PARTITION BY qid) AS part FROM s{PUSHES}),
+related AS MATERIALIZED (
+  SELECT r.qid, r.cur, coalesce(d.score, 0) AS direct, r.score AS relationship, coalesce(k.rank, 0) AS pagerank, coalesce(k.part, 0) AS part, row_number() OVER (PARTITION BY r.qid ORDER BY r.score DESC, coalesce(k.rank, 0) DESC, r.cur) AS rank
+  FROM (SELECT qid, cur, score FROM reached WHERE n = 1) r LEFT JOIN direct d ON d.qid = r.qid AND d.key = r.cur LEFT JOIN ranks k ON k.qid = r.qid AND k.node = r.cur),
+chosen AS (SELECT qid, key AS node, 0 AS part, rank FROM anchors UNION ALL SELECT qid, cur, 1, rank FROM related WHERE rank <= {RELATED}),
+lexical AS MATERIALIZED (SELECT qid AS query_id, rank, key AS node_id FROM ranked WHERE rank <= {BUDGET}),
+short AS (SELECT query_id, node_id, rank FROM (SELECT qid AS query_id, node AS node_id, row_number() OVER (PARTITION BY qid ORDER BY part, rank) AS rank FROM chosen) WHERE rank <= {BUDGET}),
+once AS (SELECT qid, node, min((part, rank)) AS seat FROM (SELECT * FROM chosen UNION ALL SELECT query_id, node_id, 2, rank FROM lexical) GROUP BY 1, 2),
+expanded AS (SELECT query_id, node_id, rank FROM (SELECT qid AS query_id, node AS node_id, row_number() OVER (PARTITION BY qid ORDER BY seat) AS rank FROM once) WHERE rank <= {BUDGET}),
+judged AS (SELECT query_id, node_id, 'answer' AS role FROM lexical WHERE rank = 1 UNION ALL SELECT query_id, neighbour, 'supporting' FROM lexical JOIN adjacent ON node = node_id WHERE rank = 1),
+rows AS (SELECT j.*, a.rank AS a, b.rank AS b FROM judged j LEFT JOIN lexical a USING (query_id, node_id) LEFT JOIN expanded b USING (query_id, node_id)),
+{result}"""
+
+
 JUDGED = """
 docs AS (SELECT lang AS query_id, doc_id AS node_id, n_chars FROM documents),
 judged AS (SELECT query_id, node_id, CASE WHEN toxic = 1 THEN 'supporting' WHEN quality = 1 THEN 'answer' END AS role FROM docs JOIN labels ON doc_id = node_id WHERE toxic = 1 OR quality = 1),
@@ -137,7 +189,7 @@ ORACLE_SQL: dict[str, str] = {
     "commit_totals": f"WITH {CHANGES} SELECT path, commits FROM totals",
     "cochange_confidence": f"WITH {CHANGES} SELECT source_id, target_id, count, round(confidence, 6) AS confidence FROM confident",
     "typed_edge_strength": f"WITH {EDGES} SELECT source_id, target_id, kind, count, round(confidence, 6) AS confidence, round(strength, 6) AS strength FROM edges",
-    "edge_kind_summary": f"WITH {EDGES} SELECT kind, count(*) AS edges, round_even(avg(strength), 3) AS mean_strength FROM edges GROUP BY kind",
+    "edge_kind_summary": f"WITH {EDGES} SELECT kind, count(*) AS edges, printf('%.3f', avg(strength))::DOUBLE AS mean_strength FROM edges GROUP BY kind",
     "projection_noisy_or": f"WITH {EDGES} SELECT least(source_id, target_id) AS u, greatest(source_id, target_id) AS v, round(1 - product(1 - strength), 6) AS weight, array_to_string(list_sort(list(DISTINCT kind)), ',') AS kinds FROM edges WHERE source_id <> target_id GROUP BY 1, 2",
     "overview_rollup": f"WITH {EDGES} SELECT a.p_brand AS source_group, b.p_brand AS target_group, kind, round(1 - product(1 - strength), 6) AS strength, count(*) AS n FROM edges JOIN part a ON source_id = 'part:' || a.p_partkey JOIN part b ON target_id = 'part:' || b.p_partkey WHERE kind = 'CO_CHANGES' AND a.p_brand <> b.p_brand GROUP BY 1, 2, 3",
     "node_degrees": f"WITH {EDGES} SELECT node_id, count(*) AS degree, round(sum(strength::DECIMAL(18, 9)), 6)::DOUBLE AS total_strength FROM (SELECT source_id AS node_id, strength FROM edges UNION ALL SELECT target_id, strength FROM edges WHERE source_id <> target_id) GROUP BY 1",
@@ -152,9 +204,17 @@ SELECT node_id, place::INTEGER AS place, neighbour_id, kind, round(strength, 6)
     "induced_subgraph": f"WITH {PATHS}, chosen AS (SELECT DISTINCT unnest(path) AS c FROM best) SELECT source_id, target_id, kind, round(strength, 6) AS strength FROM edges WHERE source_id IN (SELECT c FROM chosen) AND target_id IN (SELECT c FROM chosen)",
     "strongest_pair_edge": f"WITH {EDGES} SELECT source_id, target_id, kind, round(strength, 6) AS strength FROM edges QUALIFY row_number() OVER (PARTITION BY least(source_id, target_id), greatest(source_id, target_id) ORDER BY strength DESC, source_id, target_id, kind) = 1",
     "pagerank_k": _pagerank(),
+    "pagerank_push": _push(),
     "word_ngram_df": f"WITH {_ngrams('documents', 'doc_id', 'text')} SELECT term, count(DISTINCT key) AS df FROM grams WHERE block = 'word' GROUP BY term",
     "char_wb_df": f"WITH {_ngrams('benchmark', 'item_id', 'text')} SELECT term, count(DISTINCT key) AS df FROM grams WHERE block = 'char' GROUP BY term",
     "tfidf_top_k": _tfidf(),
+    "tfidf_block_max": _tfidf(),
+    "related_nodes": _retrieval(f"""answer AS (SELECT 1)
+SELECT qid AS query_id, rank::INTEGER AS rank, cur AS node_id, round(direct, 6) AS direct, round(relationship, 6) AS relationship, round(pagerank, 6) AS pagerank, round(part, 6) AS pagerank_share FROM related WHERE rank <= {RELATED}"""),
+    "retrieval_rankings": _retrieval("""answer AS (SELECT 1)
+SELECT query_id, rank::INTEGER AS rank, l.node_id AS lexical, s.node_id AS graph FROM lexical l FULL JOIN short s USING (query_id, rank)"""),
+    "retrieval_metrics": _retrieval(f"""x AS ({_metrics('a')}), y AS ({_metrics('b')}), answer AS (SELECT {', '.join(f'(SELECT avg({m}) FROM x) AS lexical_{m}, (SELECT avg({m}) FROM y) AS graph_{m}' for m in _M)})
+SELECT {', '.join(f'round(lexical_{m}, 6) AS lexical_{m}, round(graph_{m}, 6) AS graph_{m}, round(graph_{m} - lexical_{m}, 6) AS delta_{m}' for m in _M)} FROM answer"""),
     "graph_ranking_fill": f"""WITH base AS (SELECT role AS query_id, conv_id || ':' || turn AS node_id, max(length(text)) AS n FROM conversations GROUP BY 1, 2),
 parts AS ({_FILL.format(k=0, o='n DESC', n=6)} UNION ALL {_FILL.format(k=1, o='n', n=10)} UNION ALL {_FILL.format(k=2, o='length(node_id) DESC', n=20)}),
 once AS (SELECT query_id, node_id, min((part, rank)) AS seat FROM parts GROUP BY 1, 2)
@@ -168,12 +228,19 @@ SELECT query_id, x - y AS answer_rank_change, array_to_string(new, ',') AS newly
 SELECT DISTINCT doc_id FROM found WHERE regexp_matches(text, '{_q('|'.join(predicates.TOKENS))}') OR regexp_matches(text, '{_q(predicates.BEARER)}') OR regexp_matches(text, '{_q(predicates.PRIVATE_KEY)}') OR regexp_matches(text, '{_q(predicates.URL_CREDENTIAL)}')
   OR NOT (length({_INNER}) < 6 OR regexp_matches({_INNER}, '[{{<$]') OR {_DYNAMIC} OR regexp_full_match({_INNER}, '[A-Za-z_][A-Za-z0-9_.]*'))""",
     "expand_identifiers": f"SELECT k, replace(replace(regexp_replace(v, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '_', ' '), '-', ' ') AS expanded FROM {_values(IDENTIFIERS)}",
-    "local_path_strings": f"""SELECT k, trim(v) <> '' AND (regexp_matches(trim(CASE WHEN starts_with(trim(v), 'file:') THEN split_part(substring(trim(v), 6), '::', 1) ELSE trim(v) END, '"'''), '^(?:/|[A-Za-z]:[\\\\/]|[\\\\/]{{2}}[^\\\\/]+[\\\\/]+[^\\\\/]+)')
-  OR regexp_matches(v, '{_q(_LOCAL)}') OR regexp_matches(v, '{_q(_WIN)}')) AS is_local FROM {_values(LOCAL_PATHS)}""",
+    "local_path_strings": f"""WITH p AS (SELECT page_id, url, regexp_extract(url, '^[^:]*://[^/]*(/[^?#]*)', 1) AS path FROM pages),
+v AS (SELECT page_id, CASE page_id % 8 WHEN 0 THEN path WHEN 1 THEN chr(9) || path WHEN 2 THEN chr(10) || ' /data' || path WHEN 3 THEN 'see /tmp' || path || ' for it' WHEN 4 THEN 'C:/Users' || path WHEN 5 THEN chr(8195) || '''/x' || path || '''' WHEN 6 THEN 'src' || path ELSE url END AS v FROM p),
+t AS (SELECT page_id, v, trim(v, chr(9) || chr(10) || chr(13) || ' ' || chr(8195)) AS bare FROM v)
+SELECT page_id, bare <> '' AND (regexp_matches(trim(bare, '"'''), '^(?:/|[A-Za-z]:[\\\\/])') OR regexp_matches(v, '{_q(_LOCAL)}') OR regexp_matches(v, '{_q(_WIN)}')) AS is_local FROM t""",
+    "display_rounding": "SELECT l_orderkey, l_linenumber, l_partkey, printf('%.3f', l_quantity * 0.0005::DOUBLE + l_linenumber)::DOUBLE AS rounded FROM lineitem",
     "sanitized_urls": """WITH c AS (SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '^([A-Za-z][A-Za-z0-9+.-]*://)[^/@]*@', '\\1') AS clean FROM pages),
 d AS (SELECT page_id, lower(regexp_extract(clean, '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*')) || regexp_extract(clean, '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*(.*)$', 1) AS clean FROM c)
 SELECT page_id, clean, coalesce(nullif(regexp_replace(regexp_extract(regexp_replace(regexp_extract(clean, '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*(.*)$', 1), '/+$', ''), '([^/]*)$', 1), '[.]git$', ''), ''), 'none') AS name FROM d""",
     "snippet_truncate": """SELECT doc_id, CASE WHEN length(text) <= 80 THEN text ELSE regexp_replace(left(text, 79), '[\\s\\x1c-\\x1f]+$', '') || '…' END AS snippet FROM documents""",
+    "method_calls": """WITH m AS (SELECT 'src/m' || s_suppkey || '.py' AS p FROM supplier)
+SELECT 'file:' || p AS source_id, 'symbol:' || p || '::' || n AS target_id, 'CONTAINS' AS kind, 1::BIGINT AS count, 1.0::DOUBLE AS confidence FROM m, (VALUES ('helper'), ('Box'), ('use')) t(n)
+UNION ALL SELECT 'symbol:' || p || '::Box', 'symbol:' || p || '::Box.' || n, 'CONTAINS', 1, 1.0 FROM m, (VALUES ('helper'), ('run')) t(n)
+UNION ALL SELECT 'symbol:' || p || '::Box.run', 'symbol:' || p || '::Box.helper', 'CALLS', 1, 0.95 FROM m""",
     # worked out by hand from the two sources: kinds' priors times the confidence of the rule that resolves each name
     "python_symbols": """SELECT * FROM (VALUES
   ('file:src/app/core.py', 'symbol:src/app/core.py::Base', 'CONTAINS', 1::BIGINT, 0.45::DOUBLE), ('file:src/app/core.py', 'symbol:src/app/core.py::Work', 'CONTAINS', 1, 0.45),

@@ -11,10 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandgraph.config import RetrievalConfig
 from strandgraph.functions import predicates, text
 from strandgraph.operators import evaluation, graph, relations, search
+from strandgraph.plans.lineage import stored
 
 MAX_FILES, MIN_SUPPORT, HOPS, DECAY, SEEDS, RANKS = 20, 2, 2, 0.85, 6, 8
+#: Residual per weighted degree at which a walk ends.
+EPSILON = 1e-5
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -162,6 +166,13 @@ def pagerank_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranks.select("node_id", _r("rank", 9).alias("rank"))
 
 
+def pagerank_push(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ranking per seed, of the nodes that its walks reach."""
+    personal = _seeds(spark, sf_dir).select(F.col("node_id").alias("seed"), "node_id", F.lit(1.0).alias("weight"))
+    ranks = graph.push_pagerank(_pairs(spark, sf_dir), personal, epsilon=EPSILON, rounds=RANKS, keys=["seed"])
+    return ranks.select("seed", "node_id", _r("rank", 8).alias("rank"), _r("residual", 8).alias("residual"))
+
+
 # --- text ---
 
 
@@ -193,6 +204,12 @@ def tfidf_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lexical(spark, sf_dir, 10).select("query_id", "rank", "node_id", _r("score", 5).alias("score"))
 
 
+def tfidf_block_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same ranking, from blocks of the strongest postings."""
+    index = search.impact_index(search.build_search_index(_conversations(spark, sf_dir)))
+    return search.block_max_top_k(index, _asked(spark, sf_dir), 10).withColumn("score", _r("score", 5))
+
+
 def graph_ranking_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Longest turns, then turns of the shortest ids, then the best matching ones; 20 distinct per query."""
     base = _table(spark, sf_dir, "conversations").select(F.col("role").alias("query_id"), F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("node_id"), F.length("text").alias("n"))
@@ -201,6 +218,55 @@ def graph_ranking_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.fill_ranking(parts, 20)
 
 
+# --- retrieval: turns of a conversation are linked to the next one ---
+
+#: What a query takes: nodes per ranking, related nodes, rounds and residual of PageRank.
+BUDGET, RELATED, PUSHES, FINE = 20, 25, 6, 1e-4
+
+
+def _turn_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn leads to the next; the strength depends on the ids, so that few paths are equally strong."""
+    turns = _table(spark, sf_dir, "conversations").filter("conv_id is not null and turn is not null").select("conv_id", "turn").distinct()
+    after = F.min("turn").over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(1, 1))
+    name = lambda turn: F.concat_ws(":", F.col("conv_id").cast("string"), F.col(turn).cast("string"))
+    strength = 0.5 + F.pmod(F.col("conv_id") * 37 + F.col("turn") * 101, F.lit(997)) / 2000
+    linked = turns.withColumn("after", after).filter("after is not null")
+    return linked.select(name("turn").alias("source_id"), name("after").alias("target_id"), F.lit("FOLLOWS").alias("kind"), F.lit(1).cast("long").alias("count"), F.lit(1.0).alias("confidence"), strength.alias("strength"))
+
+
+def _retrieved(spark: SparkSession, sf_dir: str) -> tuple[search.QueryResult, DataFrame, DataFrame]:
+    """The benchmark's questions asked of the turns: result, lexical ranking and graph ranking."""
+    docs, asked = _conversations(spark, sf_dir).dropDuplicates(["node_id"]), _asked(spark, sf_dir)
+    config = RetrievalConfig(seed_count=SEEDS, hops=HOPS, related_count=RELATED, hop_decay=DECAY)
+    result = search.query_graph(docs.select("node_id"), _turn_edges(spark, sf_dir), search.build_search_index(docs), asked, config, pagerank_iterations=PUSHES, epsilon=FINE)
+    lexical = stored(search.lexical_ranking(result.direct, docs.select("node_id"), asked, BUDGET), "lexical")
+    return result, lexical, stored(search.graph_ranking(result, lexical, BUDGET), "graph")
+
+
+def related_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the graph adds to each question's best turns, with its scores."""
+    related = _retrieved(spark, sf_dir)[0].related
+    return related.select("query_id", "rank", "node_id", _r("direct").alias("direct"), _r("relationship").alias("relationship"), _r("pagerank").alias("pagerank"), _r("pagerank_share").alias("pagerank_share"))
+
+
+def retrieval_rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both rankings side by side; the graph's is cut to its anchors and related nodes, so it may be shorter."""
+    result, lexical, _ = _retrieved(spark, sf_dir)
+    return search.ranking_table(lexical, search.fill_ranking([result.anchors, result.related], BUDGET))
+
+
+def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four metrics of both rankings. A question's best turn is its answer, the turns next to that support it."""
+    _, lexical, expanded = _retrieved(spark, sf_dir)
+    best = lexical.filter("rank = 1").select("query_id", "node_id")
+    ends = _turn_edges(spark, sf_dir).select("source_id", "target_id")
+    near = ends.union(ends.select("target_id", "source_id")).toDF("node_id", "other")
+    supporting = best.join(near, "node_id").select("query_id", F.col("other").alias("node_id"), F.lit("supporting").alias("role"))
+    judgments = best.withColumn("role", F.lit("answer")).unionByName(supporting)
+    row = evaluation.compare_rankings(judgments, lexical, expanded)
+    return row.select(*[_r(f"{side}_{m}").alias(f"{side}_{m}") for side in ("lexical", "graph", "delta") for m in evaluation.METRICS])
+
+
 # --- evaluation ---
 
 
@@ -241,7 +307,6 @@ def _literals(spark: SparkSession, values: list[str]) -> DataFrame:
 
 
 IDENTIFIERS = ["buildSearchIndex", "HTTPServer2Go", "snake_case-name", "plain words", "aB_cD-eF9G", ""]
-LOCAL_PATHS = ["/home/user/x.py", "see /tmp/out for it", "C:/Users/a/b", "src/app.py", "https://example.test/home", "file:/etc/x::y", "a/b", "/", "'/opt/x'", "route /api/items"]
 
 
 def expand_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,7 +314,17 @@ def expand_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def local_path_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _literals(spark, LOCAL_PATHS).select("k", predicates.looks_like_local_path(F.col("v")).alias("is_local"))
+    """Paths of the pages' URLs in several settings, white space before them included."""
+    path = F.regexp_extract("url", r"^[^:]*://[^/]*(/[^?#]*)", 1)
+    forms = [path, F.concat(F.lit("\t"), path), F.concat(F.lit("\n /data"), path), F.concat(F.lit("see /tmp"), path, F.lit(" for it")), F.concat(F.lit("C:/Users"), path), F.concat(F.lit("\u2003'/x"), path, F.lit("'")), F.concat(F.lit("src"), path), F.col("url")]
+    value = F.element_at(F.array(*forms), (F.pmod(F.col("page_id"), F.lit(len(forms))) + 1).cast("int"))
+    return _table(spark, sf_dir, "pages").select("page_id", predicates.looks_like_local_path(value).alias("is_local"))
+
+
+def display_rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values near halves of three digits; what they are in binary decides."""
+    value = F.col("l_quantity") * 0.0005 + F.col("l_linenumber")
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", text.display_round(value, 3).alias("rounded"))
 
 
 def sanitized_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,11 +345,22 @@ def python_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.select("source_id", "target_id", "kind", "count", _r("strength").alias("strength"))
 
 
+def method_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of a module per supplier, in which self is used inside and outside a class."""
+    from strandgraph.plans.build import graph_tables
+
+    lines = ["def helper():", "    return 1", "", "", "class Box:", "    def helper(self):", "        return 2", "", "    def run(self):", "        return self.helper()", "", "", "def use(self):", "    return self.helper()", ""]
+    key = F.col("s_suppkey").cast("string")
+    files = _table(spark, sf_dir, "supplier").select(F.concat(F.lit("src/m"), key, F.lit(".py")).alias("path"), F.lit("\n".join(lines)).cast("binary").alias("content"))
+    edges = graph_tables(files, None)[1]
+    return edges.select("source_id", "target_id", "kind", "count", _r("confidence").alias("confidence"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         cochange_pairs, commit_totals, cochange_confidence, typed_edge_strength, edge_kind_summary, projection_noisy_or, overview_rollup, node_degrees, strongest_paths_2hop,
-        related_pruned, path_steps, step_contributions, neighborhood_top8, induced_subgraph, strongest_pair_edge, pagerank_k, word_ngram_df, char_wb_df, tfidf_top_k,
-        graph_ranking_fill, rank_metrics, rank_comparison, metric_deltas, credential_documents, expand_identifiers, local_path_strings, sanitized_urls, snippet_truncate, python_symbols,
+        related_pruned, path_steps, step_contributions, neighborhood_top8, induced_subgraph, strongest_pair_edge, pagerank_k, pagerank_push, word_ngram_df, char_wb_df, tfidf_top_k, tfidf_block_max,
+        related_nodes, retrieval_rankings, retrieval_metrics, graph_ranking_fill, rank_metrics, rank_comparison, metric_deltas, credential_documents, expand_identifiers, local_path_strings, display_rounding, sanitized_urls, snippet_truncate, python_symbols, method_calls,
     )
 }
