@@ -233,6 +233,9 @@ v AS (SELECT page_id, CASE page_id % 8 WHEN 0 THEN path WHEN 1 THEN chr(9) || pa
 t AS (SELECT page_id, v, trim(v, chr(9) || chr(10) || chr(13) || ' ' || chr(8195)) AS bare FROM v)
 SELECT page_id, bare <> '' AND (regexp_matches(trim(bare, '"'''), '^(?:/|[A-Za-z]:[\\\\/])') OR regexp_matches(v, '{_q(_LOCAL)}') OR regexp_matches(v, '{_q(_WIN)}')) AS is_local FROM t""",
     "display_rounding": "SELECT l_orderkey, l_linenumber, l_partkey, printf('%.3f', l_quantity * 0.0005::DOUBLE + l_linenumber)::DOUBLE AS rounded FROM lineitem",
+    "json_leaks": """SELECT page_id, '$.page.from.file' AS path, 'local path' AS problem FROM pages WHERE page_id % 3 = 0
+UNION ALL SELECT page_id, '$.fields[0].password', 'secret field' FROM pages WHERE page_id % 5 = 0
+UNION ALL SELECT page_id, '$.notes[0][1]', 'local path' FROM pages WHERE page_id % 7 = 0""",
     "sanitized_urls": """WITH c AS (SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '^([A-Za-z][A-Za-z0-9+.-]*://)[^/@]*@', '\\1') AS clean FROM pages),
 d AS (SELECT page_id, lower(regexp_extract(clean, '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*')) || regexp_extract(clean, '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*(.*)$', 1) AS clean FROM c)
 SELECT page_id, clean, coalesce(nullif(regexp_replace(regexp_extract(regexp_replace(regexp_extract(clean, '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*(.*)$', 1), '/+$', ''), '([^/]*)$', 1), '[.]git$', ''), ''), 'none') AS name FROM d""",

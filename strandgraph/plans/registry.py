@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from strandgraph.config import RetrievalConfig
 from strandgraph.functions import predicates, text
-from strandgraph.operators import evaluation, graph, relations, search
+from strandgraph.operators import evaluation, graph, leaks, relations, search
 from strandgraph.plans.lineage import stored
 
 MAX_FILES, MIN_SUPPORT, HOPS, DECAY, SEEDS, RANKS = 20, 2, 2, 0.85, 6, 8
@@ -327,6 +327,17 @@ def display_rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", text.display_round(value, 3).alias("rounded"))
 
 
+def json_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every string of a nested document per page that must not be published."""
+    host, path = F.regexp_extract("url", "^[^:]*://([^/?#]*)", 1), F.regexp_extract("url", "^[^:]*://[^/?#]*([^?#]*)", 1)
+    every = lambda n: F.pmod(F.col("page_id"), F.lit(n)) == 0
+    place = F.when(every(3), F.concat(F.lit("\t/data"), path)).otherwise(F.concat(F.lit("src"), path)).alias("file")
+    secret = F.struct(F.when(every(5), host).otherwise(F.lit("redacted")).alias("password"), F.col("page_id").alias("token"))
+    note = F.when(every(7), F.concat(F.lit("see /tmp"), path)).otherwise(F.lit("nothing"))
+    document = F.struct(F.struct(F.col("url"), F.struct(place).alias("from")).alias("page"), F.array(secret).alias("fields"), F.array(F.array(F.lit("fine"), note)).alias("notes"))
+    return leaks.leaks(_table(spark, sf_dir, "pages").select("page_id", F.to_json(document).alias("value")), ["page_id"])
+
+
 def sanitized_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = text.sanitize_remote_url(F.col("url"))
     return _table(spark, sf_dir, "pages").select("page_id", clean.alias("clean"), text.repository_name(clean, F.lit("none")).alias("name"))
@@ -361,6 +372,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         cochange_pairs, commit_totals, cochange_confidence, typed_edge_strength, edge_kind_summary, projection_noisy_or, overview_rollup, node_degrees, strongest_paths_2hop,
         related_pruned, path_steps, step_contributions, neighborhood_top8, induced_subgraph, strongest_pair_edge, pagerank_k, pagerank_push, word_ngram_df, char_wb_df, tfidf_top_k, tfidf_block_max,
-        related_nodes, retrieval_rankings, retrieval_metrics, graph_ranking_fill, rank_metrics, rank_comparison, metric_deltas, credential_documents, expand_identifiers, local_path_strings, display_rounding, sanitized_urls, snippet_truncate, python_symbols, method_calls,
+        related_nodes, retrieval_rankings, retrieval_metrics, graph_ranking_fill, rank_metrics, rank_comparison, metric_deltas, credential_documents, expand_identifiers, local_path_strings, display_rounding, json_leaks, sanitized_urls, snippet_truncate, python_symbols, method_calls,
     )
 }

@@ -121,3 +121,25 @@ def test_rounding_is_that_of_the_binary_value(spark):
 def test_words_end_at_any_white_space(spark):
     row = spark.createDataFrame([("ab\u00a0cd\u2003ef\x1cg",)], "v string").select(text.char_wb_ngrams(F.col("v")).alias("g")).first()
     assert {" ab ", " cd ", " ef ", " g "} <= set(row.g)
+
+
+def test_leaks_of_nested_json_are_those_of_the_nested_value(spark):
+    import json
+
+    from strandgraph.operators import leaks
+    from strandgraph.plans.export import strings
+
+    values = [
+        {"a": {"b": [{"password": "hunter2"}, ["/home/me/x", "fine"], {"token": "redacted"}]}, "c": "token = 'abc-123456'"}, ["C:\\data\\x", {"id": "file:../x"}], "plain", "/etc/x", 5, None, True,
+        {}, [], {"a.b": {"[0]": "\t/srv/y"}}, {"deep": [[[[[["/tmp/q"]]]]]]}, {"password": 7}, {"secret": ["hunter2"]},
+    ]
+    texts = [json.dumps(v) for v in values] + ["no json /tmp/z", None, ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, value string")
+    found = {(r.k, r.field, r.value) for r in leaks.json_strings(rows, ["k"]).collect()}
+    want = {(k, f, s) for k, v in enumerate(values) for f, s in strings(v)} | {(len(values), None, "no json /tmp/z"), (len(values) + 2, None, "")}
+    assert found == want
+    got = {(r.k, r.path, r.problem) for r in leaks.leaks(rows, ["k"]).collect()}
+    assert got == {
+        (0, "$.a.b[0].password", "secret field"), (0, "$.a.b[1][0]", "local path"), (0, "$.c", "credential"), (1, "$[0]", "local path"), (1, "$[1].id", "unsafe node path"), (3, "$", "local path"),
+        (9, "$.a.b.[0]", "local path"), (10, "$.deep[0][0][0][0][0][0]", "local path"), (13, "$", "local path"),
+    }
