@@ -42,7 +42,7 @@ MAX_WORDS, LEAST, TOP, SHARE = 4, 30, 2000, 80
 #: Candidates of one automaton: some 250 bytes each.
 BLOCK = 500_000
 #: Bytes of text that a task works on at once, and of one stored run of words.
-PORTION, RUN = 8 << 20, 256 << 10
+PORTION, RUN = 6 << 20, 256 << 10
 #: Cells, words or phrases that a task holds before it sends them on.
 HELD = 2_000_000
 #: The sketch has 2 to this power cells.
@@ -163,7 +163,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 every += n
                 known[word] = known.get(word, 0) + n
         yield _batch(lang=_same(lang, 1), word=_same(None, 1), n=pa.array([every]))
-        if sum(map(len, held.values())) > HELD // 4:
+        if sum(map(len, held.values())) > HELD // 8:
             yield from sent()
     yield from sent()
 
@@ -266,7 +266,7 @@ def _candidates(sent: Broadcast, buckets: int):
                     size -= len(own)
                     own.add(b" ".join([coded.words[c] for c in span]))
                     size += len(own)
-            if size > HELD // 4:
+            if size > HELD // 8:
                 yield from lists()
                 size = 0
         yield from lists()
