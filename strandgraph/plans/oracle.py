@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from strandgraph.functions import predicates, text
 from strandgraph.operators.relations import DEFAULT_PRIOR, PRIORS
-from strandgraph.plans.registry import BUDGET, DECAY, EPSILON, FINE, IDENTIFIERS, MAX_FILES, MIN_SUPPORT, PUSHES, RANKS, RELATED, SEEDS
+from strandgraph.plans.registry import BUDGET, DECAY, EPSILON, FINE, MAX_FILES, MIN_SUPPORT, PUSHES, RANKS, RELATED, SEEDS
 
 _PRIOR = "CASE kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in PRIORS.items()) + f" ELSE {DEFAULT_PRIOR} END"
 
@@ -170,11 +170,6 @@ _M = ["answer_mrr_at_10", "recall_at_10", "recall_at_20", "supporting_recall_at_
 _FILL = "SELECT query_id, node_id, {k} AS part, row_number() OVER (PARTITION BY query_id ORDER BY {o}, node_id) AS rank FROM base QUALIFY rank <= {n}"
 
 
-def _values(values: list[str]) -> str:
-    quoted = [v.replace("'", "''") for v in values]
-    return "(VALUES " + ", ".join(f"({k}::BIGINT, '{v}')" for k, v in enumerate(quoted)) + ") t(k, v)"
-
-
 def _q(pattern: str) -> str:
     return pattern.replace("'", "''")
 
@@ -227,7 +222,7 @@ SELECT query_id, x - y AS answer_rank_change, array_to_string(new, ',') AS newly
     "credential_documents": f"""WITH found AS (SELECT doc_id, text, unnest(list_concat(regexp_extract_all(text, '{_q(predicates.ASSIGNMENT)}', 1), [''])) AS v FROM documents)
 SELECT DISTINCT doc_id FROM found WHERE regexp_matches(text, '{_q('|'.join(predicates.TOKENS))}') OR regexp_matches(text, '{_q(predicates.BEARER)}') OR regexp_matches(text, '{_q(predicates.PRIVATE_KEY)}') OR regexp_matches(text, '{_q(predicates.URL_CREDENTIAL)}')
   OR NOT (length({_INNER}) < 6 OR regexp_matches({_INNER}, '[{{<$]') OR {_DYNAMIC} OR regexp_full_match({_INNER}, '[A-Za-z_][A-Za-z0-9_.]*'))""",
-    "expand_identifiers": f"SELECT k, replace(replace(regexp_replace(v, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '_', ' '), '-', ' ') AS expanded FROM {_values(IDENTIFIERS)}",
+    "expand_identifiers": "SELECT page_id, md5(e) AS digest, length(e)::BIGINT AS n_chars FROM (SELECT page_id, replace(replace(regexp_replace(html, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '_', ' '), '-', ' ') AS e FROM pages)",
     "local_path_strings": f"""WITH p AS (SELECT page_id, url, regexp_extract(url, '^[^:]*://[^/]*(/[^?#]*)', 1) AS path FROM pages),
 v AS (SELECT page_id, CASE page_id % 8 WHEN 0 THEN path WHEN 1 THEN chr(9) || path WHEN 2 THEN chr(10) || ' /data' || path WHEN 3 THEN 'see /tmp' || path || ' for it' WHEN 4 THEN 'C:/Users' || path WHEN 5 THEN chr(8195) || '''/x' || path || '''' WHEN 6 THEN 'src' || path ELSE url END AS v FROM p),
 t AS (SELECT page_id, v, trim(v, chr(9) || chr(10) || chr(13) || ' ' || chr(8195)) AS bare FROM v)

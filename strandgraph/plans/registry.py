@@ -302,15 +302,10 @@ def credential_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").filter(predicates.contains_credential(F.col("text"))).select("doc_id")
 
 
-def _literals(spark: SparkSession, values: list[str]) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(values)), "k long, v string")
-
-
-IDENTIFIERS = ["buildSearchIndex", "HTTPServer2Go", "snake_case-name", "plain words", "aB_cD-eF9G", ""]
-
-
 def expand_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _literals(spark, IDENTIFIERS).select("k", text.expand_identifiers(F.col("v")).alias("expanded"))
+    """The pages' sources with their identifiers expanded, as a digest and a length."""
+    expanded = text.expand_identifiers(F.col("html"))
+    return _table(spark, sf_dir, "pages").select("page_id", F.md5(expanded.cast("binary")).alias("digest"), F.length(expanded).cast("long").alias("n_chars"))
 
 
 def local_path_strings(spark: SparkSession, sf_dir: str) -> DataFrame:

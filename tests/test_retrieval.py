@@ -143,3 +143,9 @@ def test_leaks_of_nested_json_are_those_of_the_nested_value(spark):
         (0, "$.a.b[0].password", "secret field"), (0, "$.a.b[1][0]", "local path"), (0, "$.c", "credential"), (1, "$[0]", "local path"), (1, "$[1].id", "unsafe node path"), (3, "$", "local path"),
         (9, "$.a.b.[0]", "local path"), (10, "$.deep[0][0][0][0][0][0]", "local path"), (13, "$", "local path"),
     }
+
+
+def test_identifiers_are_cut_at_case_underscores_and_hyphens(spark):
+    rows = [("buildSearchIndex", "build Search Index"), ("HTTPServer2Go", "HTTPServer2 Go"), ("snake_case-name", "snake case name"), ("aB_cD-eF9G", "a B c D e F9 G"), ("", "")]
+    got = spark.createDataFrame(rows, "v string, want string").select("want", text.expand_identifiers(F.col("v")).alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got]
