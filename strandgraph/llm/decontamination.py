@@ -2,8 +2,9 @@
 
 A mask is a row of ones and zeros laid on consecutive tokens; positions under a zero are
 ignored, so a substituted token there does not break the seed's hash. The seeds of the
-benchmark are joined with those of the documents on their hash; each match fixes an item
-and a diagonal, and along that diagonal the tokens themselves are compared. A document is
+benchmark are joined with those of the documents on their hash, each distinct hash of a text once;
+where a text and an item meet, the places of their common seeds fix the diagonals, and along
+each diagonal the tokens themselves are compared. A document is
 contaminated by an item if some stretch of at least ``min_tokens`` aligned tokens (the
 whole item, if it is shorter) agrees in at least ``similarity`` of its places. An item that
 is shorter is cut into one block more than it may have substitutions, and one block agrees.
@@ -11,6 +12,9 @@ is shorter is cut into one block more than it may have substitutions, and one bl
 Tokens are runs of letters, digits and other non-ASCII characters after lower-casing A-Z;
 they are compared by 64-bit hashes.
 
+A seed that m items and d texts share gives m x d rows, one per text and item, as does the result where
+all of them overlap; how often the seed stands in a text or an item does not matter.
+
 The documents are read once, however large the benchmark is. Only the seeds that the
 benchmark has too leave a document, with its tokens. Which these are is known exactly where
 the benchmark has at most ``EXACT_SEEDS`` seeds, which are then broadcast; beyond, a bitmap of fixed
@@ -20,7 +24,8 @@ size lets a few others pass, and the join removes them.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -96,10 +101,10 @@ def longest_stretch(equal: np.ndarray, least: int, similarity: float) -> tuple[i
     return trimmed if trimmed[1] - trimmed[0] >= least else (s, e)
 
 
-def best_overlap(row: np.ndarray, item: np.ndarray, diagonals: list[int], min_tokens: int, similarity: float) -> tuple[int, int, int, float] | None:
-    """``(start, aligned, matched, similarity)`` of the stretch with the most agreeing places on the diagonals."""
+def best_overlap(row: np.ndarray, item: np.ndarray, diagonals: Iterable[int], min_tokens: int, similarity: float) -> tuple[int, int, int, float] | None:
+    """``(start, aligned, matched, similarity)`` of the stretch with the most agreeing places on the ascending diagonals."""
     best = None
-    for diagonal in sorted(set(diagonals)):
+    for diagonal in diagonals:
         start, end = max(0, diagonal), min(len(row), diagonal + len(item))
         equal = row[start:end] == item[start - diagonal : end - diagonal]
         span = longest_stretch(equal, min(min_tokens, len(item)), similarity)
@@ -108,9 +113,37 @@ def best_overlap(row: np.ndarray, item: np.ndarray, diagonals: list[int], min_to
             hit = (start + s, e - s, int(equal[s:e].sum()), float(equal[s:e].mean()))
             if best is None or (hit[2], -hit[0]) > (best[2], -best[0]):
                 best = hit
+            if hit[2] == len(item):  # the whole item; later diagonals start later
+                break
     return best
 
 
+def common_diagonals(keys: np.ndarray, places: np.ndarray, n: int, item_keys: np.ndarray, item_places: np.ndarray, m: int) -> np.ndarray:
+    """All ``place - item place`` of equal keys, ascending; ``item_keys`` are sorted, ``n`` and ``m`` the numbers of tokens.
+
+    A key with very many places on both sides is handled by one convolution of its places, so memory
+    stays at n + m however many pairs of places there are.
+    """
+    low, high = np.searchsorted(item_keys, keys, "left"), np.searchsorted(item_keys, keys, "right")
+    met = high > low
+    keys, places, low, high = keys[met], places[met], low[met], high[met]
+    counts = high - low
+    if counts.sum() <= 8 * (n + m):
+        inner = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        return np.unique(np.repeat(places, counts) - item_places[np.repeat(low, counts) + inner])
+    seen = np.zeros(n + m, bool)  # the diagonal -(m - 1) is at 0
+    order = np.argsort(keys, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(keys[order])) + 1):
+        own, other = places[at], item_places[low[at[0]] : high[at[0]]]
+        if len(own) * len(other) <= 8 * (n + m):
+            seen[np.subtract.outer(own, other).ravel() + m - 1] = True
+        else:
+            a, b = np.zeros(n + m), np.zeros(n + m)
+            a[own], b[m - 1 - other] = 1.0, 1.0
+            seen |= np.fft.irfft(np.fft.rfft(a) * np.fft.rfft(b), n + m) > 0.5
+    return np.flatnonzero(seen) - (m - 1)
+
+
 def _membership(keys: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
     """Whether seeds are among the stored ``keys(key)``: exactly, or by a bitmap if they are very many."""
     context = keys.sparkSession.sparkContext
@@ -132,7 +165,7 @@ def _membership(keys: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
 
 
 def _items(benchmark: DataFrame, item_col: str, text_col: str, masks: tuple[str, ...], min_tokens: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """Stored ``(item, item_id, tokens)`` and ``(key, item, place, mask)``."""
+    """Stored ``(item, item_id, tokens)`` and the distinct ``(key, item, mask)``."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [pa.array([tokens(t).tobytes() for t in batch.column(2).to_pylist()], pa.binary())]
@@ -141,14 +174,13 @@ def _items(benchmark: DataFrame, item_col: str, text_col: str, masks: tuple[str,
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for item, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for mask, places, found in item_seeds(np.frombuffer(data, np.uint64), masks, min_tokens, similarity):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(found.view(np.int64)), pa.array(np.full(len(found), item)), pa.array(places.astype(np.int64)), pa.array([mask] * len(found))], names=["key", "item", "place", "mask"]
-                    )
+                for mask, _, found in item_seeds(np.frombuffer(data, np.uint64), masks, min_tokens, similarity):
+                    found = np.unique(found.view(np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), item)), pa.array([mask] * len(found))], names=["key", "item", "mask"])
 
     items = benchmark.select(F.monotonically_increasing_id().alias("item"), col(item_col).cast("long").alias("item_id"), col(text_col).alias("text"))
-    items = stored(items.filter("item_id is not null and text is not null").mapInArrow(read, "item long, item_id long, tokens binary"), "items")
-    return items, stored(items.select("item", "tokens").mapInArrow(cut, "key long, item long, place long, mask string"), "seeds")
+    items = stored(items.filter("text is not null").mapInArrow(read, "item long, item_id long, tokens binary"), "items")
+    return items, stored(items.select("item", "tokens").mapInArrow(cut, "key long, item long, mask string").distinct(), "seeds")
 
 
 def _overlaps(thin: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, masks: tuple[str, ...], min_tokens: int, similarity: float) -> DataFrame:
@@ -175,27 +207,35 @@ def _overlaps(thin: DataFrame, benchmark: DataFrame, item_col: str, item_text_co
 
     marked = thin.mapInArrow(find, "doc_id long, text_key long, tokens binary, keys array<long>, places array<long>")
     marked = stored(marked.withColumn("row", F.monotonically_increasing_id()), "marked")
-    hits = marked.select("row", F.explode(F.arrays_zip("keys", "places")).alias("h")).select("row", F.col("h.keys").alias("key"), F.col("h.places").alias("at"))
-    met = spread_join(hits, item_keys.select("key", "item", "place"), ["key"], "row")
-    diagonals = met.select("row", "item", (F.col("at") - F.col("place")).alias("diagonal")).distinct()
-    pairs = stored(diagonals.groupBy("row", "item").agg(F.collect_list("diagonal").alias("diagonals")), "pairs")
+    hits = marked.select("row", F.explode(F.array_distinct("keys")).alias("key"))
+    pairs = stored(spread_join(hits, item_keys.select("key", "item").distinct(), ["key"], "row").select("row", "item").distinct(), "pairs")
     sides = spread_join(pairs, items.withColumnRenamed("tokens", "item_tokens"), ["item"], "row")
-    sides = sides.join(marked.select("row", "doc_id", "text_key", "tokens"), "row")
+    sides = sides.join(marked, "row")
     names = ["doc_id", "text_key", "item_id", "doc_start", "aligned", "matched", "similarity"]
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        @lru_cache(1024)
+        def sorted_seeds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+            cut = [(found.view(np.int64), places) for _, places, found in item_seeds(np.frombuffer(data, np.uint64), masks, min_tokens, similarity)]
+            keys, places = (np.concatenate(c) for c in zip(*cut, strict=True))
+            order = np.argsort(keys, kind="stable")
+            return keys[order], places[order]
+
         for batch in batches:
             rows = []
-            for r in batch.to_pylist():
+            lists = [(c.flatten().to_numpy(), np.r_[0, np.cumsum(c.value_lengths().to_numpy())]) for c in (batch.column("keys"), batch.column("places"))]
+            for k, r in enumerate(batch.drop_columns(["keys", "places"]).to_pylist()):
                 row, item = (np.frombuffer(r[c], np.uint64) for c in ("tokens", "item_tokens"))
-                hit = best_overlap(row, item, r["diagonals"], min_tokens, similarity)
+                keys, places = (values[ends[k] : ends[k + 1]] for values, ends in lists)
+                diagonals = common_diagonals(keys, places, len(row), *sorted_seeds(r["item_tokens"]), len(item))
+                hit = best_overlap(row, item, diagonals.tolist(), min_tokens, similarity)
                 if hit:
                     rows.append((r["doc_id"], r["text_key"], r["item_id"], *hit))
             kinds = [pa.int64()] * 6 + [pa.float64()]
             cols = zip(*rows, strict=True) if rows else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
-    return sides.select("doc_id", "text_key", "item_id", "diagonals", "tokens", "item_tokens").mapInArrow(verify, "doc_id long, text_key long, item_id long, doc_start long, aligned long, matched long, similarity double")
+    return sides.select("doc_id", "text_key", "item_id", "keys", "places", "tokens", "item_tokens").mapInArrow(verify, "doc_id long, text_key long, item_id long, doc_start long, aligned long, matched long, similarity double")
 
 
 def contamination(
@@ -204,8 +244,8 @@ def contamination(
 ) -> DataFrame:
     """``(doc_id, item_id, doc_start, aligned, matched, similarity)`` of every document and item that overlap.
 
-    Null or empty texts and items never overlap; items with a null id are left out;
-    repeated documents and items return a row each. Texts of any length are searched whole. An empty benchmark or table gives no rows.
+    Null or empty texts and items never overlap; an item with a null id counts and is returned with a null ``item_id``;
+    repeated documents and items return a row each. Ids are cast to long. Texts of any length are searched whole. An empty benchmark or table gives no rows.
     """
     thin = docs.select(col(id_col).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("text_key"), col(text_col).alias("text"))
     return _overlaps(thin, benchmark, item_col, item_text_col, masks, min_tokens, similarity).drop("text_key")

@@ -195,6 +195,33 @@ def test_decontamination_edge_cases(spark):
     assert {(r.doc_id, r.aligned) for r in long} == {(5, 30), (6, 30)}
 
 
+@pytest.mark.parametrize("words", [1, 2, 50])
+def test_diagonals_are_those_of_all_pairs_of_places(words):
+    rng = np.random.default_rng(words)
+    for n, m in ((1, 1), (40, 7), (900, 300)):
+        own, other = rng.integers(0, words, n), np.sort(rng.integers(0, words, m))
+        places = rng.permutation(m)
+        want = sorted({int(a - p) for a, key in enumerate(own) for p in places[other == key]})
+        assert decontamination.common_diagonals(own, np.arange(n), n, other, places, m).tolist() == want
+
+
+def test_decontamination_of_repeated_words_and_items_without_id(spark, monkeypatch):
+    met, join = [], decontamination.spread_join
+
+    def counted(*sides):
+        met.append(join(*sides))
+        return met[-1]
+
+    monkeypatch.setattr(decontamination, "spread_join", counted)
+    docs = frame(spark, ["spam " * 20_000, "egg ham " * 5_000, "one two three four five six seven eight nine ten eleven twelve thirteen", "egg spam " * 4_000])
+    bench = spark.createDataFrame([(1, "spam " * 800), (2, "spam " * 699 + "toast " * 101), (None, "one two three four five six seven eight nine ten eleven twelve thirteen"), (3, "ham egg " * 300)], "item_id long, text string")
+    rows = {(r.doc_id, r.item_id): (r.doc_start, r.aligned, r.matched) for r in decontamination.contamination(docs, bench).collect()}
+    assert rows == {(0, 1): (0, 800, 800), (0, 2): (0, 699, 699), (1, 3): (1, 600, 600), (2, None): (0, 13, 13)}
+    # distinct seeds joined: 5 masks of one word in two pairs, two for each mask of two words, all 8 + 4 + 6 + 4 + 8 places of 13 words
+    assert met[0].count() == 5 + 5 + 10 + 30
+    assert [r.doc_id for r in decontamination.decontaminated(docs, bench).collect()] == [3]
+
+
 # --- op2 ---
 
 
