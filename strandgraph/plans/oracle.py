@@ -151,6 +151,14 @@ rows AS (SELECT j.*, a.rank AS a, b.rank AS b FROM judged j LEFT JOIN lexical a
 {result}"""
 
 
+def _bundled(result: str) -> str:
+    """The paths to related nodes and the edges of their steps; no path has a node that is ranked nowhere, since all reached ones are related."""
+    return _retrieval(f"""best AS MATERIALIZED (SELECT r.qid, r.rank, h.path, r.relationship FROM related r JOIN reached h ON h.qid = r.qid AND h.cur = r.cur AND h.n = 1 WHERE r.rank <= {RELATED}),
+hops AS (SELECT qid, path[k] AS x, path[k + 1] AS y FROM (SELECT qid, path, unnest(range(1, len(path))) AS k FROM best)),
+used AS MATERIALIZED (SELECT qid, 'FOLLOWS:' || a || '->' || b AS edge FROM (SELECT qid, a, b FROM hops JOIN follows ON a = x AND b = y UNION SELECT qid, a, b FROM hops JOIN follows ON a = y AND b = x)),
+{result}""")
+
+
 JUDGED = """
 docs AS (SELECT lang AS query_id, doc_id AS node_id, n_chars FROM documents),
 judged AS (SELECT query_id, node_id, CASE WHEN toxic = 1 THEN 'supporting' WHEN quality = 1 THEN 'answer' END AS role FROM docs JOIN labels ON doc_id = node_id WHERE toxic = 1 OR quality = 1),
@@ -208,6 +216,15 @@ SELECT node_id, place::INTEGER AS place, neighbour_id, kind, round(strength, 6)
 SELECT qid AS query_id, rank::INTEGER AS rank, cur AS node_id, round(direct, 6) AS direct, round(relationship, 6) AS relationship, round(pagerank, 6) AS pagerank, round(part, 6) AS pagerank_share FROM related WHERE rank <= {RELATED}"""),
     "retrieval_rankings": _retrieval("""answer AS (SELECT 1)
 SELECT query_id, rank::INTEGER AS rank, l.node_id AS lexical, s.node_id AS graph FROM lexical l FULL JOIN short s USING (query_id, rank)"""),
+    "query_bundles": _bundled(f"""a AS (SELECT qid, string_agg(key, ',' ORDER BY rank) AS l FROM anchors GROUP BY 1),
+r AS (SELECT qid, string_agg(cur, ',' ORDER BY rank) AS l FROM related WHERE rank <= {RELATED} GROUP BY 1),
+p AS (SELECT qid, string_agg(array_to_string(path, '>'), ',' ORDER BY rank) AS l, round(min(relationship), 6) AS least FROM best GROUP BY 1),
+e AS (SELECT qid, string_agg(edge, ',' ORDER BY edge) AS l FROM used GROUP BY 1)
+SELECT item_id AS query_id, coalesce(a.l, '') AS anchors, coalesce(r.l, '') AS related_nodes, coalesce(p.l, '') AS paths, coalesce(e.l, '') AS selected_edges, least
+FROM benchmark LEFT JOIN a ON a.qid = item_id LEFT JOIN r ON r.qid = item_id LEFT JOIN p ON p.qid = item_id LEFT JOIN e ON e.qid = item_id"""),
+    "bundle_faults": _bundled("""answer AS (SELECT 1)
+SELECT qid AS query_id, 'used edge is not selected' AS fault, min(edge) AS at FROM used WHERE qid % 3 = 0 GROUP BY qid
+UNION ALL SELECT qid, 'path score does not follow', path[-1] FROM best WHERE rank = 1 AND qid % 3 = 1"""),
     "retrieval_metrics": _retrieval(f"""x AS ({_metrics('a')}), y AS ({_metrics('b')}), answer AS (SELECT {', '.join(f'(SELECT avg({m}) FROM x) AS lexical_{m}, (SELECT avg({m}) FROM y) AS graph_{m}' for m in _M)})
 SELECT {', '.join(f'round(lexical_{m}, 6) AS lexical_{m}, round(graph_{m}, 6) AS graph_{m}, round(graph_{m} - lexical_{m}, 6) AS delta_{m}' for m in _M)} FROM answer"""),
     "graph_ranking_fill": f"""WITH base AS (SELECT role AS query_id, conv_id || ':' || turn AS node_id, max(length(text)) AS n FROM conversations GROUP BY 1, 2),

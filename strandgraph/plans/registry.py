@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from strandgraph.config import RetrievalConfig
 from strandgraph.functions import predicates, text
-from strandgraph.operators import evaluation, graph, leaks, relations, search
+from strandgraph.operators import bundles, evaluation, graph, leaks, relations, search
 from strandgraph.plans.lineage import stored
 
 MAX_FILES, MIN_SUPPORT, HOPS, DECAY, SEEDS, RANKS = 20, 2, 2, 0.85, 6, 8
@@ -222,6 +222,7 @@ def graph_ranking_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: What a query takes: nodes per ranking, related nodes, rounds and residual of PageRank.
 BUDGET, RELATED, PUSHES, FINE = 20, 25, 6, 1e-4
+_CONFIG = RetrievalConfig(seed_count=SEEDS, hops=HOPS, related_count=RELATED, hop_decay=DECAY)
 
 
 def _turn_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,8 +238,7 @@ def _turn_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _retrieved(spark: SparkSession, sf_dir: str) -> tuple[search.QueryResult, DataFrame, DataFrame]:
     """The benchmark's questions asked of the turns: result, lexical ranking and graph ranking."""
     docs, asked = _conversations(spark, sf_dir).dropDuplicates(["node_id"]), _asked(spark, sf_dir)
-    config = RetrievalConfig(seed_count=SEEDS, hops=HOPS, related_count=RELATED, hop_decay=DECAY)
-    result = search.query_graph(docs.select("node_id"), _turn_edges(spark, sf_dir), search.build_search_index(docs), asked, config, pagerank_iterations=PUSHES, epsilon=FINE)
+    result = search.query_graph(docs.select("node_id"), _turn_edges(spark, sf_dir), search.build_search_index(docs), asked, _CONFIG, pagerank_iterations=PUSHES, epsilon=FINE)
     lexical = stored(search.lexical_ranking(result.direct, docs.select("node_id"), asked, BUDGET), "lexical")
     return result, lexical, stored(search.graph_ranking(result, lexical, BUDGET), "graph")
 
@@ -267,6 +267,34 @@ def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row.select(*[_r(f"{side}_{m}").alias(f"{side}_{m}") for side in ("lexical", "graph", "delta") for m in evaluation.METRICS])
 
 
+def _bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bundle of each question: its best turns, what the graph adds, the paths to these and their edges."""
+    turns = _conversations(spark, sf_dir).groupBy(F.col("node_id").alias("id")).agg(F.min("document").alias("source"))
+    name, place = F.col("id").alias("name"), F.concat(F.lit("turns/"), F.col("id")).alias("path")
+    nodes = turns.select("id", F.lit("turn").alias("kind"), name, name.alias("qualified_name"), F.lit("text").alias("language"), place, F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), "source")
+    edges = _turn_edges(spark, sf_dir).withColumn("evidence", F.array().cast("array<string>"))
+    return bundles.query_bundles(nodes, edges, _retrieved(spark, sf_dir)[0], _asked(spark, sf_dir), _CONFIG)
+
+
+def query_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All bundles in one job; their lists as text, and the least score of a path."""
+    ids = lambda c: F.array_join(F.transform(c, lambda r: r["node"]["node_id"]), ",").alias(c)
+    paths = F.array_join(F.transform("strongest_paths", lambda p: F.array_join(p["node_ids"], ">")), ",").alias("paths")
+    used = F.array_join(F.transform("selected_edges", lambda e: e["edge_id"]), ",").alias("selected_edges")
+    least = _r(F.array_min(F.transform("strongest_paths", lambda p: p["relationship_score"]))).alias("least")
+    return _bundles(spark, sf_dir).select("query_id", ids("anchors"), ids("related_nodes"), paths, used, least)
+
+
+def bundle_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is found after a third of the bundles lost their first edge and a third had the score of their first path raised."""
+    third = F.pmod(F.col("query_id"), F.lit(3))
+    raised = lambda p, k: F.when(k == 0, p.withField("relationship_score", p["relationship_score"] + 0.5)).otherwise(p)
+    edges = F.when(third == 0, F.expr("slice(selected_edges, 2, size(selected_edges) + 1)")).otherwise(F.col("selected_edges"))
+    paths = F.when(third == 1, F.transform("strongest_paths", raised)).otherwise(F.col("strongest_paths"))
+    damaged = _bundles(spark, sf_dir).withColumn("selected_edges", edges).withColumn("strongest_paths", paths)
+    return bundles.bundle_faults(stored(damaged, "bundles"), _CONFIG)
+
+
 # --- evaluation ---
 
 
@@ -367,6 +395,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         cochange_pairs, commit_totals, cochange_confidence, typed_edge_strength, edge_kind_summary, projection_noisy_or, overview_rollup, node_degrees, strongest_paths_2hop,
         related_pruned, path_steps, step_contributions, neighborhood_top8, induced_subgraph, strongest_pair_edge, pagerank_k, pagerank_push, word_ngram_df, char_wb_df, tfidf_top_k, tfidf_block_max,
-        related_nodes, retrieval_rankings, retrieval_metrics, graph_ranking_fill, rank_metrics, rank_comparison, metric_deltas, credential_documents, expand_identifiers, local_path_strings, display_rounding, json_leaks, sanitized_urls, snippet_truncate, python_symbols, method_calls,
+        related_nodes, retrieval_rankings, retrieval_metrics, query_bundles, bundle_faults, graph_ranking_fill, rank_metrics, rank_comparison, metric_deltas, credential_documents, expand_identifiers, local_path_strings, display_rounding, json_leaks, sanitized_urls, snippet_truncate, python_symbols, method_calls,
     )
 }

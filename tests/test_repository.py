@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from strandgraph import cli, config
 from strandgraph.config import BenchmarkError, BundleError, GraphConfig, PublicExportError, RepositoryStateError, RetrievalConfig
-from strandgraph.operators import bundle, evaluation, search
-from strandgraph.plans import export, judged
+from strandgraph.operators import bundle, bundles, evaluation, search
+from strandgraph.plans import export, judged, lineage
 from strandgraph.plans.build import build_knowledge_graph, graph_tables, result_tables, search_documents
 from strandgraph.sources import artifact, git, publish
 from strandgraph.sources.benchmark import parse_benchmark
@@ -194,6 +194,57 @@ def test_query_bundle_round_trip_and_tampering(built, asked):
             make_bundle(built, asked, **options)
 
 
+QUESTIONS = [("one", "how does a tree grow a ring"), ("two", "weigh the basket"), ("none", "zzz")]
+
+
+@pytest.fixture(scope="module")
+def many(spark, built, asked):
+    """Bundles of all queries at once, one of them without any result; the first has a reviewed snippet."""
+    top = asked.anchors.filter("query_id = 'one'").orderBy("rank").first().node_id
+    queries = spark.createDataFrame(QUESTIONS, "query_id string, query string")
+    reviewed = spark.createDataFrame([("one", 1, top)], "query_id string, place int, node_id string")
+    return top, lineage.stored(bundles.query_bundles(built.nodes, built.edges, asked, queries, RetrievalConfig(seed_count=2, related_count=4), reviewed=reviewed, max_characters=20), "bundles")
+
+
+def test_bundles_of_all_queries_are_those_of_each(built, asked, many):
+    top, table = many
+    config = RetrievalConfig(seed_count=2, related_count=4)
+    found = {r.query_id: json.loads(r.document) for r in bundles.bundle_documents(table, built.snapshot, config).collect()}
+    options = {"one": {"include_source": True, "reviewed": [top], "max_characters": 20}, "two": {}}
+    for name, query in QUESTIONS[:2]:
+        assert found[name] == bundle.build_bundle(built.snapshot, built.nodes, built.edges, asked, name, query, config=config, **options[name])
+    assert all(found["none"][part] == [] for part in bundles.PARTS)
+    assert bundles.bundle_faults(table, config).count() == 0
+
+
+def test_faults_of_bundles_are_found_by_joins(many):
+    _, table = many
+    first = lambda part, change: F.transform(part, lambda x, k: F.when(k == 0, change(x)).otherwise(x))
+    path = lambda change: first("strongest_paths", change)
+    step = lambda field, value: path(lambda p: p.withField("steps", first(p["steps"], lambda s: s.withField(field, value(s)))))
+    link = lambda field, value: step("contributions", lambda s: first(s["contributions"], lambda c: c.withField(field, F.lit(value))))
+    node = lambda field, value: first("anchors", lambda r: r.withField("node", r["node"].withField("location", r["node"]["location"].withField(field, F.lit(value)))))
+    cases = [
+        ("query", F.lit(" \t"), "blank query"), ("selected_edges", F.slice("selected_edges", 2, 999), "used edge is not selected"), ("strongest_paths", F.slice("strongest_paths", 1, 0), "selected edge is not used"),
+        ("selected_edges", F.reverse("selected_edges"), "selected edges repeat or are out of order"), ("selected_edges", first("selected_edges", lambda e: e.withField("count", F.lit(0).cast("long"))), "bad edge"),
+        ("strongest_paths", path(lambda p: p.withField("relationship_score", F.lit(0.1))), "path score does not follow"), ("strongest_paths", step("combined_strength", lambda s: F.lit(0.1)), "combined strength does not follow"),
+        ("strongest_paths", step("contributions", lambda s: F.slice(s["contributions"], 1, 0)), "step without edges or with one twice"), ("strongest_paths", step("to_node_id", lambda s: F.lit("no")), "steps do not follow the path"),
+        ("strongest_paths", link("strength", 0.123), "contribution differs from its edge"), ("strongest_paths", link("traversal_direction", "sideways"), "wrong direction"),
+        ("strongest_paths", path(lambda p: p.withField("source_id", F.lit("no"))), "path ends are not ranked"), ("anchors", node("path", "/etc/x"), "unsafe path or line span"), ("anchors", node("path", "a/../b"), "unsafe path or line span"),
+        ("anchors", node("end_line", 0), "unsafe path or line span"), ("anchors", F.slice("anchors", 2, 9), "ranks have gaps"), ("anchors", first("anchors", lambda r: r.withField("pagerank_score", F.lit(float("nan")))), "bad score"),
+        ("related_nodes", F.concat("related_nodes", F.slice("anchors", 1, 1)), "node ranked twice"), ("source_snippets", F.transform("source_snippets", lambda s: s.withField("node_id", F.lit("no"))), "bad snippet"),
+        ("source_snippets", F.transform("source_snippets", lambda s: s.withField("reviewed", F.lit(False))), "bad snippet"),
+    ]
+    good = table.filter("query_id = 'one'")
+    broken = None
+    for k, (column, value, _) in enumerate(cases):
+        one = good.withColumn(column, value).withColumn("query_id", F.lit(k))
+        broken = one if broken is None else broken.unionByName(one)
+    found = {(r.query_id, r.fault) for r in bundles.bundle_faults(broken, RetrievalConfig(seed_count=2, related_count=4)).collect()}
+    missing = [(k, what) for k, (_, _, what) in enumerate(cases) if (k, what) not in found]
+    assert missing == []
+
+
 def test_stored_graph_round_trip(spark, built, tmp_path):
     content = artifact.graph_json(built)
     assert artifact.graph_json(artifact.graph_from_json(spark, content)) == content and str(Path.home()) not in content
