@@ -93,6 +93,12 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.projection(_edges(spark, sf_dir))
 
 
+def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Edges and pairs, stored, for queries that read both or the pairs in several plans."""
+    edges = stored(_edges(spark, sf_dir), "edges")
+    return edges, stored(graph.projection(edges), "pairs")
+
+
 def projection_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = graph.projection(_edges(spark, sf_dir))
     return every.select("u", "v", _r("weight").alias("weight"), F.array_join("kinds", ",").alias("kinds"))
@@ -117,12 +123,12 @@ def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals.select(F.col("path").alias("node_id"), F.col("commits").cast("double").alias("seed_score"), rank.alias("seed_rank"))
 
 
-def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.strongest_paths(_pairs(spark, sf_dir), _seeds(spark, sf_dir), hops=HOPS, hop_decay=DECAY)
+def _paths(spark: SparkSession, sf_dir: str, pairs: DataFrame) -> DataFrame:
+    return graph.strongest_paths(pairs, _seeds(spark, sf_dir), hops=HOPS, hop_decay=DECAY)
 
 
 def strongest_paths_2hop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _paths(spark, sf_dir).select("node_id", _r("score").alias("score"), "depth", F.array_join("path", ">").alias("path"))
+    return _paths(spark, sf_dir, _pairs(spark, sf_dir)).select("node_id", _r("score").alias("score"), "depth", F.array_join("path", ">").alias("path"))
 
 
 def related_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,13 +139,15 @@ def related_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def path_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    steps = graph.path_steps(_paths(spark, sf_dir), _pairs(spark, sf_dir), ["node_id"])
+    pairs = _graph(spark, sf_dir)[1]
+    steps = graph.path_steps(_paths(spark, sf_dir, pairs), pairs, ["node_id"])
     return steps.select("node_id", "step", "from_id", "to_id", _r("combined_strength").alias("combined_strength"))
 
 
 def step_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    steps = graph.path_steps(_paths(spark, sf_dir), _pairs(spark, sf_dir), ["node_id"])
-    rows = graph.step_contributions(steps, _edges(spark, sf_dir), ["node_id"])
+    edges, pairs = _graph(spark, sf_dir)
+    steps = graph.path_steps(_paths(spark, sf_dir, pairs), pairs, ["node_id"])
+    rows = graph.step_contributions(steps, edges, ["node_id"])
     return rows.select("node_id", "step", text.edge_id(F.col("source_id"), F.col("target_id"), F.col("kind")).alias("edge_id"), "traversal_direction", _r("strength").alias("strength"))
 
 
@@ -150,8 +158,9 @@ def neighborhood_top8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def induced_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = _paths(spark, sf_dir).select(F.explode("path").alias("node_id"))
-    return graph.induced_subgraph(_edges(spark, sf_dir), chosen).select("source_id", "target_id", "kind", _r("strength").alias("strength"))
+    edges, pairs = _graph(spark, sf_dir)
+    chosen = _paths(spark, sf_dir, pairs).select(F.explode("path").alias("node_id"))
+    return graph.induced_subgraph(edges, chosen).select("source_id", "target_id", "kind", _r("strength").alias("strength"))
 
 
 def strongest_pair_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,10 +168,10 @@ def strongest_pair_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pagerank_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = _edges(spark, sf_dir)
+    edges, pairs = _graph(spark, sf_dir)
     nodes = edges.select(F.col("source_id").alias("node_id")).union(edges.select("target_id")).union(_table(spark, sf_dir, "customer").select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")))).distinct()
     personal = _seeds(spark, sf_dir).select("node_id", F.col("seed_score").alias("weight"))
-    ranks = graph.pagerank(graph.projection(edges), nodes, personal, iterations=RANKS, tolerance=None)
+    ranks = graph.pagerank(pairs, nodes, personal, iterations=RANKS, tolerance=None)
     return ranks.select("node_id", _r("rank", 9).alias("rank"))
 
 
