@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from strandgraph.llm import lm, paragraphs, queries, toxicity
@@ -406,6 +407,20 @@ def test_parts_of_trainers_meet_as_weighted_means(spark):
     assert len(merged) == 2 and np.allclose(got[weight > 0], total[weight > 0] / weight[weight > 0, None], atol=0.01)
 
 
+def test_the_model_does_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm, "TRAINER_TOKENS", 50_000)
+    docs = documents(spark).select("doc_id", "text", F.lit(False).alias("held_out"))
+    known = lm.Vocabulary.of(lm.count_words(docs.select("text")), docs.count())
+    assert known.n_tokens > 150_000
+    # a fifth of the rows once more, and one row very often
+    again = docs.filter("doc_id % 5 = 0").unionByName(docs.filter("doc_id = 7").crossJoin(spark.range(300)).drop("id")).unionByName(docs)
+    one, other = (lm.train_model(lm.encode_texts(d, known).select("symbols", "h", "row"), known) for d in (docs.coalesce(1), docs.repartition(7, "text")))
+    for name, table in one.tables.items():
+        assert np.allclose(table, other.tables[name], atol=1e-4), name
+    many = lm.train_model(lm.encode_texts(again, known).select("symbols", "h", "row"), known)
+    assert all(np.isfinite(x).all() for x in many.tables.values())
+
+
 def test_lm_edge_cases(spark):
     rows = lm.lm_scores(edge_docs(spark)).collect()
     got = Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in rows)
