@@ -70,21 +70,25 @@ def shuffled_shards(
         hashed = hashed.join(F.broadcast(crowded), inside, "left_anti").unionByName(equal)
         counts = counted(hashed)
 
-    # offsets in two levels, so that no task sorts all buckets
-    block = F.expr("of div 1024").alias("block")
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = counts.groupBy(block).agg(F.sum("n").alias("n")).select("block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    inner = Window.partitionBy("block").orderBy("of").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("of", "n", block).join(F.broadcast(blocks), "block")
-    offsets = offsets.select("of", (F.col("start") + F.coalesce(F.sum("n").over(inner), F.lit(0))).alias("offset"))
-
-    # the sort makes each list, and so its shuffle, the same when a task is run again
+    # one row per range: the place at which it starts, from blocks of ranges, so that no task sorts all of them
     ranges = max(1, min(MAX_TASKS, n_buckets // RANGE))
-    dealt = hashed.withColumn(group, F.expr(f"(`{b}` * {ranges}L) div {n_buckets}L")).repartition(min(2 * ranges, n_buckets), group).sortWithinPartitions(b, h)
+    range_of = lambda bucket: F.expr(f"(`{bucket}` * {ranges}L) div {n_buckets}L").cast("int")
+    held = counts.groupBy(range_of("of").alias(group)).agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("of", "n"))).alias("sizes"))
+    held = held.withColumn("block", F.expr(f"`{group}` div 1024"))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = held.groupBy("block").agg(F.sum("n").alias("n")).select("block", before(Window.orderBy("block")).alias("start"))
+    starts = held.withColumn("inner", before(Window.partitionBy("block").orderBy(group))).join(F.broadcast(blocks), "block")
+    # a range has RANGE buckets or few more (all of 4 MB) up to MAX_TASKS ranges, so its starts are a short array
+    sums = F.expr("transform(sequence(1, size(sizes)), k -> start + inner + aggregate(slice(sizes, 1, k - 1), 0L, (s, x) -> s + x.n))")
+    starts = starts.select(group, F.map_from_arrays("sizes.of", sums).alias("starts")).repartitionById(ranges, F.col(group))
+
+    # a range is a task, so it writes into few shards; the sort makes each list, and so its shuffle, the same when a task is run again
+    dealt = hashed.withColumn(group, range_of(b)).repartitionById(ranges, F.col(group)).sortWithinPartitions(b, h)
     lists = dealt.groupBy(group, b).agg(F.collect_list(F.struct(*[col(c) for c in rows.columns])).alias(all_))
-    lists = lists.select(b, F.posexplode(F.shuffle(F.col(all_), seed)).alias(at, all_))
-    place = (F.col("offset") + F.col(at)).alias("place")
-    placed = lists.join(offsets, F.col(b) == F.col("of")).select(F.col(all_).alias("r"), place)
+    # the starts are laid out like the lists, which therefore stay where they are
+    lists = lists.join(starts.hint("shuffle_hash"), group)
+    place = (F.element_at("starts", F.col(b)) + F.col(at)).alias("place")
+    placed = lists.select(b, "starts", F.posexplode(F.shuffle(F.col(all_), seed)).alias(at, all_)).select(F.col(all_).alias("r"), place)
     sharded = placed.withColumn("k", F.expr(f"(place * {n_shards}L) div {max(total.n, 1)}L"))
     slot = F.col("place") - F.expr(f"(k * {total.n}L + {n_shards - 1}L) div {n_shards}L")
     fields = [F.col("r").getField(c).alias(c) for c in rows.columns]
