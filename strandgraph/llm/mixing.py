@@ -91,7 +91,7 @@ def curriculum(
     A source's prefix sums are taken in hash ranges (a first sum per range, then a running
     sum within it), so one source may hold any share of the rows.
     """
-    p = {x: fresh(prefix + x, docs.columns) for x in ("h", "bucket", "kind", "offset", "c", "size", "source_size", "target", "taken", "starts", "takes", "copies", "of", "source_of")}
+    p = {x: fresh(prefix + x, docs.columns) for x in ("h", "bucket", "key", "kind", "offset", "c", "size", "source_size", "target", "taken", "starts", "takes", "copies", "key_of")}
     bits = max(0, math.ceil(math.log2(max(1, docs.count()) / ROWS_PER_BUCKET)))
     known = docs.withColumn(p["size"], word_count(col(text_col)))
     known = known.withColumn(p["h"], F.xxhash64(F.lit(seed), col(id_col), col(text_col), col(text_col).isNull()))
@@ -104,13 +104,15 @@ def curriculum(
     parts = parts.withColumn("offset", F.coalesce(before, F.lit(0)))
     targets = source_targets(sizes, weights, share, most).withColumnRenamed("source", "of")
     parts = parts.join(targets, F.col("source").eqNullSafe(F.col("of"))).select(
-        F.col("source").alias(p["source_of"]), F.col("bucket").alias(p["of"]), F.col("offset").alias(p["offset"]),
+        F.struct("source", F.coalesce("bucket", F.lit(0)).cast("long").alias("bucket")).alias(p["key_of"]), F.col("offset").alias(p["offset"]),
         F.col("source_size").alias(p["source_size"]), F.col("target").alias(p["target"]), F.col("kind").alias(p["kind"]),
     )
 
-    here = Window.partitionBy(col(source_col), F.col(p["bucket"])).orderBy(F.col(p["h"]), col(id_col), F.col(p["size"]))
+    # a single key, in which nulls are equal, for the window and for the join, so the texts move once
+    known = known.withColumn(p["key"], F.struct(col(source_col).alias("source"), F.col(p["bucket"]).alias("bucket")))
+    here = Window.partitionBy(F.col(p["key"])).orderBy(F.col(p["h"]), col(id_col), F.col(p["size"]))
     running = F.sum(p["size"]).over(here.rowsBetween(Window.unboundedPreceding, 0)) - F.col(p["size"])
-    joined = known.withColumn(p["c"], running).join(parts, col(source_col).eqNullSafe(F.col(p["source_of"])) & (F.col(p["bucket"]) == F.col(p["of"])))
+    joined = known.withColumn(p["c"], running).join(parts, F.col(p["key"]) == F.col(p["key_of"]))
     c, size, whole = F.col(p["offset"]) + F.col(p["c"]), F.col(p["size"]), F.col(p["source_size"])
     quota = F.round(F.col(p["target"])).cast("long")
     begins = [c + k * whole for k in range(most)]
