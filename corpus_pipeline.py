@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from strandgraph.llm import decontamination, mixing, sharding, simhash, toxicity
 from strandgraph.llm.common import table
-from strandgraph.plans.lineage import shared_folder
+from strandgraph.plans.lineage import discard, shared_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,10 +55,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written to the shared folder and read again."""
+    """All stages over ``documents``; each result is written to the shared folder and read again.
+
+    The last one lies in a folder per shard, in slot order within each file. The folder of a stage goes once its
+    successor is written, the last one's stays.
+    """
     base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}-{name}")
-        docs = spark.read.parquet(f"{base}/{k}-{name}")
+        path, result = f"{base}/{k}-{name}", stage(spark, docs, sf_dir)
+        if stage is shard:
+            sharding.write_shards(result, path)
+        else:
+            result.write.parquet(path)
+        if k:
+            discard(docs)
+        docs = spark.read.schema(result.schema).parquet(path).select(*result.columns)
     return docs
