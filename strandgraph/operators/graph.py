@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandgraph.functions.text import display_round
 from strandgraph.operators.relations import strongest_per_neighbour
-from strandgraph.operators.skew import spread_join
+from strandgraph.operators.skew import hot_keys, spread_join
 from strandgraph.plans.lineage import bucketed, discard, drop, stored
 
 
@@ -51,13 +51,15 @@ def strongest_paths(pairs: DataFrame, seeds: DataFrame, *, hops: int = 2, hop_de
     Of the candidates that reach a node from one seed in one number of hops only the best
     goes on, so the frontier stays within seeds x nodes. That loses nothing: a better
     candidate that cannot be extended to some node has that node on its path, and so has
-    reached it before with a higher score. Without ``exhaustive`` the best candidate of all
+    reached it before with a higher score. The neighbours of a hub are dealt to several tasks and
+    its frontier rows are copied to each. Without ``exhaustive`` the best candidate of all
     seeds goes on alone, which is the same for all nodes but the seeds.
     """
     if isinstance(hops, bool) or hops < 1 or not 0 < hop_decay <= 1:
         raise ValueError("hops must be positive and hop_decay in (0, 1]")
     keys = keys or []
-    adj = adjacency(pairs)
+    adj = stored(adjacency(pairs), "adjacency")
+    hubs = hot_keys(adj, ["node"])
     top = seeds.groupBy(*keys).agg(F.max("seed_score").alias("top"))
     start = seeds.join(top, keys) if keys else seeds.crossJoin(F.broadcast(top))  # one row
     no_place = F.array().cast("array<struct<first_source: string, first_target: string, first_kind: string>>")
@@ -71,7 +73,7 @@ def strongest_paths(pairs: DataFrame, seeds: DataFrame, *, hops: int = 2, hop_de
     found = None
     for _ in range(hops):
         frontier = (
-            frontier.join(adj, F.col("cur") == F.col("node")).filter(~F.array_contains("path", F.col("neighbour")))
+            spread_join(adj, frontier.withColumnRenamed("cur", "node"), ["node"], "neighbour", found=hubs).filter(~F.array_contains("path", F.col("neighbour")))
             .select(
                 *keys, "origin", "seed_rank", F.col("neighbour").alias("cur"), (F.col("score") * hop_decay * F.col("weight")).alias("score"),
                 F.concat("path", F.array("neighbour")).alias("path"), F.concat("places", F.array("place")).alias("places"),

@@ -27,15 +27,16 @@ def hot_keys(frame: DataFrame, keys: list[str], share: float | None = None) -> l
     return [tuple(r) for r in counts.select(*keys, F.ceil(F.col("rows") / limit).cast("int")).collect()]
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: list[str], spread: str | Column, how: str = "inner", share: float | None = None) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], spread: str | Column, how: str = "inner", share: float | None = None, found: list[tuple] | None = None) -> DataFrame:
     """``left`` joined with ``right`` on ``keys``; rows of a hot key on the left are dealt to several tasks.
 
     Which of them a row goes to depends on a hash of ``spread``, a value that differs
     among the rows of a key and is the same when a task runs again. The matching rows of ``right`` are copied once per task. For
     inner, left, left_semi and left_anti joins; null keys match nothing. ``left`` is read
     for its hot keys first, so it should be a stored table; without hot keys the join is a plain one.
+    ``found`` are the hot keys where the caller has them already, as for a table that is joined in every round of a loop.
     """
-    found = hot_keys(left, keys, share)
+    found = hot_keys(left, keys, share) if found is None else found
     if not found:
         return left.join(right, keys, how)
     parts, salt = _taken("__parts", left, right), _taken("__salt", left, right)

@@ -127,6 +127,23 @@ def test_strongest_paths_equal_all_simple_paths(spark, seed):
         assert {n: v for n, v in pruned.items() if n not in seeds} == {n: v for n, v in want.items() if n not in seeds}
 
 
+def test_paths_through_a_hub_are_dealt_to_several_tasks(spark):
+    # every leaf hangs on the hub, two leaves carry a tail each
+    n = 600
+    rows = [("hub", f"leaf{k:03d}", (k % 9 + 1) / 10) for k in range(n)] + [("leaf007", "tail_a", 0.5), ("leaf008", "tail_b", 0.5)]
+    pairs = spark.createDataFrame([(u, v, w, u, v, "K") for u, v, w in rows], "u string, v string, weight double, first_source string, first_target string, first_kind string")
+    assert [k for k, parts in skew.hot_keys(graph.adjacency(pairs), ["node"]) if parts > 1] == ["hub"]
+    seeds = spark.createDataFrame([("leaf000", 1.0, 0), ("hub", 0.5, 1)], "node_id string, seed_score double, seed_rank int")
+    got = {r.node_id: (round(r.score, 9), tuple(r.path)) for r in graph.strongest_paths(pairs, seeds, hops=2, hop_decay=0.8).collect()}
+    first, expected = 0.1 * 0.8, {}
+    for k in range(1, n):
+        one, two = 0.5 * 0.8 * (k % 9 + 1) / 10, first * 0.8 * (k % 9 + 1) / 10
+        expected[f"leaf{k:03d}"] = (round(max(one, two), 9), ("hub", f"leaf{k:03d}"))
+    expected |= {f"tail_{x}": (round(0.5 * 0.8 * w * 0.8 * 0.5, 9), ("hub", leaf, f"tail_{x}")) for x, leaf, w in (("a", "leaf007", 0.8), ("b", "leaf008", 0.9))}
+    expected |= {"hub": (round(first, 9), ("leaf000", "hub")), "leaf000": (round(0.5 * first, 9), ("hub", "leaf000"))}
+    assert got == expected
+
+
 def test_steps_in_words(spark):
     edges = spark.createDataFrame([("a", "b", "CALLS", 1, 1.0, 0.9, []), ("b", "a", "IMPORTS", 1, 1.0, 0.95, []), ("c", "b", "CO_CHANGES", 1, 1.0, 0.5, [])], EDGES)
     paths = spark.createDataFrame([(1, "c", ["a", "b", "c"]), (2, "x", ["b", "x"])], "k int, node_id string, path array<string>")
