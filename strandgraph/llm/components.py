@@ -17,13 +17,14 @@ def _with_least(links: DataFrame, least: DataFrame, hub: float) -> DataFrame:
     """``links(u, v)`` with the least ``m`` of each u.
 
     Nodes with over ``hub`` links are fewer than all links divided by that; their rows of
-    ``least(u, m, n)`` come to the driver and back by broadcast.
+    ``least(u, m, n)`` come to the driver and back by broadcast. The others meet in merge joins: their
+    tables grow with the input, and no part of them may pass through the driver.
     """
     found = least.filter(F.col("n") > hub).select("u", "m").collect()
     if not found:
-        return links.join(least.select("u", "m"), "u")
+        return links.join(least.select("u", "m").hint("merge"), "u")
     hubs = F.broadcast(links.sparkSession.createDataFrame(found, "u long, m long"))
-    return links.join(hubs.select("u"), "u", "left_anti").join(least.select("u", "m"), "u").unionByName(links.join(hubs, "u"))
+    return links.join(hubs.select("u"), "u", "left_anti").join(least.select("u", "m").hint("merge"), "u").unionByName(links.join(hubs, "u"))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -108,16 +109,17 @@ def verified_links(
     than ``block`` members is cut into blocks by a hash of the node, and every pair of
     blocks becomes a group of its own: no task holds more than two blocks, and no member
     is skipped. A group of m members gives at most m - 1 links, never its pairs. Sizes are
-    partial sums; those of buckets with very many members reach these by broadcast.
+    partial sums; those of buckets with very many members reach these by broadcast. The joins are merge joins, because
+    ``members`` may be exploded from a table that looks small enough for a broadcast.
     """
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    dealt = spread_join(members, sizes, ["bucket"], "node").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    dealt = spread_join(members, sizes, ["bucket"], "node", hint="merge").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     group = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
     dealt = dealt.select(group.alias("g"), "bucket", "node")
     if payload is not None:
-        dealt = dealt.join(payload, "node")  # a node is in few groups of each of its buckets
+        dealt = dealt.join(payload.hint("merge"), "node")  # a node is in few groups of each of its buckets
     dealt = dealt.repartition("g").sortWithinPartitions("g", "bucket", "node")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

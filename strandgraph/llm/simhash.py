@@ -90,13 +90,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prints = stored(fingerprints(docs, id_col, text_col))
     distinct = stored(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")))
-    roots = distinct.join(fingerprint_components(distinct.select("fp"), radius), F.col("fp") == F.col("node"), "left")
+    linked = fingerprint_components(distinct.select("fp"), radius)
+    roots = distinct.join(linked.hint("merge"), F.col("fp") == F.col("node"), "left")
     roots = roots.select("fp", "first", F.coalesce("root", "fp").alias("root"))
     roots = stored(roots, "roots")
     heads = roots.groupBy("root").agg(F.min("first").alias("head"))
-    named = spread_join(roots, heads, ["root"], "fp").select("fp", F.col("head.doc_id").alias("component_id"), F.col("head.text_key").alias("first_key"))
+    named = spread_join(roots, heads, ["root"], "fp", hint="merge").select("fp", F.col("head.doc_id").alias("component_id"), F.col("head.text_key").alias("first_key"))
     # rows of one fingerprint may be a third of all; the stored rows' order tells them apart
-    return spread_join(prints, named, ["fp"], F.monotonically_increasing_id()).select("doc_id", "text_key", "fp", "component_id", "first_key")
+    return spread_join(prints, named, ["fp"], F.monotonically_increasing_id(), hint="merge").select("doc_id", "text_key", "fp", "component_id", "first_key")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
