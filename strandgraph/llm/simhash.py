@@ -104,7 +104,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with one row left of each component: the smallest doc_id.
 
     Of several rows with that id the smallest text hash stays; of wholly repeated rows one.
-    Only the keys of the rows to drop are joined against the documents.
+    Only the keys of the rows to drop are joined against the documents, by a merge join: they may be most of all
+    rows and must not pass through the driver.
     """
     found = stored(near_duplicates(docs, id_col, text_col, radius))
     first = (F.col("doc_id").eqNullSafe(F.col("component_id"))) & (F.col("text_key") == F.col("first_key"))
@@ -112,7 +113,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     drop = found.filter(~first).select(F.col("doc_id").alias(of), F.col("text_key").alias(key + "_of")).distinct()
     again = found.filter(first).groupBy("doc_id", "text_key").count().filter("count > 1").limit(1).count()
     keyed = docs.withColumn(key, text_key(col(text_col)))
-    left = keyed.join(drop, col(id_col).cast("long").eqNullSafe(F.col(of)) & (F.col(key) == F.col(key + "_of")), "left_anti")
+    left = keyed.join(drop.hint("merge"), col(id_col).cast("long").eqNullSafe(F.col(of)) & (F.col(key) == F.col(key + "_of")), "left_anti")
     if again:
         left = left.dropDuplicates([id_col, key])
     return left.drop(key)

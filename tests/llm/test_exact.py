@@ -79,6 +79,18 @@ def test_components_of_fingerprints_against_all_pairs(spark, block, monkeypatch)
     assert got == roots(pairs)
 
 
+def test_no_join_of_simhash_passes_its_tables_through_the_driver(spark):
+    """31 rows a fingerprint look as small as the fingerprints they are exploded from, and the rows to drop may be most of all."""
+    prints = common.stored(spark.range(400).select(F.xxhash64("id").alias("fp")))
+    members = prints.select(F.explode(F.array(*[F.xxhash64(F.lit(t), F.col("fp")) for t in range(31)])).alias("bucket"), F.col("fp").alias("node"))
+    near = lambda rows, i, j: np.ones(len(i), bool)
+    docs = frame(spark, [f"text number {k % 40} of some" for k in range(200)])
+    assert simhash.keep_first(docs).count() == 40
+    for plan in (components.verified_links(members, near), simhash.near_duplicates(docs), simhash.keep_first(docs)):
+        shown = plan._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in shown and "BroadcastExchange" not in shown  # no key is hot here
+
+
 def test_simhash_on_documents_and_edge_cases(spark):
     for docs in (documents(spark), edge_docs(spark)):
         rows = docs.select("doc_id", "text").collect()
