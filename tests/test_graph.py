@@ -231,3 +231,38 @@ def test_pagerank_counts_every_customer(spark, tiny):
         rank = 0.85 * (rank @ flow + rank[out == 0].sum() * p) + 0.15 * p
     got = {r.node_id: r.rank for r in registry.pagerank_k(spark, tiny).collect()}
     assert sorted(got) == nodes and all(abs(got[n] - r) < 1e-8 for n, r in zip(nodes, rank, strict=True))
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_steps_that_fan_out_or_gather_state_their_number_of_tasks(spark):
+    """Partitions joined by their written size held more in memory the larger the input was."""
+    from strandgraph.operators import relations
+    from strandgraph.plans.lineage import dealt, shares_of, stored
+
+    cores = spark.sparkContext.defaultParallelism
+    assert shares_of(10, spark) == cores and shares_of(1_000_000 * cores, spark) == 2 * cores
+    changes = spark.createDataFrame([(c, f"p{k}") for c in range(6) for k in range(c)], "commit_id long, path string")
+    assert dealt(changes, 40_000_000, "path").rdd.getNumPartitions() == 80
+    related = relations.cochange_relations(changes)
+    assert "evidence" in related.columns
+    plain = relations.aggregate_relations(related.drop("evidence"), 10)
+    whole = relations.aggregate_relations(related)
+    assert "evidence" not in plain.columns
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, whole.drop("evidence").collect())) != []
+    for frame in (relations.cochange_pairs(changes), graph.projection(plain), graph.strongest_edges(plain)):
+        assert "REPARTITION_BY_NUM" in _plan(frame)
+    assert stored(plain).count() == plain.count()
+
+
+def test_pagerank_broadcasts_no_table_of_all_nodes(spark, monkeypatch):
+    """Equal ranks make small files, which passed for small tables: millions of rows were broadcast in each round."""
+    plans = []
+    keep = graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df, name="table": (plans.append(_plan(df)) if name == "ranks" else None) or keep(df, name))
+    pairs = spark.createDataFrame([(f"n{k}", f"n{k + 1}", 0.5) for k in range(10, 40)], "u string, v string, weight double")
+    nodes = spark.createDataFrame([(f"n{k}",) for k in range(10, 45)], "node_id string")
+    graph.pagerank(pairs, nodes, spark.createDataFrame([("n10", 1.0)], "node_id string, weight double"), iterations=2, tolerance=None)
+    assert len(plans) == 3 and all("SortMergeJoin" in p for p in plans)
