@@ -10,17 +10,16 @@ together in a piece, and everything is counted per language.
    that reach the threshold, in bitmaps of fixed size: with more cells they let more phrases through, and never lose one.
 2. The phrases of the cells above the threshold are the candidates. Texts are reduced to the
    runs of words whose neighbouring pairs pass, which hold every occurrence of every candidate.
-3. Blocks of candidates are compiled into Aho-Corasick automata. A key has a delimiter on both sides and
-   so has each word of the scanned text, so matches begin and end with words; they may overlap. Each task counts its
-   matches in arrays, chunks of the arrays are summed, and the threshold is applied to the sums.
+3. The candidates that stand in a portion of the runs are compiled into an Aho-Corasick automaton, which scans that portion. A key has a
+   delimiter on both sides and so has each word of the scanned text, so matches begin and end with words; they may
+   overlap. Tasks send their phrases with partial counts in lists by bucket, and the threshold is applied to the sums.
 
-A block is bounded, and each block reads the runs once more. Scores and the tests for longer
+An automaton is bounded, and the runs are read once at any number of candidates. Scores and the tests for longer
 phrases are joins on the counted phrases, in exact arithmetic.
 """
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 from itertools import groupby
@@ -42,15 +41,15 @@ MAX_WORDS, LEAST, TOP, SHARE = 4, 30, 2000, 80
 #: Candidates of one automaton: some 250 bytes each.
 BLOCK = 500_000
 #: Bytes of text that a task works on at once, and of one stored run of words.
-PORTION, RUN = 6 << 20, 256 << 10
+PORTION, RUN = 3 << 20, 256 << 10
+#: The same for runs that are scanned, beside whose text stands an automaton.
+SCANNED = 3 << 19
 #: Cells, words or phrases that a task holds before it sends them on.
 HELD = 2_000_000
 #: The sketch has 2 to this power cells.
 CELL_BITS = 40
-#: Candidates that meet in one bucket, on average, to be made distinct.
+#: Candidates whose counts meet in one bucket, on average.
 BUCKET = 50_000
-#: Candidates whose counts make one row.
-CHUNK = 4096
 #: Stands for the end of a piece among the words; no byte of UTF-8.
 BREAK = b"\xff"
 ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -100,15 +99,15 @@ def phrase_keys(keys: np.ndarray, n: int) -> np.ndarray:
     return (full_keys(keys, n) >> np.uint64(64 - CELL_BITS)).view(np.int64)
 
 
-def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
-    """``(lang, texts)`` of about ``PORTION`` bytes over all languages; a longer text comes alone."""
+def _portions(batches: Iterator[pa.RecordBatch], limit: int = PORTION) -> Iterator[tuple[str, list[bytes]]]:
+    """``(lang, texts)`` of about ``limit`` bytes over all languages; a longer text comes alone."""
     held, size = {}, 0
     for batch in batches:
-        for part in by_size(batch, 1, PORTION):
+        for part in by_size(batch, 1, limit):
             for lang, text in zip(part.column(0).to_pylist(), part.column(1).view(pa.binary()).to_pylist(), strict=True):
                 held.setdefault(lang, []).append(text)
                 size += len(text)
-            if size >= PORTION:
+            if size >= limit:
                 yield from held.items()
                 held, size = {}, 0
     yield from held.items()
@@ -134,8 +133,13 @@ class Cells:
 
     def add(self, keys: np.ndarray) -> Iterator[tuple[pa.Array, pa.Array]]:
         own, counts = np.unique(keys, return_counts=True)
-        self.keys, place = np.unique(np.concatenate([self.keys, own]), return_inverse=True)
-        self.counts = np.bincount(place, np.concatenate([self.counts, counts]), len(self.keys)).astype(np.int64)
+        if not len(own):
+            return
+        merged = np.concatenate([self.keys, own])
+        order = merged.argsort(kind="stable")
+        merged, counts = merged[order], np.concatenate([self.counts, counts])[order]
+        first = np.flatnonzero(np.append(True, merged[1:] != merged[:-1]))
+        self.keys, self.counts = merged[first], np.add.reduceat(counts, first)
         if len(self.keys) > HELD:
             yield from self.rest()
 
@@ -235,21 +239,52 @@ def _cut_runs(sent: Broadcast):
     return run
 
 
-def _candidates(sent: Broadcast, buckets: int):
-    """``(bucket, lang, phrases)``: the phrases of the runs whose cells pass, each once per task, in sorted lists by bucket of their cell."""
+def automaton(phrases: list[bytes]) -> ahocorasick.Automaton:
+    """Its keys are the phrases' bytes between delimiters."""
+    out = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for k, phrase in enumerate(phrases):
+        out.add_word(" " + phrase.decode("latin-1") + " ", k)
+    out.make_automaton()
+    return out
+
+
+def matches(phrases: list[bytes], text: bytes, block: int) -> np.ndarray:
+    """How often each of ``phrases`` stands in ``text``, by automata of ``block`` phrases."""
+    found, decoded = [np.zeros(0, np.int64)], text.decode("latin-1")
+    for at in range(0, len(phrases), block):
+        own = phrases[at : at + block]
+        found.append(np.bincount(np.fromiter((k for _, k in automaton(own).iter(decoded)), np.int64), minlength=len(own)))
+    return np.concatenate(found)
+
+
+#: Sorted phrases of a bucket and their counts, both compressed; the phrases' bytes, and the bytes of a count.
+LISTS = "bucket int, lang string, phrases binary, counts binary, size long, width int"
+
+
+def _scan(sent: Broadcast, buckets: int, block: int):
+    """Rows of ``LISTS``: the phrases of the runs whose cells pass and a task's matches of them, in sorted lists by bucket of their cell.
+
+    The automata of a portion of text have just the candidates that stand in it, so a text is read once however many there are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = {}, 0
+        held: dict[tuple[int, str], dict[bytes, int]] = {}
+        size = 0
 
         def lists() -> Iterator[pa.RecordBatch]:
-            for (bucket, lang), phrases in held.items():
-                yield _batch(bucket=pa.array([bucket], pa.int32()), lang=_same(lang, 1), phrases=_text([b"\n".join(sorted(phrases))]))
+            for (bucket, lang), counted in held.items():
+                phrases = sorted(counted)
+                counts = np.array([counted[p] for p in phrases], np.uint64)
+                counts = counts.astype(np.min_scalar_type(counts.max()))
+                joined = b"\n".join(phrases)
+                packed = [pa.array([pa.compress(x, "zstd", asbytes=True)], pa.binary()) for x in (joined, counts.tobytes())]
+                yield _batch(bucket=pa.array([bucket], pa.int32()), lang=_same(lang, 1), phrases=packed[0], counts=packed[1], size=pa.array([len(joined)]), width=pa.array([counts.itemsize], pa.int32()))
             held.clear()
 
-        for lang, texts in _portions(batches):
+        for lang, texts in _portions(batches, SCANNED):
             coded = Coded(lang, texts)
             real, keys = coded.real[coded.codes], coded.keys[coded.codes]
-            whole = real
+            whole, cells, phrases = real, [], []
             for n in range(2, MAX_WORDS + 1):
                 if len(keys) < n:
                     break
@@ -261,11 +296,16 @@ def _candidates(sent: Broadcast, buckets: int):
                 full = full_keys(keys, n)[at[passed]]
                 _, first = np.unique(full, return_index=True)
                 spans = coded.codes[at[passed][first][:, None] + np.arange(n)]
-                for cell, span in zip(key[passed][first].tolist(), spans.tolist(), strict=True):
-                    own = held.setdefault((cell % buckets, lang), set())
-                    size -= len(own)
-                    own.add(b" ".join([coded.words[c] for c in span]))
-                    size += len(own)
+                cells += (key[passed][first] % buckets).tolist()
+                phrases += [b" ".join([coded.words[c] for c in span]) for span in spans.tolist()]
+            text = b" " + b" ".join(map(coded.words.__getitem__, coded.codes.tolist())) + b" "
+            for bucket, phrase, n in zip(cells, phrases, matches(phrases, text, block).tolist(), strict=True):
+                own = held.setdefault((bucket, lang), {})
+                if phrase in own:
+                    own[phrase] += n
+                else:
+                    own[phrase] = n
+                    size += 1
             if size > HELD // 8:
                 yield from lists()
                 size = 0
@@ -274,66 +314,20 @@ def _candidates(sent: Broadcast, buckets: int):
     return run
 
 
-def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(lang, phrase)``, each once; the lists of a bucket come together."""
-    rows = (row for batch in batches for row in zip(*[c.to_pylist() for c in batch.columns], strict=True))
-    for (_, lang), parts in groupby(rows, itemgetter(0, 1)):
-        phrases = set()
-        for _, _, some in parts:
-            phrases.update(some.split("\n"))
-        yield _batch(lang=_same(lang, len(phrases)), phrase=pa.array(sorted(phrases), pa.string()))
-
-
-#: The automata that this worker compiled last, with the id of their block.
-_compiled: dict = {}
-
-
-def automata(block: list[tuple[str, bytes]]) -> dict[str, ahocorasick.Automaton]:
-    """An automaton per language; keys are the phrases' bytes between delimiters."""
-    out = {}
-    for k, (lang, phrase) in enumerate(block):
-        if lang not in out:
-            out[lang] = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        out[lang].add_word(" " + phrase.decode("latin-1") + " ", k)
-    for automaton in out.values():
-        automaton.make_automaton()
-    return out
-
-
-def _scan(sent: Broadcast, name: str):
-    """``(chunk, counts)``: a task's matches of the block's phrases, ``CHUNK`` counts in a row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _compiled:
-            _compiled.clear()
-            _compiled[name] = automata(list(zip(*sent.value, strict=True)))
-        counts = np.zeros(-(-len(sent.value[0]) // CHUNK) * CHUNK, np.int64)
-        for lang, texts in _portions(batches):
-            automaton = _compiled[name].get(lang)
-            if automaton is not None:
-                text = (b" " + b" ".join(normalised(texts).split()) + b" ").decode("latin-1")
-                hits = np.fromiter((k for _, k in automaton.iter(text)), np.int64)
-                counts += np.bincount(hits, minlength=len(counts))
-        for chunk, part in enumerate(counts.reshape(-1, CHUNK)):
-            if part.any():
-                yield _batch(chunk=pa.array([chunk], pa.int32()), counts=pa.array([part.tobytes()], pa.binary()))
-
-    return run
-
-
-def _sum_chunks(sent: Broadcast, least: int):
-    """``(lang, phrase, n)`` of at least ``least`` matches; the rows of a chunk come together and are added as they pass."""
+def _sum_lists(least: int):
+    """``(lang, phrase, n)`` of at least ``least`` matches; the lists of a bucket come together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, phrases = sent.value
-        rows = (row for batch in batches for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-        for chunk, parts in groupby(rows, itemgetter(0)):
-            total = np.zeros(CHUNK, np.int64)
-            for _, counts in parts:
-                total += np.frombuffer(counts, np.int64)
-            found = np.flatnonzero(total >= least)
-            places = (found + chunk * CHUNK).tolist()
-            yield _batch(lang=pa.array([langs[k] for k in places], pa.string()), phrase=_text([phrases[k] for k in places]), n=pa.array(total[found]))
+        rows = (row for batch in batches for row in zip(*[c.to_pylist() for c in batch.columns], strict=True))
+        for (_, lang), parts in groupby(rows, itemgetter(0, 1)):
+            total: dict[str, int] = {}
+            for _, _, some, counts, size, width in parts:
+                phrases = pa.decompress(some, size, "zstd", asbytes=True).decode().split("\n")
+                counts = pa.decompress(counts, width * len(phrases), "zstd", asbytes=True)
+                for phrase, n in zip(phrases, np.frombuffer(counts, f"u{width}").tolist(), strict=True):
+                    total[phrase] = total.get(phrase, 0) + n
+            found = [(phrase, n) for phrase, n in total.items() if n >= least]
+            yield _batch(lang=_same(lang, len(found)), phrase=pa.array([phrase for phrase, _ in found], pa.string()), n=pa.array([n for _, n in found], pa.int64()))
 
     return run
 
@@ -363,22 +357,11 @@ def phrase_counts(docs: DataFrame, *, text_col: str = "text", lang_col: str = "l
     held = runs.filter("text is not null").select("lang", "text")
     # a cell passes for each bit that is set, and more phrases than bits only where cells share one
     buckets = 1 + int(np.bitwise_count(passing).sum()) // BUCKET
-    lists = held.mapInArrow(_candidates(cells, buckets), "bucket int, lang string, phrases string").repartition("bucket").sortWithinPartitions("bucket", "lang")
-    found = stored(lists.mapInArrow(_distinct, "lang string, phrase string"), "candidates")
-    parts = max(1, -(-found.count() // block))
-    phrases = None
-    for k in range(parts):
-        # one block at a time: its size has a bound at any number of candidates
-        own = found.filter(F.pmod(F.xxhash64("lang", "phrase"), F.lit(parts)) == k).toArrow()
-        compiled = spark.sparkContext.broadcast((own["lang"].to_pylist(), [p.encode() for p in own["phrase"].to_pylist()]))
-        scanned = held.mapInArrow(_scan(compiled, uuid.uuid4().hex), "chunk int, counts binary").repartition("chunk").sortWithinPartitions("chunk")
-        part = stored(scanned.mapInArrow(_sum_chunks(compiled, max(1, least)), "lang string, phrase string, n long"), "phrases")
-        phrases = part if phrases is None else phrases.unionByName(part)
-        compiled.unpersist()
+    lists = held.mapInArrow(_scan(cells, buckets, block), LISTS).repartition("bucket").sortWithinPartitions("bucket", "lang")
+    phrases = stored(lists.mapInArrow(_sum_lists(max(1, least)), "lang string, phrase string, n long"), "phrases")
     for old in (sent, both, cells):
         old.unpersist()
-    for table in (runs, found):
-        discard(table)
+    discard(runs)
     return phrases, words.select("lang", "word", "n")
 
 

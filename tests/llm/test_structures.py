@@ -148,6 +148,16 @@ def test_collocations_equal_plain_counting_in_any_number_of_blocks(spark, block)
     assert len(got) == len(want) and set(got) == want
 
 
+def test_runs_are_read_once_at_any_number_of_candidates(spark):
+    docs, jobs = frame(spark, ["a b c d e f g h a c e g"] * 6), []
+    for block in (2, 1000):
+        spark.sparkContext.setJobGroup(f"op12 {block}", "")
+        assert collocations.phrase_counts(docs, least=5, block=block)[0].count() == 11 + 10 + 9
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"op12 {block}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1]
+
+
 def test_overlaps_count_and_counts_may_pass_64_bits_in_products(spark):
     docs = frame(spark, ["x x x x x x"] * 10)
     assert {(r.phrase, r.a) for r in collocations.phrase_counts(docs, least=5)[0].select("phrase", F.col("n").alias("a")).collect()} == {("x x", 50), ("x x x", 40), ("x x x x", 30)}
