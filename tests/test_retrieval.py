@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strandgraph.config import RetrievalConfig
 from strandgraph.functions import predicates, text
 from strandgraph.operators import graph, search
 from strandgraph.plans.build import graph_tables
@@ -165,3 +166,24 @@ def test_scores_of_many_queries_take_passes_and_tasks_of_bounded_size(spark, mon
     monkeypatch.setattr(search, "CELLS", 8)
     got = {(r.query_id, r.node_id): r.score for r in search.query_scores(index, asked).collect()}
     assert want.keys() == got.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want) and {q for q, _ in want} >= set(range(6))
+
+
+def test_first_nodes_come_without_a_row_for_every_query_and_node(spark, monkeypatch):
+    """All direct scores were stored, a row for every query and node."""
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(f"n{k:04d}", " ".join(rng.choice("alpha beta gamma delta eps zeta".split()) for _ in range(1 + k % 9))) for k in range(600)], "node_id string, document string")
+    asked = spark.createDataFrame([(0, "alpha beta"), (1, "gamma gamma zeta"), (2, "nothing"), (3, "")], "query_id int, query string")
+    edges = spark.createDataFrame([(f"n{k:04d}", f"n{k + 1:04d}", "FOLLOWS", 1, 1.0, 0.5 + k % 97 / 200) for k in range(599)], "source_id string, target_id string, kind string, count long, confidence double, strength double")
+    index = search.build_search_index(docs)
+    monkeypatch.setattr(search, "CELLS", 64)
+    every, some = search.query_scores(index, asked), search.query_scores(index, asked, first=5)
+    ranked = [{(r.query_id, r.rank, r.node_id, r.score) for r in search.top_ranked(x.withColumn("score", F.round("score", 9)), 5).collect()} for x in (every, some)]
+    assert ranked[0] == ranked[1] and some.count() < every.count() / 2
+    config = RetrievalConfig(seed_count=3, related_count=4)
+    results = [search.query_graph(docs.select("node_id"), edges, index, asked, config, pagerank_iterations=3, epsilon=1e-3, first=first) for first in (None, 5)]
+    table = lambda frame: {tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in frame.collect()}
+    for name in ("anchors", "related"):
+        assert table(getattr(results[0], name)) == table(getattr(results[1], name))
+    lexical = [table(search.lexical_ranking(r.direct, docs.select("node_id"), asked, 5)) for r in results]
+    assert lexical[0] == lexical[1]
+    assert results[1].direct.count() < results[0].direct.count() / 2
