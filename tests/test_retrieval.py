@@ -187,3 +187,16 @@ def test_first_nodes_come_without_a_row_for_every_query_and_node(spark, monkeypa
     lexical = [table(search.lexical_ranking(r.direct, docs.select("node_id"), asked, 5)) for r in results]
     assert lexical[0] == lexical[1]
     assert results[1].direct.count() < results[0].direct.count() / 2
+
+
+def test_rounds_of_the_block_search_store_no_postings(spark, monkeypatch):
+    """Each round stored the postings once more for every query, and its lower bounds stayed."""
+    tables, keep, gone = [], search.stored, []
+    monkeypatch.setattr(search, "stored", lambda frame, name="table", *rest: tables.append((name, "postings" in frame.columns)) or keep(frame, name, *rest))
+    monkeypatch.setattr(search, "discard", lambda frame, drop=search.discard: gone.append(frame.columns) or drop(frame))
+    docs = spark.createDataFrame([(f"n{k:03d}", f"alpha w{k % 7} w{k % 5}") for k in range(60)], "node_id string, document string")
+    index = search.impact_index(search.build_search_index(docs), 4)
+    tables.clear()
+    assert search.block_max_top_k(index, spark.createDataFrame([(0, "alpha w3"), (1, "w1")], "query_id int, query string"), 3).count() == 6
+    assert not any(held for _, held in tables)
+    assert sum("lower" in columns for columns in gone) == sum(name == "lower" for name, _ in tables) > 0
