@@ -14,7 +14,8 @@ train side by side, and a row's new value is the mean over the partitions that
 touched it, weighted by how often. It goes in rounds, each from the mean of the last one.
 
 Probabilities are normalised exactly over all symbols. For that the context is rounded to one of
-``STATES`` x ``STATES`` vectors, a two-level code book of contexts; batched matrix products
+``STATES`` x ``STATES`` vectors, a two-level code book fitted to the contexts of all training tokens, which a
+table of cells sums up; batched matrix products
 of these with all word vectors give the log normaliser of each, once. A token then costs
 its place in the code book and one product. A word of a class gets the class's probability times its
 smoothed share of the class, so the whole distribution adds to one.
@@ -42,8 +43,10 @@ BATCH, RUN, NOISE, RATE, SEED, FLUSH = 1024, 32, 96, 0.04, 11, 400_000
 TRAINER_TOKENS, PASSES = 2_000_000, 4
 #: Share of the texts in the first round; the second round has the others.
 FIRST_ROUND = 1 / 16
-#: The code book is fitted to contexts from so many texts at most, so many of each.
-BOOK_TEXTS, BOOK_PLACES = 2000, 48
+#: The contexts of all training tokens are summed up in cells: groups of the word before, of the one before that, and
+#: so many halvings of the mean. Their sums meet in so many blocks.
+LAST_GROUPS, OTHER_GROUPS, HALVINGS, CELL_BLOCKS = 128, 64, 3, 16
+CELLS = LAST_GROUPS * OTHER_GROUPS << HALVINGS
 #: Texts of so many bytes are encoded, texts of so many tokens learnt and scored together.
 TEXT_BYTES, CHUNK = 1 << 20, 1 << 17
 BLOCK_ROWS = 8192
@@ -193,7 +196,7 @@ def _running_sums(x: np.ndarray, block: int = 60) -> np.ndarray:
 
 def _sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct rows, the sum of each one's values and how often it occurs."""
-    order = rows.argsort()
+    order = rows.argsort(kind="stable" if rows.dtype.itemsize == 2 else None)
     rows = rows.take(order)
     fresh = np.empty(len(rows), bool)
     fresh[:1] = True
@@ -469,24 +472,32 @@ class CodeBook:
 
     @staticmethod
     def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-        near = x @ centres.T
-        near -= 0.5 * (centres * centres).sum(axis=1)
-        return near.argmax(axis=1)
+        out, half = np.empty(len(x), np.int64), 0.5 * (centres * centres).sum(axis=1)
+        for at in range(0, len(x), 1 << 14):
+            near = x[at : at + (1 << 14)] @ centres.T
+            near -= half
+            out[at : at + (1 << 14)] = near.argmax(axis=1)
+        return out
 
     @classmethod
-    def _means(cls, x: np.ndarray, rng: np.random.Generator, turns: int = 12) -> np.ndarray:
-        centres = x[rng.integers(0, len(x), STATES)].copy() if len(x) else np.zeros((STATES, WIDTH), np.float32)
+    def _means(cls, x: np.ndarray, weights: np.ndarray, rng: np.random.Generator, many: int = STATES, turns: int = 12) -> np.ndarray:
+        centres = x[rng.choice(len(x), many, p=weights / weights.sum())].copy() if len(x) else np.zeros((many, WIDTH), np.float32)
         for _ in range(turns if len(x) else 0):
-            rows, total, n = _sums(cls._nearest(x, centres), x)
-            centres[rows] = total / n[:, None]
+            near = cls._nearest(x, centres)
+            n = np.bincount(near, weights, many)
+            rows = np.flatnonzero(n)
+            total = np.stack([np.bincount(near, weights * x[:, k], many) for k in range(x.shape[1])], axis=1)
+            centres[rows] = total[rows] / n[rows, None]
         return centres
 
     @classmethod
-    def fit(cls, x: np.ndarray) -> CodeBook:
-        rng = np.random.default_rng(SEED)
-        top = cls._means(x, rng)
+    def fit(cls, x: np.ndarray, weights: np.ndarray | None = None) -> CodeBook:
+        """The code book of the points ``x``, each counted ``weights`` times."""
+        rng, weights = np.random.default_rng(SEED), np.ones(len(x)) if weights is None else weights
+        top = cls._means(x, weights, rng)
         group = cls._nearest(x, top) if len(x) else np.zeros(0, np.int64)
-        low = np.stack([cls._means(x[group == k], rng) if (group == k).any() else np.repeat(top[k : k + 1], STATES, axis=0) for k in range(STATES)])
+        own = lambda at: cls._means(x[at], weights[at], rng)
+        low = np.stack([own(group == k) if (group == k).any() else np.repeat(top[k : k + 1], STATES, axis=0) for k in range(STATES)])
         return cls(top, low)
 
     def states(self, x: np.ndarray) -> np.ndarray:
@@ -500,25 +511,85 @@ class CodeBook:
         return out
 
 
-def fit_code_book(encoded: DataFrame, vocabulary: Vocabulary, model: LogBilinear) -> CodeBook:
-    """The code book of the contexts in a bounded sample of ``encoded(symbols)``, chosen by hash."""
-    sent = encoded.sparkSession.sparkContext.broadcast(model)
-    share = BOOK_TEXTS / max(1, vocabulary.n_end)
-    key = F.xxhash64(F.lit(SEED + 1), "symbols")
-    some = encoded if share >= 1 else encoded.filter(F.pmod(key, F.lit(1 << 30)) < int(2 * share * (1 << 30)))
-    some = some.withColumn("key", key).orderBy("key").limit(BOOK_TEXTS).select("symbols")
+class Cells:
+    """A table of ``CELLS`` cells over contexts, laid by the model and the counts of the whole corpus.
+
+    The symbols are grouped by what they add to a context, once as the word before and once as the one before that; the mean of earlier
+    words is halved along its widest axes. Every context is in one cell, which look-ups find.
+    """
+
+    def __init__(self, model: LogBilinear) -> None:
+        x, c, rng = model.input(), model.tables["c"], np.random.default_rng(SEED)
+        # no context has the end, as many have the begin
+        weights = np.append(model.noise, model.noise[-1])
+        self.last, self.other = (CodeBook._nearest(y, CodeBook._means(y, weights, rng, many)).astype(np.int32) for y, many in ((x * c[0], LAST_GROUPS), (x * c[1], OTHER_GROUPS)))
+        x = x * c[2]
+        middle = weights @ x / weights.sum()
+        self.axes = np.linalg.eigh(((x - middle) * weights[:, None]).T @ (x - middle))[1][:, -HALVINGS:].astype(np.float32)
+        self.middle = (middle @ self.axes).astype(np.float32)
+
+    def places(self, model: LogBilinear, vectors: np.ndarray, text: Encoded, g: np.ndarray) -> np.ndarray:
+        """The cell of each context ``g`` of ``text``; vectors as of ``model.input``. Those of begins are of no use."""
+        before, other = np.roll(text.symbols, 1), np.roll(text.symbols, 2)
+        # the mean is what the two words leave of a context
+        mean, c = g @ self.axes, model.tables["c"]
+        mean -= (vectors @ (self.axes * c[0][:, None])).take(before, axis=0)
+        mean -= (vectors @ (self.axes * c[1][:, None])).take(other, axis=0)
+        side = (mean > self.middle) @ (1 << np.arange(HALVINGS))
+        return ((self.last.take(before) * OTHER_GROUPS + self.other.take(other)) << HALVINGS) + side
+
+
+_CELLS = pa.schema([("block", pa.int32()), ("cells", pa.binary()), ("counts", pa.binary()), ("sums", pa.binary())])
+
+
+def summed_contexts(encoded: DataFrame, model: LogBilinear) -> tuple[np.ndarray, np.ndarray]:
+    """Means and counts of the contexts of every token of ``encoded(symbols)``, for each cell that has any.
+
+    Tasks send a row per block of cells, and a row per block reaches the driver.
+    """
+    sent = encoded.sparkSession.sparkContext.broadcast((model, Cells(model)))
+    size = CELLS // CELL_BLOCKS
+
+    def rows(counts: np.ndarray, sums: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for block in range(CELL_BLOCKS):
+            at = block * size + np.flatnonzero(counts[block * size : (block + 1) * size])
+            if len(at):
+                record = {"block": block, "cells": at.astype(np.int32).tobytes(), "counts": counts[at].tobytes(), "sums": sums[at].astype(np.float32).tobytes()}
+                yield pa.RecordBatch.from_pylist([record], schema=_CELLS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
+        own, cells = sent.value
         vectors = own.input()
-        for part in _portions(batches, 1):
-            g = own.contexts(_laid_out(part, own.begin), vectors)[2:]
-            at = np.unique(np.linspace(0, len(g) - 1, BOOK_PLACES).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array([g[at].astype(np.float32).tobytes()], pa.binary())], names=["g"])
+        counts, sums = np.zeros(CELLS, np.int64), np.zeros((CELLS, WIDTH))
+        for part in _portions(batches, CHUNK):
+            text = _laid_out(part, own.begin)
+            g, real = own.contexts(text, vectors), text.symbols != own.begin
+            at, g = cells.places(own, vectors, text, g)[real], g[real]
+            counts += np.bincount(at, minlength=CELLS)
+            filled, total, _ = _sums(at.astype(np.uint16), g)
+            sums[filled] += total
+        yield from rows(counts, sums)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, sums = np.zeros(CELLS, np.int64), np.zeros((CELLS, WIDTH))
+        for batch in batches:
+            for p in batch.to_pylist():
+                at = np.frombuffer(p["cells"], np.int32)
+                counts[at] += np.frombuffer(p["counts"], np.int64)
+                sums[at] += np.frombuffer(p["sums"], np.float32).reshape(-1, WIDTH)
+        yield from rows(counts, sums)
 
-    found = sorted(bytes(r.g) for r in some.mapInArrow(run, "g binary").collect())
+    found = encoded.mapInArrow(run, "block int, cells binary, counts binary, sums binary").repartition(CELL_BLOCKS, "block")
+    found = sorted(found.mapInArrow(add, "block int, cells binary, counts binary, sums binary").collect())
     sent.destroy()
-    return CodeBook.fit(np.frombuffer(b"".join(found), np.float32).reshape(-1, WIDTH))
+    counts = np.frombuffer(b"".join(r.counts for r in found), np.int64)
+    sums = np.frombuffer(b"".join(r.sums for r in found), np.float32).reshape(-1, WIDTH)
+    return sums / counts[:, None].astype(np.float32), counts
+
+
+def fit_code_book(encoded: DataFrame, model: LogBilinear) -> CodeBook:
+    """The code book of the contexts of every token of ``encoded(symbols)``."""
+    return CodeBook.fit(*summed_contexts(encoded, model))
 
 
 def encode_texts(thin: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -570,8 +641,8 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     encoded = encode_texts(thin, vocabulary)
     learnt = encoded.filter(~F.col("held_out"))
     model = train_model(learnt.select("symbols", "h", "row"), vocabulary)
-    book = fit_code_book(learnt.select("symbols"), vocabulary, model)
     model.steps = {}
+    book = fit_code_book(learnt.select("symbols"), model)
     # the words themselves are not needed any more
     small = Vocabulary({}, vocabulary.counts, vocabulary.n_end, vocabulary.n_tokens, vocabulary.n_types, vocabulary.class_tokens, vocabulary.class_types)
     vocabulary = small

@@ -313,6 +313,28 @@ def test_model_is_a_distribution_and_learns_its_contexts(spark):
     assert log_p[inside].mean() > -math.log(16), "the other text's words are unlikely; 24 are equally likely without context"
 
 
+def test_code_book_counts_the_context_of_every_training_token(spark):
+    """More texts than the 2000 that the code book was once fitted to, and long ones."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices("abcdefgh", k=k % 5)) for k in range(2500)] + [" ".join(rng.choices("abcdefgh", k=400)) for _ in range(9)] + [None]
+    table = frame(spark, texts).withColumn("held_out", F.lit(False))
+    known = lm.Vocabulary.of(lm.count_words(table.select("text")), len(texts))
+    model = lm.LogBilinear.new(known)
+    model.learn(encoded(known, texts), np.random.default_rng(0))
+    text = encoded(known, texts)
+    g, real = model.contexts(text, model.input()), text.symbols != model.begin
+    cells, g = lm.Cells(model).places(model, model.input(), text, g)[real], g[real]
+    means, counts = lm.summed_contexts(lm.encode_texts(table, known).select("symbols").repartition(5), model)
+    places, n = np.unique(cells, return_counts=True)
+    assert 0 <= cells.min() and cells.max() < lm.CELLS and len(places) > 50
+    assert counts.sum() == known.n_tokens == len(g) and np.abs(counts - n).sum() <= 0.01 * len(g)
+    assert np.allclose(counts @ means, g.sum(axis=0, dtype=float), rtol=1e-4, atol=1e-2)
+    book = lm.fit_code_book(lm.encode_texts(table, known).select("symbols"), model)
+    low = book.low.reshape(-1, lm.WIDTH)
+    near = ((g - low[book.states(g)]) ** 2).sum(axis=1).mean()
+    assert near < 0.2 * g.var(axis=0).sum()
+
+
 def test_symbols_contexts_and_means(spark):
     known = lm.Vocabulary.of(lm.count_words(frame(spark, ["a a b", "b c", None]).select("text")), 3)
     assert known.n_tokens == 8 and known.n_types == 4 and list(known.index) == [b"a", b"b", b"c"] and known.counts.tolist() == [2, 2, 1]
