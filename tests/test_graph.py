@@ -178,6 +178,20 @@ def test_large_commits_count_but_make_no_pairs(spark):
     assert {r.path: r.commits for r in relations.commit_totals(changes).collect()}["a"] == 3
 
 
+def test_changes_move_once_by_commit(spark, monkeypatch):
+    """They were made distinct, stored and moved twice more before; a row has the paths of a small commit or one path of a large one."""
+    plans = {}
+    keep = relations.stored
+    monkeypatch.setattr(relations, "stored", lambda df, name="table": (plans.setdefault(name, _plan(df)), keep(df, name))[1])
+    changes = spark.createDataFrame([(c, p, -c) for c in range(3) for p in "abab"] + [(7, f"p{k}", -7) for k in range(5)] + [(8, None, -8)], "commit_id long, path string, ord long")
+    rows = relations._commits(changes, 3).collect()
+    assert sorted((r.commit_id, r.ord, r.paths) for r in rows if r.commit_id < 7) == [(c, -c, ["a", "b"]) for c in range(3)]
+    assert sorted(r.paths for r in rows if r.commit_id == 7) == [[f"p{k}"] for k in range(5)]
+    assert list(plans) == ["commits"] and plans["commits"].count("Exchange") == 1
+    paths = ("a", "b")
+    assert [(r.source_id, r.target_id, r["count"]) for r in relations.cochange_relations(changes, maximum_files=3).collect()] == [(*paths, 3)]
+
+
 def test_registered_pairs_keep_the_references_limit(spark, tmp_path):
     sizes = {1: 20, 2: 20, 3: 21, 4: 21}
     rows = [(c, p, 1) for c, n in sizes.items() for p in range(100 * (c > 2), 100 * (c > 2) + n)]
