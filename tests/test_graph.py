@@ -192,6 +192,17 @@ def test_changes_move_once_by_commit(spark, monkeypatch):
     assert [(r.source_id, r.target_id, r["count"]) for r in relations.cochange_relations(changes, maximum_files=3).collect()] == [(*paths, 3)]
 
 
+def test_edges_by_pair_do_not_move_again(spark, tiny):
+    """Pairs, their strongest edges and the edges of steps were dealt by pair again, each time."""
+    edges, pairs = registry._graph(spark, tiny)
+    for frame in (graph.projection(edges), graph.strongest_edges(edges)):
+        assert "hashpartitioning(u" not in _plan(frame) and "Bucketed: true" in _plan(frame)
+    plain = edges.drop("u", "v").localCheckpoint()
+    assert sorted(map(str, graph.projection(plain).collect())) == sorted(map(str, graph.projection(edges).collect())) != []
+    assert sorted(map(str, graph.strongest_edges(plain).collect())) == sorted(map(str, graph.strongest_edges(edges).collect()))
+    assert pairs.count() == graph.projection(plain).count() and not [t for t in spark.catalog.listTables() if "counted" in t.name or "pairs" in t.name]
+
+
 def test_registered_pairs_keep_the_references_limit(spark, tmp_path):
     sizes = {1: 20, 2: 20, 3: 21, 4: 21}
     rows = [(c, p, 1) for c, n in sizes.items() for p in range(100 * (c > 2), 100 * (c > 2) + n)]
