@@ -291,3 +291,53 @@ def test_pagerank_broadcasts_no_table_of_all_nodes(spark, monkeypatch):
     nodes = spark.createDataFrame([(f"n{k}",) for k in range(10, 45)], "node_id string")
     graph.pagerank(pairs, nodes, spark.createDataFrame([("n10", 1.0)], "node_id string, weight double"), iterations=2, tolerance=None)
     assert len(plans) == 3 and all("SortMergeJoin" in p for p in plans)
+
+
+def test_a_pairs_first_edge_and_kinds_are_gathered_without_a_sort(spark):
+    """Strings as least values had all edges sorted by pair; kinds and ways are numbers now, and edges without kinds count too."""
+    rng, kinds = random.Random(5), ["b", "a", "CALLS", "é", "z", None]
+    rows = [(a, b, k, 1, 1.0, rng.random(), []) for a, b, k in {(rng.choice("pqrs"), rng.choice("pqrs"), rng.choice(kinds)) for _ in range(60)}]
+    edges = spark.createDataFrame(rows, EDGES)
+    for extra in (0, 80):
+        more = [("x", "y", f"k{k:02d}", 1, 1.0, 0.01, []) for k in range(extra)]
+        met = {}
+        for s, t, k, *_ in rows + more:
+            if s != t:
+                met.setdefault((min(s, t), max(s, t)), []).append((s, t, k))
+        got = graph.projection(edges.union(spark.createDataFrame(more, EDGES)) if more else edges)
+        for r in got.collect():
+            found = met.pop((r.u, r.v))
+            assert (r.first_source, r.first_target, r.first_kind) == min(found, key=lambda e: (e[0], e[1], (e[2] is not None, e[2] or "")))
+            assert r.kinds == sorted({k for _, _, k in found if k is not None})
+        assert not met
+    assert "SortAggregate" not in _plan(graph.projection(edges))
+
+
+def test_a_small_frontier_and_its_steps_move_no_pairs(spark, tiny, monkeypatch):
+    """All neighbours were stored in both directions and shuffled in each hop, and pairs and edges sorted for the steps."""
+    edges, pairs, seeds, paths = registry._walked(spark, tiny)
+    names, keep = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df, name="table": names.append(name) or keep(df, name))
+    few, many = ({tuple(r) for r in graph.strongest_paths(pairs, seeds, few=n).select("node_id", "score", "depth", "path").withColumn("path", F.array_join("path", ">")).collect()} for n in (100_000, 0))
+    assert few == many and len(few) == paths.count() > 0 and names.count("adjacency") == 1
+    steps = graph.path_steps(paths, pairs, ["node_id"])
+    for frame in (steps, graph.step_contributions(steps.drop("combined_strength"), edges, ["node_id"])):
+        assert "ShuffledHashJoin" in _plan(frame) or "BroadcastHashJoin" in _plan(frame)
+    # a step over no pair stays
+    lost = paths.limit(1).withColumn("path", F.array(F.lit("no"), F.lit("where")))
+    assert [tuple(r) for r in graph.path_steps(lost, pairs, ["node_id"]).select("from_id", "to_id", "combined_strength").collect()] == [("no", "where", None)]
+
+
+def test_edges_by_pair_keep_lost_ends_and_every_kind_of_way(spark):
+    rows = [("a", "b", "K", 1, 0.5), ("b", "a", "K", 2, 0.5), ("a", "b", "K", 3, 1.0), ("c", "c", "K", 1, 1.0), (None, "d", "K", 1, 1.0), ("d", None, "K", 1, 1.0), (None, None, "K", 1, 1.0)]
+    frame = spark.createDataFrame(rows, "source_id string, target_id string, kind string, count long, confidence double")
+    want, got = (sorted(map(str, relations.aggregate_relations(frame, 7, by_pair=b).drop("u", "v").collect())) for b in (False, True))
+    assert got == want and len(got) == 6
+
+
+def test_neighbours_are_chosen_by_pair(spark, tiny):
+    """Both directions of all edges were dealt anew to choose among parallel ones."""
+    edges = registry._edges(spark, tiny)
+    near = relations.strongest_per_neighbour(edges)
+    assert "REPARTITION_BY_NUM" not in _plan(near) and "hashpartitioning(_h" not in _plan(near) and "Bucketed: true" in _plan(near)
+    assert sorted(map(str, near.collect())) == sorted(map(str, relations.strongest_per_neighbour(edges.drop("u", "v").localCheckpoint(), 9).collect())) != []
