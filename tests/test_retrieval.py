@@ -200,3 +200,39 @@ def test_rounds_of_the_block_search_store_no_postings(spark, monkeypatch):
     assert search.block_max_top_k(index, spark.createDataFrame([(0, "alpha w3"), (1, "w1")], "query_id int, query string"), 3).count() == 6
     assert not any(held for _, held in tables)
     assert sum("lower" in columns for columns in gone) == sum(name == "lower" for name, _ in tables) > 0
+
+
+def test_walks_run_to_their_end(spark, monkeypatch):
+    """related_nodes ended PageRank after six rounds of pushes, which left a third of the rank unsaid."""
+    rng = random.Random(7)
+    rows, _ = random_pairs(spark, rng, 12, 14)
+    rows += [(f"c{k:03d}", f"c{k + 1:03d}", 0.3 + k % 7 / 10) for k in range(10)]
+    pairs = spark.createDataFrame(rows, "u string, v string, weight double")
+    names = sorted({n for r in rows for n in r[:2]}) + ["alone"]
+    asked = {"q1": {"n003": 2.0, "c005": 1.0}, "q2": {"alone": 1.0, "n005": 1.0}, "q3": {"alone": 0.0}}
+    personal = spark.createDataFrame([(q, n, w) for q, own in asked.items() for n, w in own.items()], "q string, node_id string, weight double")
+    ended = []
+    keep = graph._pushed_on
+    monkeypatch.setattr(graph, "_pushed_on", lambda *own: ended.append(own) or keep(*own))
+    for within in (graph.WITHIN, 10):
+        monkeypatch.setattr(graph, "WITHIN", within)
+        epsilon = 1e-13 if within > 10 else 1e-2
+        found = {(r.q, r.node_id): r.rank for r in graph.push_pagerank(pairs, personal, epsilon=epsilon, rounds=None, keys=["q"]).collect()}
+        for q, own in asked.items():
+            true, out = dense_rank(rows, names, own if any(own.values()) else dict.fromkeys(own, 1.0))
+            assert all(-1e-11 < true[k] - found.get((q, n), 0.0) <= 3 * epsilon * max(out[k], 1.0) + 1e-11 for k, n in enumerate(names))
+        assert bool(ended) == (within > 10)
+        ended.clear()
+
+
+def test_related_nodes_ask_for_whole_ranks(spark, monkeypatch):
+    from strandgraph.plans import registry
+
+    got = {}
+    monkeypatch.setattr(registry, "_conversations", lambda *_: spark.createDataFrame([("1:1", "a")], "node_id string, document string"))
+    monkeypatch.setattr(registry, "_asked", lambda *_: None)
+    monkeypatch.setattr(registry, "_turn_edges", lambda *_: None)
+    monkeypatch.setattr(search, "build_search_index", lambda docs: None)
+    monkeypatch.setattr(search, "query_graph", lambda *_, **kw: got.update(kw) or search.QueryResult(*[spark.createDataFrame([], "query_id int, rank int, node_id string, direct double, relationship double, pagerank double, pagerank_share double")] * 6))
+    assert registry.related_nodes(spark, "nowhere").count() == 0
+    assert got["pagerank_iterations"] is None and got["epsilon"] <= 1e-12
