@@ -236,3 +236,22 @@ def test_related_nodes_ask_for_whole_ranks(spark, monkeypatch):
     monkeypatch.setattr(search, "query_graph", lambda *_, **kw: got.update(kw) or search.QueryResult(*[spark.createDataFrame([], "query_id int, rank int, node_id string, direct double, relationship double, pagerank double, pagerank_share double")] * 6))
     assert registry.related_nodes(spark, "nowhere").count() == 0
     assert got["pagerank_iterations"] is None and got["epsilon"] <= 1e-12
+
+
+def test_rounds_read_no_more_than_all_postings_and_runs_of_a_term_may_lie_apart(spark):
+    """Rounds went on to the last block with a row for each query and posting, and all postings were moved four times to be cut in blocks."""
+    from dataclasses import replace
+
+    rng = random.Random(12)
+    docs = [(f"d{k:03d}", " ".join(rng.choice("ab cd ef gh".split()) for _ in range(1 + k % 6))) for k in range(120)]
+    index = search.build_search_index(spark.createDataFrame(docs, "node_id string, document string"))
+    index = replace(index, postings=index.postings.repartition(3))
+    asked = spark.createDataFrame([(k, " ".join(rng.choice("ab cd ef gh".split()) for _ in range(5))) for k in range(12)], "query_id int, query string")
+    built, read = search.impact_index(index, 4), []
+    rows = built.blocks.collect()
+    assert sum(len(r.postings) for r in rows) == index.postings.count() and max(len(r.postings) for r in rows) == 4
+    assert all(r.top == r.postings[0].impact and [p.impact for p in r.postings] == sorted((p.impact for p in r.postings), reverse=True) for r in rows)
+    got = {tuple(r) for r in search.block_max_top_k(built, asked, 5, read=read).collect()}
+    scores = search.query_scores(index, asked).withColumn("score", F.round("score", 9))
+    assert {r[:3] for r in got} == {tuple(r) for r in search.top_ranked(scores, 5).select("query_id", "rank", "node_id").collect()}
+    assert max(read[1:]) <= index.postings.count()
